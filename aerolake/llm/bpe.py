@@ -20,6 +20,7 @@ import base64
 import codecs
 from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolake.llm.common import map_batches, read_table, text_or_empty
+from aerolake.llm.units import Memo, cut
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a task's memo of pieces and of the transducer's transitions; a bound on memory only.
@@ -187,24 +189,19 @@ class BpeEncoder:
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.transducer = BpeTransducer(ranks)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            data = piece.encode("utf-8", "replace")
-            rank = self.ranks.get(data)
-            ids = (rank,) if rank is not None else tuple(self.transducer.encode(data))
-        if len(piece) <= 64:
-            if len(self.memo) >= MEMO:
-                self.older, self.memo = self.memo, {}
-            self.memo[piece] = ids
-        return ids
+        self.memo = Memo(MEMO)
+
+    def _piece(self, piece: str) -> list[int]:
+        data = piece.encode("utf-8", "replace")
+        rank = self.ranks.get(data)
+        return [rank] if rank is not None else self.transducer.encode(data)
+
+    def _units(self, units: list[str]) -> list[list[int]]:
+        return [self._piece(p[0]) if len(p := self.find(u)) == 1 else list(chain.from_iterable(map(self._piece, p))) for u in units]
 
     def encode(self, text: str) -> list[int]:
-        piece = self._piece
-        return list(chain.from_iterable([self.memo.get(p) or piece(p) for p in self.find(text)]))
+        units = cut(text)
+        return list(chain.from_iterable(self.memo.many(self.find(text) if units is None else units, self._units)))
 
 
 class Utf8Decoder:
@@ -257,11 +254,22 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@lru_cache(1)
+def worker_encoder(ranks_path: str, pattern: str) -> BpeEncoder:
+    """One a Python worker, kept from task to task."""
+    return BpeEncoder(load_ranks(ranks_path), pattern)
+
+
+@lru_cache(1)
+def worker_decoder(ranks_path: str) -> Utf8Decoder:
+    return Utf8Decoder({i: t for t, i in load_ranks(ranks_path).items()})
+
+
 def encode(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, keep_text: bool = False) -> DataFrame:
     """Append ``ids`` array<int> and ``n_tokens`` long. The rank file is read in each task; its path must exist on every machine."""
 
     def task():
-        coder = BpeEncoder(load_ranks(ranks_path or default_ranks_path()), pattern or default_pattern())
+        coder = worker_encoder(ranks_path or default_ranks_path(), pattern or default_pattern())
 
         def call(batch: pa.RecordBatch) -> dict:
             flat, ends = array("i"), [0]
@@ -282,7 +290,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", ranks_path: str | None = Non
     """Append ``decoded`` string, the text of the ids; null ids decode to the empty string."""
 
     def task():
-        decoder = Utf8Decoder({i: t for t, i in load_ranks(ranks_path or default_ranks_path()).items()})
+        decoder = worker_decoder(ranks_path or default_ranks_path())
 
         def call(batch: pa.RecordBatch) -> dict:
             column = batch.column(batch.schema.get_field_index(ids_col))
