@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolake.llm import bpe
+from aerolake.llm import bpe, mixing, sharding, token_files
 
-MODULES = [bpe]
+MODULES = [bpe, mixing, sharding, token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
