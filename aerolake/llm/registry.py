@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolake.llm import bpe, mixing, pii, sharding, token_files
+from aerolake.llm import bpe, mixing, pii, sharding, simhash, token_files
 
-MODULES = [bpe, mixing, pii, sharding, token_files]
+MODULES = [bpe, mixing, pii, sharding, simhash, token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
