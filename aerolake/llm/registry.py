@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolake.llm import bpe, mixing, pii, quality, sharding, simhash, token_files
+from aerolake.llm import bpe, licenses, mixing, pii, quality, sharding, simhash, token_files, topk
 
-MODULES = [bpe, mixing, pii, quality, sharding, simhash, token_files]
+MODULES = [bpe, licenses, mixing, pii, quality, sharding, simhash, token_files, topk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
