@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,6 +239,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     return rows.join(of_fp, "fp")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with all its columns."""
+    key = F.xxhash64("doc_id", text_or_empty())
+    near = near_duplicates(docs.select("doc_id", key.alias("_key"), "text"), **options)
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first"), F.count("*").alias("_n"))
+    keys = materialise(first.select(F.col("_first._key").alias("_key")), "simhash-kept")
+    out = docs.withColumn("_key", key).join(keys, "_key", "left_semi")
+    repeated = near.groupBy("doc_id", "_key").count().filter("count > 1").select("_key")
+    if not repeated.isEmpty():  # equal rows: one of them
+        out = out.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))).filter("_i = 1").drop("_i")
+    return out.select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
