@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerolake.functions import weather
+from aerolake.functions.calendar import day_type, rounded
+from aerolake.operators import series
+from aerolake.plans import queries as own
+from aerolake.sources.tables import table
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Increment of one series over another by wind sector and day type."""
+    hours = series.hourly(table(spark, sf_dir, "events"), "event_type", "ts", "value")
+    pairs = series.paired_increment(hours, "purchase", "view")
+    rows = pairs.select("inc", weather.rose_sector(F.col("u") * 7.3, F.col("u")).alias("sector"), day_type(F.col("t")).alias("daytype"))
+    return rows.groupBy("sector", "daytype").agg(F.count("*").alias("n"), rounded(F.avg("inc"), 3).alias("mean_inc"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(own.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(own.ORACLES)
