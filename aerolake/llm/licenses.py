@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from aerolake.llm.common import materialise, read_table, text_or_empty
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words before A-Z become lower case, so A-Z are word characters too.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASE_GRAM, NOTICE_GRAM = 2, 5
 #: Diagonals this near are one span if the words between are as few.
 NEAR = 8
@@ -55,31 +57,46 @@ def template_grams(spark: SparkSession) -> DataFrame:
     """One row a template k-gram: hash, words, template, position, number of k-grams in the template."""
     rows = [(name, label, phrase, words[i : i + k], i, len(words) - k + 1, k) for name, label, phrase, words, k in templates() for i in range(len(words) - k + 1)]
     table = spark.createDataFrame(rows, "template string, label string, phrase boolean, gram array<string>, at int, n_grams int, k int")
-    return table.withColumn("hash", F.when(F.col("k") == PHRASE_GRAM, gram_hash(F.col("gram"), F.lit(1), PHRASE_GRAM)).otherwise(gram_hash(F.col("gram"), F.lit(1), NOTICE_GRAM)))
+    return table.withColumn("hash", F.when(F.col("k") == PHRASE_GRAM, F.get(rolling_pairs(word_hashes(F.col("gram"))), F.lit(0))).otherwise(F.get(rolling_fives(word_hashes(F.col("gram"))), F.lit(0))))
 
 
-def gram_hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), *(F.get(words, (at + (i - 1)).cast("int")) for i in range(k)))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text with A-Z in lower case and nothing else changed."""
-    return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+def _joined(a: Column, b: Column, n: Column) -> Column:
+    """Hashes of a[i] with b[i] for the first n places."""
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.xxhash64(x, y))
+
+
+def _from(a: Column, at: int) -> Column:
+    return F.slice(a, at + 1, F.greatest(F.size(a) - at, F.lit(0)))
+
+
+def rolling_pairs(h: Column) -> Column:
+    """Hashes of all pairs of neighbouring words."""
+    return _joined(h, _from(h, 1), F.greatest(F.size(h) - 1, F.lit(0)))
+
+
+def rolling_fives(h: Column) -> Column:
+    """Hashes of all runs of five words, by doubling: pairs, fours, fives."""
+    two = rolling_pairs(h)
+    four = _joined(two, _from(two, 2), F.greatest(F.size(two) - 2, F.lit(0)))
+    return _joined(four, _from(h, 4), F.greatest(F.size(h) - 4, F.lit(0)))
 
 
 def gram_hits(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, template, label, phrase, n_grams, diagonal, pos): verified hits of the rolling k-grams on template positions."""
-    table = template_grams(docs.sparkSession)
-    rolling = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: gram_hash(F.col("_w"), i, k))).otherwise(F.array().cast("array<bigint>"))
-    hits = None
-    for k in (PHRASE_GRAM, NOTICE_GRAM):
-        grams = docs.select(*keep, "_w", F.posexplode(rolling(k)).alias("pos", "hash"))
-        positions = F.broadcast(table.filter(F.col("k") == k).drop("k"))  # one row a template word
-        met = grams.join(positions, "hash")
-        same = F.forall(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("_w", F.col("pos") + i) == F.get("gram", i))
-        part = met.filter(same).select(*keep, "template", "label", "phrase", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", F.lit(k).alias("k"))
-        hits = part if hits is None else hits.union(part)
-    return hits
+    """(keep, template, label, phrase, n_grams, diagonal, pos): verified hits of the rolling k-grams of the words ``_w`` on template positions.
+
+    Pairs and fives of a text are one array, so that each text is read and each gram joined once. A hash is of words in lower
+    case by any letter; the check that follows lowers A-Z only.
+    """
+    positions = F.broadcast(template_grams(docs.sparkSession))  # one row a template word
+    hashed = docs.select(*keep, "_w", word_hashes(F.col("_w")).alias("_h"))
+    grams = hashed.select(*keep, "_w", F.posexplode(F.concat(rolling_pairs(F.col("_h")), rolling_fives(F.col("_h")))).alias("_i", "hash"))
+    met = grams.join(positions, "hash").withColumn("pos", F.when(F.col("k") == PHRASE_GRAM, F.col("_i")).otherwise(F.col("_i") - F.size("_w") + 1))
+    same = F.forall(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.translate(F.get("_w", F.col("pos") + i), _UPPER, _LOWER) == F.get("gram", i))
+    return met.filter((F.col("pos") >= 0) & same).select(*keep, "template", "label", "phrase", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "k")
 
 
 def spans(hits: DataFrame, keep: list[str]) -> DataFrame:
@@ -100,7 +117,7 @@ def spans(hits: DataFrame, keep: list[str]) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base places and labels, all labels, score (the best span's cover) and the spans of every document."""
     key = F.xxhash64("doc_id", text_or_empty()).alias("_key")
-    rows = docs.select("doc_id", key, words_of(text_or_empty()).alias("_w"))
+    rows = docs.select("doc_id", key, F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)).alias("_w"))
     found = materialise(gram_hits(rows, ["_key"]).distinct(), "license-hits")  # equal rows share a key
     base = F.col("phrase")
     per_doc = spans(found, ["_key"]).groupBy("_key").agg(
@@ -111,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    counted = docs.select("doc_id", key, F.coalesce(F.regexp_count(F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", key, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("n_words"))
     out = counted.join(per_doc, "_key", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
