@@ -17,9 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,7 @@ END_ID = 2
 LENGTH = 1024
 #: Sequences of a record batch.
 BATCH_SEQUENCES = 256
-MEMO = 300_000
+MEMO = 600_000
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -52,16 +50,24 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.memo = Memo(MEMO)
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _units(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def encode(self, text: str) -> list[int]:
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units by one call on a text of a unit a line; a newline between two words is a token of its own."""
+        if any(u.isspace() for u in units):
+            return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, np.int32)
+        ends = [*(np.flatnonzero(ids == self.newline) * 4).tolist(), 4 * len(ids)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        """Ids as 32-bit integers."""
         units = None if any(t in text for t in self.added) else cut(text)
         if units is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(self.memo.many(units, self._units)))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+        return b"".join(self.memo.many(units, self._units))
 
 
 class TokenFileWriter:
@@ -80,11 +86,11 @@ class TokenFileWriter:
         self.rest = np.empty(0, self.dtype)
         self.n_docs = self.n_tokens = 0
 
-    def add(self, doc_ids: pa.Array, counts: list[int], ids: array) -> None:
+    def add(self, doc_ids: pa.Array, counts: list[int], ids: np.ndarray) -> None:
         self.docs.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64())], schema=self.docs_schema))
         self.n_docs += len(counts)
         self.n_tokens += len(ids)
-        self.rest = np.concatenate([self.rest, np.frombuffer(ids, np.int32).astype(self.dtype)])
+        self.rest = np.concatenate([self.rest, ids.astype(self.dtype)])
         step = self.length * BATCH_SEQUENCES
         while len(self.rest) >= step:
             self._write(self.rest[:step])
@@ -171,13 +177,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
                 encoder = worker_encoder(tokenizer_path or default_tokenizer_path())
                 uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
                 writer = TokenFileWriter(uri, length, max(encoder.n_ids, end_id + 1) > 1 << 16, batch.schema.field(0).type)
-            flat, counts = array("i"), []
-            for text in batch.column(1):
-                before = len(flat)
-                flat.extend(encoder.encode(text.as_py()))
-                flat.append(end_id)
-                counts.append(len(flat) - before)
-            writer.add(batch.column(0), counts, flat)
+            end = np.int32(end_id).tobytes()
+            found = [encoder.encode(text.as_py()) + end for text in batch.column(1)]
+            writer.add(batch.column(0), [len(x) // 4 for x in found], np.frombuffer(b"".join(found), np.int32))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part], pa.int32()), pa.array([writer.n_docs]), pa.array([writer.n_tokens])], names=MANIFEST.names)
