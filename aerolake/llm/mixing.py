@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, materialise, read_table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -126,17 +126,21 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs.select("doc_id", "source", "text"), key=key, **options).select("_key", "copies", "_h")
     taken = materialise(taken, "mix-taken")
     repeated = materialise(taken.groupBy("_key").count().filter("count > 1").select("_key"), "mix-repeated")
-    keyed = docs.withColumn("_key", key)
-    once = taken.filter("copies > 0")
+    names = {c: free_name(docs, c) for c in ("_key", "_i", "_copies", "_copy")}
+    own, place, times, copy = names.values()
+    keyed = docs.withColumn(own, key)
+    taken = taken.select(F.col("_key").alias(own), F.col("copies").alias(times))
+    once = taken.filter(F.col(times) > 0)
     if repeated.isEmpty():
-        out = keyed.join(once.select("_key", "copies"), "_key")
+        out = keyed.join(once, own)
     else:  # equal rows share a key: pair the i-th row with the i-th number of copies
-        order = Window.partitionBy("_key").orderBy("_key")
-        counts = taken.join(repeated, "_key", "left_semi").withColumn("_i", F.row_number().over(order)).select("_key", "_i", "copies")
-        same = keyed.join(repeated, "_key", "left_semi").withColumn("_i", F.row_number().over(order)).join(counts, ["_key", "_i"]).drop("_i")
-        single = keyed.join(once.join(repeated, "_key", "left_anti").select("_key", "copies"), "_key")
-        out = single.unionByName(same.filter("copies > 0"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+        repeated = repeated.withColumnRenamed("_key", own)
+        order = Window.partitionBy(own).orderBy(own)
+        counts = taken.join(repeated, own, "left_semi").withColumn(place, F.row_number().over(order))
+        same = keyed.join(repeated, own, "left_semi").withColumn(place, F.row_number().over(order)).join(counts, [own, place]).drop(place)
+        single = keyed.join(once.join(repeated, own, "left_anti"), own)
+        out = single.unionByName(same.filter(F.col(times) > 0))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

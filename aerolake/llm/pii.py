@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, materialise, read_table, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("spelled_email", "local_phone", "ssn", "iban", "person")
@@ -236,20 +236,21 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; n_chars follows where it exists. Null text stays null."""
-    key = F.xxhash64("doc_id", text_or_empty()).alias("_key")
-    spans = label(docs.select("doc_id", "text", key), ["_key"]).filter(F.size("spans") > 0).dropDuplicates(["_key"])
-    both = docs.withColumn("_key", key).join(spans, "_key", "left")
+    named, found_in = free_name(docs, "_key"), free_name(docs, "_spans")
+    key = F.xxhash64("doc_id", text_or_empty())
+    spans = label(docs.select("text", key.alias(named)), [named]).filter(F.size("spans") > 0).dropDuplicates([named])
+    both = docs.withColumn(named, key).join(spans.withColumnRenamed("spans", found_in), named, "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
         hidden = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).cast("bigint").alias("at"), hidden.alias("out"))
 
-    clean = F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean)
+    clean = F.aggregate(found_in, start, add, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    text = F.when(F.col(found_in).isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean)
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(found_in).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

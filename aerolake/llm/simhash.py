@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolake.llm.common import map_batches, materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, map_batches, materialise, read_table, text_or_empty
 from aerolake.llm.components import components
 
 SHINGLE = 4
@@ -245,10 +245,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     near = near_duplicates(docs.select("doc_id", key.alias("_key"), "text"), **options)
     first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first"), F.count("*").alias("_n"))
     keys = materialise(first.select(F.col("_first._key").alias("_key")), "simhash-kept")
-    out = docs.withColumn("_key", key).join(keys, "_key", "left_semi")
+    named, place = free_name(docs, "_key"), free_name(docs, "_i")
+    out = docs.withColumn(named, key).join(keys.withColumnRenamed("_key", named), named, "left_semi")
     repeated = near.groupBy("doc_id", "_key").count().filter("count > 1").select("_key")
     if not repeated.isEmpty():  # equal rows: one of them
-        out = out.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))).filter("_i = 1").drop("_i")
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(named).orderBy("doc_id"))).filter(F.col(place) == 1)
     return out.select(*docs.columns)
 
 
