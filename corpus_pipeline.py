@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm import bpe, mixing, pii, quality, simhash
-from aerolake.llm.common import new_folder, text_or_empty
+from aerolake.llm.common import free_name, new_folder, text_or_empty
 
 #: SQL cannot express fingerprints, the trained classifier, Newton steps or merges; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    judged = quality.quality(docs.withColumn("text", text_or_empty()), keep_text=True)
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that the rules keep; columns named like a measure stay as they are."""
+    added = {f.name for f in quality.FIELDS} | {"base_failed", "kept"}
+    own = {c: free_name(docs, f"_{c}") for c in docs.columns if c.lower() in added}
+    judged = quality.quality(docs.withColumnsRenamed(own).withColumn("text", text_or_empty()), keep_text=True)
+    return judged.filter("kept").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
