@@ -190,7 +190,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 def read_documents(manifest: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
     """Every document of the written files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file", "part", before.alias("base")).repartition("part")  # a row a file
+    files = manifest.select("file", "part", before.alias("base"))  # a row a file
+    files = files.repartitionByRange(max(1, manifest.count()), "part")  # a task a file: a number that is given is not coalesced
     schema = T.StructType([T.StructField("doc_id", id_type or T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
 
     def run(batches):
