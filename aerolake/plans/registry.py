@@ -11,6 +11,7 @@ from aerolake.functions import weather
 from aerolake.functions.calendar import day_type, rounded
 from aerolake.operators import series
 from aerolake.plans import queries as own
+from aerolake.plans import summary_queries as more
 from aerolake.sources.tables import table
 
 
@@ -23,8 +24,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(own.QUERIES)
+    return own.QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(own.ORACLES)
+    return own.ORACLES | more.ORACLES
