@@ -28,3 +28,32 @@ def band(value: Column, breaks: tuple[float, ...]) -> Column:
     """Display band from 1; a value on a break belongs to the upper band."""
     over = F.array(*(F.when(value >= b, 1).otherwise(0) for b in breaks))
     return F.aggregate(over, F.lit(1), lambda a, x: a + x)
+
+
+def photolysis(sun: Column) -> Column:
+    """J(NO2) in 1/s from irradiance."""
+    g = F.greatest(F.lit(0.0), F.coalesce(sun, F.lit(0.0)))
+    return F.greatest(F.lit(0.0), 1.05 * (1.47e-5 * g - 4.84e-9 * g * g))
+
+
+def titration(celsius: Column, hpa: float = 1013.25) -> Column:
+    """k(NO + O3) in 1/(ppb s); missing temperature: 15."""
+    kelvin = F.coalesce(celsius, F.lit(15.0)) + 273.15
+    return 3.0e-12 * F.exp(-1500 / kelvin) * (7.2429e18 * hpa / kelvin) * 1e-9
+
+
+def briggs(cls: Column, x: Column) -> tuple[Column, Column]:
+    """Lateral and vertical spread in metres at distance x in a built-up area."""
+    across = F.when(cls.isin("A", "B"), 0.32).when(cls == "C", 0.22).when(cls == "D", 0.16).otherwise(0.11)
+    up = F.when(cls.isin("A", "B"), 0.24 * x * F.sqrt(1 + 0.001 * x)).when(cls == "C", 0.2 * x).when(cls == "D", 0.14 * x / F.sqrt(1 + 0.0003 * x))
+    return across * x / F.sqrt(1 + 0.0004 * x), up.otherwise(0.08 * x / F.sqrt(1 + 0.0015 * x))
+
+
+def increment(gamma: Column, age: Column, strength: Column, u: Column, beta: float, default_tau: float = 60.0) -> tuple[Column, Column, Column]:
+    """Total, parts by group, and mean age of what all groups add, for arrays over groups and the effective wind u; NULL entries are 0."""
+    zero = F.lit(0.0)
+    times = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, zero) * F.coalesce(y, zero))
+    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
+    parts = F.transform(times(strength, gamma), lambda x: 1e6 * beta * x / u)
+    mass = total(times(strength, gamma)) / u
+    return total(parts), parts, F.when(mass > 0, total(times(strength, age)) / (u * u) / mass).otherwise(default_tau)

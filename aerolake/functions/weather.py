@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,14 +41,77 @@ def direction_weights(direction: Column, u: Column) -> Column:
     return F.transform(kernel, lambda w: w / F.aggregate(kernel, F.lit(0.0), lambda a, x: a + x))
 
 
+# Classes by irradiance (rows, from strong to weak) and wind (columns); floors of the rows; limits of the columns.
+DAY_CLASSES = ("AABCC", "ABBCD", "BCCDD", "DDDDD")
+DAY_SUN = (925, 675, 175)
+DAY_WIND = (2, 3, 5, 6)
+# Slope and offset of 1/L against log10 of roughness; median mixing height of each class in metres.
+INVERSE_L = {"A": (-0.096, 0.029), "B": (-0.037, 0.029), "C": (-0.002, 0.018), "D": (0.0, 0.0), "E": (0.004, -0.018), "F": (0.035, -0.036)}
+MIXING = {"A": 1178.0, "B": 520.0, "C": 1060.0, "D": 135.0, "E": 278.0, "F": 30.0}
+# Upper limits of Beaufort forces 0 to 11, m/s.
+BEAUFORT = (0.3, 1.6, 3.4, 5.5, 8.0, 10.8, 13.9, 17.2, 20.8, 24.5, 28.5, 32.7)
+
+
+def choose(key: Column, values: dict) -> Column:
+    """Value of a small dictionary; NULL for other keys."""
+    return F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in values.items()))
+
+
 def stability(u: Column, sun: Column, cloud: Column) -> Column:
-    """Class A to F: by day from irradiance (W/m2) and wind, by night from cloud (0 to 1) and wind."""
-    day = (
-        F.when(u < 2, F.when(sun >= 675, "A").when(sun >= 175, "B").otherwise("D"))
-        .when(u < 3, F.when(sun >= 675, "B").when(sun >= 175, "C").otherwise("D"))
-        .when(u < 5, F.when(sun >= 675, "B").when(sun >= 175, "C").otherwise("D"))
-        .when(u < 6, F.when(sun >= 675, "C").otherwise("D"))
-        .otherwise("D")
-    )
-    night = F.when(u < 3, F.when(cloud < 0.5, "F").otherwise("E")).when(u < 5, F.when(cloud < 0.5, "E").otherwise("D")).otherwise("D")
-    return F.when(sun > 20, day).otherwise(night)
+    """Class A to F: by day from irradiance (W/m2) and wind; at night (no irradiance) from cloud (percent, missing: 50) and wind. Missing wind: D."""
+    row = F.when(sun >= DAY_SUN[0], DAY_CLASSES[0]).when(sun >= DAY_SUN[1], DAY_CLASSES[1]).when(sun >= DAY_SUN[2], DAY_CLASSES[2]).otherwise(DAY_CLASSES[3])
+    column = F.lit(1)
+    for limit in DAY_WIND:
+        column = column + (u >= limit).cast("int")
+    covered = F.coalesce(cloud, F.lit(50.0))
+    calm = F.when(covered > 40, F.lit(1.9)).otherwise(F.lit(3.4))
+    fresh = F.when(covered > 40, F.lit(3.4)).otherwise(F.lit(5.5))
+    night = F.when(covered >= 95, "D").when(u < calm, "F").when(u < fresh, "E").otherwise("D")
+    return F.when(u.isNull(), "D").when(F.coalesce(sun, F.lit(0.0)) > 0, F.substr(row, column, F.lit(1))).otherwise(night)
+
+
+def stability_group(cls: Column) -> Column:
+    return F.when(cls.isin("A", "B", "C"), "AC").when(cls.isin("E", "F"), "EF").otherwise("D")
+
+
+def inverse_obukhov(cls: Column, z0: float) -> Column:
+    """1/L: zero in neutral air, so no infinities arise; roughness counts up to 0.5 m."""
+    rough = math.log10(min(z0, 0.5))
+    return choose(cls, {c: a + b * rough for c, (a, b) in INVERSE_L.items()})
+
+
+def mixing_height(cls: Column, blh: Column, floor: float) -> Column:
+    """Given height, else the class's median, at least ``floor``."""
+    return F.greatest(F.coalesce(blh, choose(cls, MIXING)), F.lit(floor))
+
+
+def beaufort(u: Column) -> Column:
+    force = F.lit(0)
+    for limit in BEAUFORT:
+        force = force + (u >= limit).cast("int")
+    return force
+
+
+def angle_between(a: Column, b: Column) -> Column:
+    """Signed difference in (-180, 180]."""
+    d = wrap360(a - b)
+    return F.when(d > 180, d - 360).otherwise(d)
+
+
+def solar_elevation(t: Column, lat: float, lon: float) -> Column:
+    """Degrees above the horizon by the short Fourier series of Spencer (1971), without refraction; t in UTC."""
+    hour = F.hour(t) + F.minute(t) / 60 + F.second(t) / 3600
+    year = F.dayofyear(F.make_date(F.year(t), F.lit(12), F.lit(31)))
+    g = 2 * math.pi / year * (F.dayofyear(t) - 1 + (hour - 12) / 24)
+    minutes = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
+    tilt = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
+    angle = F.radians((hour * 60 + minutes + 4 * lon) / 4 - 180)
+    up = math.sin(math.radians(lat)) * F.sin(tilt) + math.cos(math.radians(lat)) * F.cos(tilt) * F.cos(angle)
+    return 90 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))))
+
+
+def irradiance(elevation: Column, cloud: Column) -> Column:
+    """Clear-sky irradiance less cloud (percent, missing: 50), W/m2; none below the horizon."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cloud, F.lit(50.0)) / 100))
+    clear = (990 * F.sin(F.radians(elevation)) - 30) * (1 - 0.75 * F.pow(share, F.lit(3.4)))
+    return F.when(elevation > 0, F.greatest(F.lit(0.0), clear)).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.functions.calendar import day_type
+from aerolake.functions.calendar import day_type, hours_in_local_year, local_start
 
 
 def hourly(raw: DataFrame, key: str, t: str, v: str) -> DataFrame:
@@ -89,3 +89,20 @@ def chang_hanna(pairs: DataFrame, floor: float, *by: str) -> DataFrame:
         *by, "n", ratio(2 * (F.col("mo") - F.col("mp")), F.col("mo") + F.col("mp")).alias("fb"), ratio(F.col("mse"), F.col("mo") * F.col("mp")).alias("nmse"), F.sqrt("mse").alias("rmse"),
         "fac2", F.exp("l").alias("mg"), F.exp("l2").alias("vg"), ratio(F.col("mae"), F.col("mo") + F.col("mp")).alias("nad"), ratio(F.col("c"), F.col("so") * F.col("sp")).alias("r"),
     )
+
+
+def annual(series: DataFrame, last_year: int, least: float = 0.75) -> DataFrame:
+    """(key, year, n, coverage, v) by the local year of the hour's start; v only for years up to last_year with coverage ``least``."""
+    years = series.groupBy("key", F.year(local_start(F.col("t"))).alias("year")).agg(F.count("v").alias("n"), F.avg("v").alias("m"))
+    share = F.col("n") / hours_in_local_year(F.col("year"))
+    return years.select("key", "year", "n", (100 * share).alias("coverage"), F.when((F.col("year") <= last_year) & (share >= least), F.col("m")).alias("v"))
+
+
+def now(series: DataFrame, stale_after: int = 6, hours: int = 24, least: int = 18) -> DataFrame:
+    """(key, t, v, mean, stale): last value, mean of the hours up to it if enough, and whether it is older than the newest of all keys by more than stale_after hours."""
+    known = series.dropna(subset=["v"])
+    last = known.groupBy("key").agg(F.max("t").alias("last"), F.max_by("v", "t").alias("lv"))
+    newest = last.agg(F.max("last").alias("newest"))
+    recent = known.join(last, "key").filter(F.col("t") > F.col("last") - F.expr(f"INTERVAL {hours} HOURS"))
+    means = recent.groupBy("key", "last", "lv").agg(F.avg("v").alias("m"), F.count("*").alias("n")).join(F.broadcast(newest), F.lit(True))  # one row
+    return means.select("key", F.col("last").alias("t"), F.col("lv").alias("v"), F.when(F.col("n") >= least, F.col("m")).alias("mean"), (F.col("last") < F.col("newest") - F.expr(f"INTERVAL {stale_after} HOURS")).alias("stale"))

@@ -198,12 +198,13 @@ def gap_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.gap_breaks(_hours(spark, sf_dir), 1)
 
 
-@query("""WITH x AS (SELECT event_id, value AS s, value / 60 AS u, value % 1 AS c FROM events) SELECT event_id, CASE WHEN s > 20 THEN
-CASE WHEN u < 2 THEN CASE WHEN s >= 675 THEN 'A' WHEN s >= 175 THEN 'B' ELSE 'D' END WHEN u < 3 THEN CASE WHEN s >= 675 THEN 'B' WHEN s >= 175 THEN 'C' ELSE 'D' END
-WHEN u < 5 THEN CASE WHEN s >= 675 THEN 'B' WHEN s >= 175 THEN 'C' ELSE 'D' END WHEN u < 6 THEN CASE WHEN s >= 675 THEN 'C' ELSE 'D' END ELSE 'D' END
-ELSE CASE WHEN u < 3 THEN CASE WHEN c < 0.5 THEN 'F' ELSE 'E' END WHEN u < 5 THEN CASE WHEN c < 0.5 THEN 'E' ELSE 'D' END ELSE 'D' END END AS cls FROM x""")
+@query("""WITH x AS (SELECT event_id, value * 3 - 200 AS s, value / 60 AS u, value % 100 AS c FROM events)
+SELECT event_id, CASE WHEN s > 0 THEN substr(CASE WHEN s >= 925 THEN 'AABCC' WHEN s >= 675 THEN 'ABBCD' WHEN s >= 175 THEN 'BCCDD' ELSE 'DDDDD' END,
+CASE WHEN u < 2 THEN 1 WHEN u < 3 THEN 2 WHEN u < 5 THEN 3 WHEN u < 6 THEN 4 ELSE 5 END, 1) WHEN c >= 95 THEN 'D'
+WHEN c > 40 THEN CASE WHEN u < 1.9 THEN 'F' WHEN u < 3.4 THEN 'E' ELSE 'D' END ELSE CASE WHEN u < 3.4 THEN 'F' WHEN u < 5.5 THEN 'E' ELSE 'D' END END AS cls FROM x""")
 def stability_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", weather.stability(F.col("value") / 60, F.col("value"), F.col("value") % 1).alias("cls"))
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", weather.stability(v / 60, v * 3 - 200, v % 100).alias("cls"))
 
 
 @query("SELECT event_id, CAST(1 + (value > 10)::INT + (value > 25)::INT + (value > 60)::INT + (value > 100)::INT AS INTEGER) AS level, CAST(1 + (value >= 10)::INT + (value >= 25)::INT + (value >= 60)::INT + (value >= 100)::INT AS INTEGER) AS band FROM events")
