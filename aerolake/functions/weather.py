@@ -38,7 +38,9 @@ def direction_weights(direction: Column, u: Column) -> Column:
         return F.exp(-0.5 * F.pow(apart / sigma, F.lit(2.0)))
 
     kernel = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(u < CALM, F.lit(1.0)).otherwise(raw(i.cast("double"))))
-    return F.transform(kernel, lambda w: w / F.aggregate(kernel, F.lit(0.0), lambda a, x: a + x))
+    # kept in one-element arrays, so that the kernel and its sum are computed once a row and not once a sector
+    summed = F.transform(F.array(kernel), lambda k: F.struct(k.alias("k"), F.aggregate(k, F.lit(0.0), lambda a, x: a + x).alias("s")))
+    return F.transform(summed, lambda h: F.transform(h["k"], lambda w: w / h["s"]))[0]
 
 
 # Classes by irradiance (rows, from strong to weak) and wind (columns); floors of the rows; limits of the columns.
