@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules keep; columns named like a measure stay as they are."""
     added = {f.name for f in quality.FIELDS} | {"base_failed", "kept"}
     own = {c: free_name(docs, f"_{c}") for c in docs.columns if c.lower() in added}
-    judged = quality.quality(docs.withColumnsRenamed(own).withColumn("text", text_or_empty()), keep_text=True)
+    judged = quality.quality(docs.withColumnsRenamed(own).withColumn("text", text_or_empty()), quality.read_labels(spark, sf_dir), keep_text=True)
     return judged.filter("kept").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
