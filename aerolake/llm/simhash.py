@@ -227,23 +227,32 @@ def _subsets(bits: int, most: int) -> list[tuple[int, ...]]:
     return [c for k in range(most + 1) for c in combinations(range(bits), k)]
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, rotations: int = ROTATIONS, leaves: int = LEAVES) -> DataFrame:
-    """Append ``fp`` and ``component_id``, the smallest doc_id reachable over links, to docs; the text is dropped."""
+def _rooted(docs: DataFrame, distance: int, width: int, rotations: int, leaves: int) -> tuple[DataFrame, DataFrame]:
+    """docs with ``fp`` for the text, and (fp, least, root): the least doc_id of a fingerprint and the least fingerprint of its component."""
     rows = materialise(with_fingerprint(docs.withColumn("text", text_or_empty()), width=width), "simhash-rows")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fingerprints")
     roots = components(links(fps.select("fp"), distance, rotations, leaves))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "simhash-roots")
+    return rows, materialise(named, "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, rotations: int = ROTATIONS, leaves: int = LEAVES) -> DataFrame:
+    """Append ``fp`` and ``component_id``, the smallest doc_id reachable over links, to docs; the text is dropped."""
+    rows, named = _rooted(docs, distance, width, rotations, leaves)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.join(ids, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with all its columns."""
+def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, rotations: int = ROTATIONS, leaves: int = LEAVES) -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with all its columns.
+
+    Components are told apart by their root: ids may be null or repeated, so that components share their smallest.
+    """
     key = F.xxhash64("doc_id", text_or_empty())
-    near = near_duplicates(docs.select("doc_id", key.alias("_key"), "text"), **options)
-    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first"), F.count("*").alias("_n"))
+    rows, named_fps = _rooted(docs.select("doc_id", key.alias("_key"), "text"), distance, width, rotations, leaves)
+    near = rows.join(named_fps.select("fp", "root"), "fp")
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first"))
     keys = materialise(first.select(F.col("_first._key").alias("_key")), "simhash-kept")
     named, place = free_name(docs, "_key"), free_name(docs, "_i")
     out = docs.withColumn(named, key).join(keys.withColumnRenamed("_key", named), named, "left_semi")
