@@ -25,6 +25,7 @@ SCOPE = frozenset("table td th ul ol dl div section article aside nav main heade
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.I) for name in RAW}
 NAME_PART = re.compile(r"[a-z]+")
 
 PATH_DIM, WORD_DIM, SHAPE_DIM = 96, 16, 8
@@ -44,8 +45,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     hidden = anchors = 0
     parts: list[str] = []
-    linked = 0
-    raw = ""
+    linked = at = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -62,10 +62,11 @@ def blocks(page: str) -> list[Block]:
             anchors -= name == "a"
         del stack[k:]
 
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.match(page, at):
+        at = token.end()
         closing, name, attributes, text = token.groups()
         if text is not None:
-            if not hidden and not raw:
+            if not hidden:
                 text = html.unescape(text)
                 parts.append(text)
                 linked += len(text) if anchors else 0
@@ -73,10 +74,7 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if raw and not (closing and name == raw):
-            continue
         if closing:
-            raw = ""
             if name == "br":
                 parts.append(" ")
                 continue
@@ -116,9 +114,12 @@ def blocks(page: str) -> list[Block]:
             continue
         words = tuple(w for a in ATTRIBUTE.finditer(attributes) for w in NAME_PART.findall((a[2] or a[3] or a[4] or "").lower()))
         if not attributes.endswith("/") or name in ("p", "div", "script", "style"):
+            if name in RAW:  # no markup inside: on to its end tag, or to the end of the page
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+                continue
             stack.append((name, words))
             hidden += name in HIDDEN
-            raw = name if name in RAW else ""
     flush()
     return out
 
