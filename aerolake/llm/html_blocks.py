@@ -28,7 +28,7 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.I) for name in RAW}
 NAME_PART = re.compile(r"[a-z]+")
 
-PATH_DIM, WORD_DIM, SHAPE_DIM = 96, 16, 8
+PATH_DIM, WORD_DIM, SHAPE_DIM = 96, 64, 8
 DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 
 
@@ -128,6 +128,7 @@ def _slot(text: str, size: int, salt: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"), salt) % size
 
 
+#: Slots of words and vectors of paths seen, up to a bound: they save work and change no result.
 _SLOTS: dict[str, int] = {}
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
@@ -146,17 +147,29 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return known
 
 
+def _word_vector(text: str) -> np.ndarray:
+    """Share of the block's words in each slot; every word counts."""
+    words = text.lower().split(" ")
+    slots = []
+    for w in words:
+        slot = _SLOTS.get(w)
+        if slot is None:
+            slot = _slot(w, WORD_DIM, 3)
+            if len(_SLOTS) < 100_000 and len(w) <= 64:
+                _SLOTS[w] = slot
+        slots.append(slot)
+    return np.bincount(slots, minlength=WORD_DIM) / len(words)
+
+
 def vectors(found: list[Block]) -> np.ndarray:
-    """A row a block: hashed tag path, hashed first and last words, shape."""
+    """A row a block: hashed tag path, hashed words (all of them), shape."""
     out = np.zeros((len(found), DIM), np.float32)
     n = len(found)
     for i, b in enumerate(found):
         row = out[i]
         row[:PATH_DIM] = _path_vector(b.path)
-        head = b.text[:80].lower().split(" ")[:6]
-        for w in head:
-            row[PATH_DIM + _slot(w, WORD_DIM, 3)] += 0.2
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = _word_vector(b.text)
         size = len(b.text)
         words = b.text.count(" ") + 1
-        row[-SHAPE_DIM:] = (min(size, 1000) / 500, np.log1p(size) / 7, b.links / size, size / words / 10, b.text[-1:] in ".!?", i / n, words < 5, b.text[:1] in "©")
+        row[-SHAPE_DIM:] = (np.log1p(words) / 5, np.log1p(size) / 7, b.links / size, size / words / 10, b.text[-1:] in ".!?", i / n, words < 5, b.text[:1] in "©")
     return out
