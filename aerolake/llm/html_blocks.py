@@ -161,12 +161,13 @@ def _word_vector(text: str) -> np.ndarray:
     return np.bincount(slots, minlength=WORD_DIM) / len(words)
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """A row a block: hashed tag path, hashed words (all of them), shape."""
-    out = np.zeros((len(found), DIM), np.float32)
+def vectors(found: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """A row a block from start to end: hashed tag path, hashed words (all of them), shape. ``found`` holds the whole page."""
     n = len(found)
-    for i, b in enumerate(found):
-        row = out[i]
+    end = n if end is None else min(end, n)
+    out = np.zeros((end - start, DIM), np.float32)
+    for i, b in enumerate(found[start:end], start):
+        row = out[i - start]
         row[:PATH_DIM] = _path_vector(b.path)
         row[PATH_DIM : PATH_DIM + WORD_DIM] = _word_vector(b.text)
         size = len(b.text)

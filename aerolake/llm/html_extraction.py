@@ -27,8 +27,8 @@ from aerolake.llm.html_blocks import DIM, Block, blocks, vectors
 TRAIN_PAGES = 1000
 HIDDEN = 24
 EPOCHS = 5
-#: Blocks a recurrent pass reads at once; longer pages are read in windows that overlap by CONTEXT blocks on both sides.
-WINDOW, CONTEXT = 512, 64
+#: Blocks whose features a recurrent pass holds at once; longer pages are read chunk by chunk, states carried on.
+CHUNK = 512
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -39,12 +39,15 @@ class Lstm:
     """One direction; parameters W (DIM + hidden + 1, 4 * hidden), gates in the order input, forget, output, candidate."""
 
     @staticmethod
-    def forward(w: np.ndarray, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """x (time, pages, DIM), mask (time, pages): hidden states, and what backward needs."""
+    def forward(w: np.ndarray, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: list[np.ndarray] | None = None):
+        """x (time, pages, DIM), mask (time, pages): hidden states, and what backward needs.
+
+        ``state`` holds h and c to go on from (empty: zeros) and takes those at the end.
+        """
         t, n, d = x.shape
         h_dim = w.shape[1] // 4
         inputs = (x.reshape(t * n, d) @ w[:d] + w[-1]).reshape(t, n, -1)
-        h, c = np.zeros((n, h_dim), np.float32), np.zeros((n, h_dim), np.float32)
+        h, c = state or (np.zeros((n, h_dim), np.float32), np.zeros((n, h_dim), np.float32))
         out, saved = np.zeros((t, n, h_dim), np.float32), []
         for i in range(t):
             z = inputs[i] + h @ w[d:-1]
@@ -59,6 +62,8 @@ class Lstm:
                 saved.append((h, c, gates, new, squashed))
             h, c = h_next, c_next
             out[i] = h
+        if state is not None:
+            state[:] = h, c
         return (out, saved) if keep else out
 
     @staticmethod
@@ -123,19 +128,28 @@ class Labeller:
                 out[i] = z[: len(seqs[i]), j]
         return [np.empty(0, np.float32) if z is None else z for z in out]
 
+    def long_logits(self, found: list[Block], chunk: int = CHUNK) -> np.ndarray:
+        """What ``logits`` gives for one page, with the features of one chunk in memory and two hidden states a block."""
+        n, hidden = len(found), self.w["ahead"].shape[1] // 4
+        both = np.empty((n, 2 * hidden), np.float32)
+        starts = range(0, n, chunk)
+        for name, order, turn, part in (("ahead", starts, 1, slice(0, hidden)), ("back", reversed(starts), -1, slice(hidden, None))):
+            state: list[np.ndarray] = []
+            for a in order:
+                x = vectors(found, a, a + chunk)[::turn, None]
+                out = Lstm.forward(self.w[name], x, np.ones(x.shape[:2], np.float32), state=state)
+                both[a : a + chunk, part] = out[::turn, 0]
+        return both @ self.w["out"][:-1] + self.w["out"][-1]
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Is each block of each page article? Windows keep memory bounded on very long pages."""
-        pieces, where = [], []
+        """Is each block of each page article? Every label sees the whole page, however long."""
+        short = [p for p, found in enumerate(pages) if len(found) <= CHUNK]
+        out = [np.zeros(0, bool) for _ in pages]
+        for p, z in zip(short, self.logits([vectors(pages[p]) for p in short]), strict=True):
+            out[p] = z > 0
         for p, found in enumerate(pages):
-            x = vectors(found)
-            step = WINDOW - 2 * CONTEXT
-            for a in range(0, len(found), step) if len(found) > WINDOW else (0,):
-                low, high = (max(0, a - CONTEXT), min(len(found), a + step + CONTEXT)) if len(found) > WINDOW else (0, len(found))
-                pieces.append(x[low:high])
-                where.append((p, a, min(len(found), a + step) if len(found) > WINDOW else len(found), low))
-        out = [np.zeros(len(found), bool) for found in pages]
-        for z, (p, a, b, low) in zip(self.logits(pieces), where, strict=True):
-            out[p][a:b] = z[a - low : b - low] > 0
+            if len(found) > CHUNK:
+                out[p] = self.long_logits(found) > 0
         return out
 
     def fit(self, seqs: list[np.ndarray], labels: list[np.ndarray], epochs: int, seed: int, rate: float = 0.01) -> None:
