@@ -14,7 +14,7 @@ the data; each gives k candidates a query, and a last aggregate keeps the best k
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; shorter vectors count as padded
 with zeros; ties go to the smaller vec_id; a query finds every row but its own (rows with its vec_id); repeated vec_ids are
-repeated candidates; a null vec_id takes no part; an empty table gives an empty table; further columns play no part.
+repeated candidates, and the products of all rows of a repeated query id are ranked together; a null vec_id takes no part; an empty table gives an empty table; further columns play no part.
 Products must fit a long.
 """
 
@@ -59,6 +59,7 @@ def search(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     kind = np.float32 if bound < 1 << 24 else np.float64  # products and sums stay exact integers
     if bound >= 1 << 53:
         kind = np.int64
+    wide = np.float32(1e-3 + bound * (2.0**-20 if kind == np.float32 else 2.0**-50))  # rounding of scores with slack, many times over
     qs = q.astype(kind)
     scores = np.zeros((len(q), len(v)), kind)
     rest = v.astype(np.float64)
@@ -68,7 +69,7 @@ def search(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     for _, postings in segments(v):
         scores += qs @ postings.astype(kind).T
         rest = rest - postings
-        slack = (q_norm[:, None] * np.linalg.norm(rest, axis=1)[None, :] * (1 + 1e-6)).astype(np.float32) + np.float32(1e-3)
+        slack = (q_norm[:, None] * np.linalg.norm(rest, axis=1)[None, :] * (1 + 1e-6)).astype(np.float32) + wide
         if not rest.any():
             break
         if len(v) - 1 <= k:
@@ -118,7 +119,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     h = F.xxhash64("vec_id", "v")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     index = rows.select("vec_id", "v", F.pmod(h, F.lit(blocks)).cast("int").alias("b"), each(chunks).alias("c"))
-    queries = rows.filter("_q").dropDuplicates(["vec_id"]).select("vec_id", "v", each(blocks).alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("c"))
+    queries = rows.filter("_q").select("vec_id", "v", each(blocks).alias("b"), F.pmod(h, F.lit(chunks)).cast("int").alias("c"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
