@@ -175,6 +175,13 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.completeness(rows, years).withColumn("percent", rounded(F.col("percent")))
 
 
+@query("WITH r AS (SELECT o_orderstatus AS key, CAST(year(o_orderdate) AS INTEGER) AS year, count(o_totalprice) AS n FROM orders GROUP BY 1, 2), x AS (SELECT *, CASE WHEN year % 4 = 0 AND (year % 100 <> 0 OR year % 400 = 0) THEN 8784 ELSE 8760 END AS expected FROM r) SELECT key, year, n, expected, round(100.0::DOUBLE * n / expected + 1e-9, 6) AS percent FROM x WHERE year IS NOT NULL")
+def completeness_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("key"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v"))
+    years = rows.select("year").distinct().withColumn("expected", calendar.hours_in_local_year(F.col("year")))
+    return sinks.completeness(rows, years).withColumn("percent", rounded(F.col("percent")))
+
+
 POINTS = "p AS (SELECT p_partkey AS id, ((p_partkey * 37) % 1000)::DOUBLE AS x, ((p_partkey * 91) % 997)::DOUBLE AS z FROM part)"
 
 
