@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch sent to a Python worker: whole texts of any length stay a few MB a batch.
-BATCH_ROWS = 256
+#: Rows and bytes of one call in a Python worker: Spark's own batches (64 MB at most by default) are read slice by slice.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A folder of our own stands in for it in local mode only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)
@@ -47,6 +50,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def identity(*columns: str) -> Column:
+    """256 bits that tell rows apart by these columns, nulls included: no two rows of any corpus are taken for one."""
+    parts = [F.concat(F.coalesce(F.length(c := F.col(n).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit(""))) for n in columns]
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -55,15 +64,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STATE: list = [None, None]
+
+
+def worker_state(kind: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, one thing at a time: the caches of an operator go when another one begins."""
+    if _STATE[0] != kind:
+        _STATE[:] = [None, None]
+        _STATE[:] = [kind, make()]
+    return _STATE[1]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of BATCH_ROWS rows at most, and of about BATCH_BYTES unless a row alone has more."""
+    step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def map_batches(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch], dict]], new: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """Append columns computed batch by batch in Python.
 
     ``function`` is called once a task and returns what maps a RecordBatch to {new column: values}. Columns of df that bear
-    the name of a new column are replaced; those in ``drop`` are not returned.
+    the name of a new column, in any case, are replaced; those in ``drop`` are not returned.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     names = [f.name for f in new]
-    kept = [f for f in df.schema.fields if f.name not in names and f.name not in drop]
+    taken = {n.lower() for n in names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken and f.name not in drop]
     schema = T.StructType(kept + new)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,9 +99,7 @@ def map_batches(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = function()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             got = call(batch)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in keep_names]
             columns = [c if c.type == arrow.field(i).type else c.cast(arrow.field(i).type) for i, c in enumerate(columns)]

@@ -1,25 +1,26 @@
 """Quality rules from tokeniser fertility: characters per token, byte-fallback share and token entropy, with bands.
 
-Each word is encoded on its own by a public vocabulary with byte fallback. Text that the vocabulary knows takes few tokens a
-character, next to no bytes, and spreads over many tokens; markup, codes, foreign bytes and loops do not. A document outside
-the band of its language (of its script, where the language has none) is rejected, and so is one that fails the base rules:
-under 50 words, or more than half of its words in 3-word windows found twice or more.
+Each word is encoded on its own by two public vocabularies, one of pieces with byte fallback and one of byte-level merges for many
+languages. Text that a vocabulary knows takes few tokens a character, next to no bytes, and spreads over many tokens; markup,
+codes, foreign bytes and loops do not. A byte token is a fallback byte in the first and bytes that are no text by themselves in the second.
+A document outside the band of its language (of its script, where the language has none) by either vocabulary is rejected, and so is
+one that fails the base rules: under 50 words, or more than half of its words in 3-word windows found twice or more.
 
 Bands come from the table's own labels: over all rows that a label calls good and the base rules pass, ``SHARE`` and 1 - ``SHARE``
 quantiles of each language within a script, and of each script, with ``LEAST`` such rows or more. ``BANDS`` serve where labels are too few
-or missing: their floors for Latin script are 1st percentiles over the 3,243 good rows of sf0.1; no labelled rows of other scripts exist.
+or missing: their floors for Latin script follow the 3,243 good rows of sf0.1; no labelled rows of other scripts exist.
 
 Entropy grows with length, so it is measured against the most a text of that many tokens can have: entropy / log2(tokens).
 
-Defined cases: null and empty texts have no words and fail; equal rows give equal rows; an empty table gives an empty table;
-columns named like an output column are replaced, all others are kept. A null or unknown language uses the script's band.
+Defined cases: null and empty texts have no words and fail; very long texts are measured whole; equal rows give equal rows; an
+empty table gives an empty table; columns named like an output column (in any case) are replaced, all others are kept. A null or
+unknown language uses the script's band.
 """
 
 from __future__ import annotations
 
+import base64
 from collections import Counter
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,77 +29,89 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolake.llm.common import map_batches, materialise, read_table, text_or_empty
+from aerolake.llm.common import map_batches, materialise, read_table, text_or_empty, worker_state
 from aerolake.llm.units import Memo
 
-MODEL_FILE = "piece_bpe_32k.model"
+MODEL_FILE, RANK_FILE = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS = 50
-MEMO = 300_000
+#: Bytes of a generation of a worker's memo of words; a bound on memory only.
+MEMO_BYTES = 24 << 20
 
 #: Share of good rows below a floor or above a ceiling, and good rows that a fitted band needs.
-SHARE, LEAST = 0.01, 100
+SHARE, LEAST = 0.002, 100
 #: Byte tokens that a fitted ceiling always allows: good rows without any would forbid a single emoji.
 SOME_BYTES = 0.02
 
-#: (least, most) characters per token, most byte share, least relative entropy. Keys: languages, then scripts; fitted bands
-#: have keys "language/script" besides.
-BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (2.09, 6.0, 0.10, 0.35),
-    "de": (2.11, 6.0, 0.10, 0.35),
-    "es": (1.82, 6.0, 0.10, 0.35),
-    "fr": (1.85, 6.0, 0.10, 0.35),
-    "latin": (1.8, 6.0, 0.15, 0.35),
-    "cyrillic": (1.0, 7.0, 0.15, 0.35),
-    "greek": (0.6, 6.0, 0.50, 0.30),
-    "cjk": (0.25, 3.0, 0.90, 0.25),
-    "other": (0.2, 8.0, 0.98, 0.20),
+#: For each vocabulary: least and most characters per token, most byte share, least relative entropy. Keys: languages, then
+#: scripts; fitted bands have keys "language/script" besides.
+Band = tuple[float, float, float, float, float, float, float, float]
+BANDS: dict[str, Band] = {
+    "en": (2.06, 6.0, 0.10, 0.35, 2.06, 6.0, 0.15, 0.35),
+    "de": (2.08, 6.0, 0.10, 0.35, 2.12, 6.0, 0.15, 0.35),
+    "es": (1.79, 6.0, 0.10, 0.35, 1.90, 6.0, 0.15, 0.35),
+    "fr": (1.82, 6.0, 0.10, 0.35, 1.88, 6.0, 0.15, 0.35),
+    "latin": (1.75, 6.0, 0.15, 0.35, 1.80, 6.0, 0.20, 0.35),
+    "cyrillic": (1.0, 7.0, 0.15, 0.35, 0.8, 7.0, 0.30, 0.30),
+    "greek": (0.6, 6.0, 0.50, 0.30, 0.5, 6.0, 0.60, 0.30),
+    "cjk": (0.25, 3.0, 0.90, 0.25, 0.25, 3.0, 0.95, 0.25),
+    "other": (0.2, 8.0, 0.98, 0.20, 0.2, 8.0, 0.98, 0.20),
 }
 _WHITE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _SCRIPTS = ((0x0041, 0x024F, "latin"), (0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x1E00, 0x1EFF, "latin"), (0x3040, 0x30FF, "cjk"), (0x3400, 0x9FFF, "cjk"), (0xAC00, 0xD7AF, "cjk"))
 
+#: Measures of each vocabulary, in the order of a band's numbers; those of the second bear a 2.
+MEASURES = ("chars_per_token", "byte_share", "entropy")
 FIELDS = [
-    *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")),
-    *(T.StructField(n, T.DoubleType()) for n in ("chars_per_token", "byte_share", "entropy")),
+    *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    *(T.StructField(n + v, T.LongType() if n == "n_tokens" else T.DoubleType()) for v in ("", "2") for n in ("n_tokens", *MEASURES)),
     T.StructField("script", T.StringType()),
 ]
 
 
-def default_model_path() -> str:
+def default_paths() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path(MODEL_FILE)
+    return public_tokenizers.path(MODEL_FILE), public_tokenizers.path(RANK_FILE)
 
 
 class Fertility:
-    """Tokens of words by a public vocabulary, remembered from text to text."""
+    """Tokens of words by both vocabularies, remembered from text to text."""
 
-    def __init__(self, path: str):
+    def __init__(self, model_path: str, ranks_path: str):
+        import public_tokenizers
         import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.memo = Memo(MEMO)
-        self.bytes = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return self.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
-
-    def measure(self, words: list[bytes]) -> tuple[int, float, float]:
-        """Tokens, share of byte tokens, relative entropy."""
-        ids = np.fromiter(chain.from_iterable(self.memo.many(words, self._encode)), np.int64)
-        n = len(ids)
-        if not n:
-            return 0, 0.0, 0.0
-        counts = np.bincount(ids, minlength=len(self.bytes))
-        share = float(counts[self.bytes].sum() / n)
-        p = counts[counts > 0] / n
-        return n, share, float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 0.0
-
-
-@lru_cache(1)
-def worker_fertility(path: str) -> Fertility:
-    """One a Python worker, kept from task to task."""
-    return Fertility(path)
+        import tiktoken
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.merges = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.memo = Memo(MEMO_BYTES)
+        self.first = self.model.get_piece_size()  # ids of the second vocabulary come after these
+        no_text = np.zeros(max(ranks.values()) + 1, bool)
+        for token, rank in ranks.items():
+            no_text[rank] = "\ufffd" in token.decode("utf-8", "replace")
+        self.bytes = np.concatenate([np.array([self.model.is_byte(i) for i in range(self.first)]), no_text])
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        pairs = zip(self.model.encode(texts, num_threads=1), map(self.merges.encode_ordinary, [" " + t for t in texts]), strict=True)
+        return [np.array([*a, *(self.first + i for i in b)], np.int32).tobytes() for a, b in pairs]
+
+    def measure(self, words: list[bytes], chars: int) -> list[float]:
+        """Tokens, characters per token, share of byte tokens and relative entropy by each vocabulary."""
+        ids = np.frombuffer(b"".join(self.memo.many(words, self._encode)), np.int32)
+        every, out = np.bincount(ids, minlength=len(self.bytes)), []
+        for part in (slice(0, self.first), slice(self.first, None)):
+            counts = every[part]
+            n = int(counts.sum())
+            if not n:
+                out += [0, 0.0, 0.0, 0.0]
+                continue
+            p = counts[counts > 0] / n
+            out += [n, chars / n, float(counts[self.bytes[part]].sum() / n), float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 0.0]
+        return out
 
 
 def script_of(text: str) -> str:
@@ -132,15 +145,15 @@ def measures(text: str, fertility: Fertility) -> tuple:
     words = data.split()  # bytes split at \x20 and \x09-\x0d only
     lines = [x for x in data.split(b"\n") if x.strip()]
     chars = len(text) - sum(map(text.count, _WHITE))
-    n, share, entropy = fertility.measure(words)
-    return len(words), chars, sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), n, chars / n if n else 0.0, share, entropy, script_of(text)
+    return len(words), chars, sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), *fertility.measure(words, chars), script_of(text)
 
 
-def measure(docs: DataFrame, text_col: str = "text", model_path: str | None = None, keep_text: bool = False) -> DataFrame:
-    """Append all measures to docs."""
+def measure(docs: DataFrame, text_col: str = "text", paths: tuple[str, str] | None = None, keep_text: bool = False) -> DataFrame:
+    """Append all measures to docs. ``paths``: the vocabularies' files, on every machine."""
 
     def task():
-        fertility = worker_fertility(model_path or default_model_path())
+        where = paths or default_paths()
+        fertility = worker_state(("fertility", *where), lambda: Fertility(*where))
 
         def call(batch: pa.RecordBatch) -> dict:
             rows = [measures(t.as_py() or "", fertility) for t in batch.column(batch.schema.get_field_index(text_col))]
@@ -155,18 +168,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def fitted(measured: DataFrame, labels: DataFrame, lang_col: str | None = "lang") -> dict[str, tuple[float, float, float, float]]:
+def fitted(measured: DataFrame, labels: DataFrame, lang_col: str | None = "lang") -> dict[str, Band]:
     """BANDS, with those that the rows labelled good support; rounded, so that exact quantiles hold few distinct values."""
     good = measured.filter(~base_failed()).join(labels.filter("quality = 1").select(F.col("doc_id")), "doc_id", "left_semi")
     lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
     keys = F.array_compact(F.array(F.concat(lang, F.lit("/"), "script"), F.col("script")))
     at = lambda c, p: F.percentile(F.round(c, 4), F.lit(p))
-    rows = good.select(F.explode(keys).alias("_band"), "chars_per_token", "byte_share", "entropy").groupBy("_band")
-    rows = rows.agg(F.count("*").alias("n"), at("chars_per_token", SHARE), at("chars_per_token", 1 - SHARE), F.greatest(at("byte_share", 1 - SHARE), F.lit(SOME_BYTES)), at("entropy", SHARE))
+    limits = [(at(c, SHARE), at(c, 1 - SHARE), F.greatest(at(b, 1 - SHARE), F.lit(SOME_BYTES)), at(e, SHARE)) for c, b, e in ([n + v for n in MEASURES] for v in ("", "2"))]
+    rows = good.select(F.explode(keys).alias("_band"), *(n + v for v in ("", "2") for n in MEASURES)).groupBy("_band")
+    rows = rows.agg(F.count("*").alias("n"), *(x for four in limits for x in four))
     return BANDS | {key: tuple(band) for key, _, *band in rows.filter(F.col("n") >= LEAST).collect()}  # a few numbers a language
 
 
-def judge(measured: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS, lang_col: str | None = "lang") -> DataFrame:
+def judge(measured: DataFrame, bands: dict[str, Band] = BANDS, lang_col: str | None = "lang") -> DataFrame:
     """Append base_failed and kept."""
     failed = base_failed()
     table = F.create_map(*(x for k, v in bands.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
@@ -174,7 +188,10 @@ def judge(measured: DataFrame, bands: dict[str, tuple[float, float, float, float
     key = F.col("script") if lang_col is None else F.when(F.col(lang_col).isin(languages) & (F.col("script") == "latin"), F.col(lang_col)).otherwise(F.col("script"))
     own = [] if lang_col is None else [table[F.concat(F.col(lang_col), F.lit("/"), "script")]]
     band = F.coalesce(*own, table[key], table[F.lit("other")])
-    fits = F.col("chars_per_token").between(band[0], band[1]) & (F.col("byte_share") <= band[2]) & (F.col("entropy") >= band[3])
+    fits = F.lit(True)
+    for i, (chars, share, entropy) in enumerate([n + v for n in MEASURES] for v in ("", "2")):
+        low, high, most_bytes, least = (band[4 * i + j] for j in range(4))
+        fits = fits & F.col(chars).between(low, high) & (F.col(share) <= most_bytes) & (F.col(entropy) >= least)
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
 
 

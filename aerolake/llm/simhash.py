@@ -13,7 +13,7 @@ A task reports what links its fingerprints as a forest, not as all pairs: node p
 already are not followed. ``components`` joins the forests.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; equal texts share one fingerprint and
-cost one leaf; a null doc_id belongs to its component but never names one unless all its ids are null; an empty table gives
+cost one leaf; very long texts are read whole; a null doc_id belongs to its component but never names one unless all its ids are null; an empty table gives
 an empty table; further columns play no part.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolake.llm.common import free_name, map_batches, materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, identity, map_batches, materialise, read_table, text_or_empty
 from aerolake.llm.components import components
 
 SHINGLE = 4
@@ -249,7 +249,7 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, ro
 
     Components are told apart by their root: ids may be null or repeated, so that components share their smallest.
     """
-    key = F.xxhash64("doc_id", text_or_empty())
+    key = identity("doc_id", "text")
     rows, named_fps = _rooted(docs.select("doc_id", key.alias("_key"), "text"), distance, width, rotations, leaves)
     near = rows.join(named_fps.select("fp", "root"), "fp")
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first"))
@@ -257,8 +257,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, ro
     named, place = free_name(docs, "_key"), free_name(docs, "_i")
     out = docs.withColumn(named, key).join(keys.withColumnRenamed("_key", named), named, "left_semi")
     repeated = near.groupBy("doc_id", "_key").count().filter("count > 1").select("_key")
-    if not repeated.isEmpty():  # equal rows: one of them
-        out = out.withColumn(place, F.row_number().over(Window.partitionBy(named).orderBy("doc_id"))).filter(F.col(place) == 1)
+    if not repeated.isEmpty():  # the same id and text: one of them, the first by all columns
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(named).orderBy(F.xxhash64(*docs.columns)))).filter(F.col(place) == 1)
     return out.select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ format with (doc_id, n_tokens) in order. Both are uncompressed, so ``TokenFile``
 document without copying. A task writes under a name of its own; only files named in the manifest of finished tasks count,
 so retried and speculative tasks do no harm.
 
-Defined cases: null text is empty and gives the end id alone; equal rows are all written; an empty table gives no file and
+Defined cases: null text is empty and gives the end id alone; very long texts are encoded whole; equal rows are all written; an empty table gives no file and
 no row; further columns of the input play no part.
 """
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolake.llm.common import BATCH_ROWS, materialise, new_folder, read_table, text_or_empty
+from aerolake.llm.common import materialise, new_folder, read_table, slices, text_or_empty, worker_state
 from aerolake.llm.units import Memo, cut
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -35,7 +34,8 @@ END_ID = 2
 LENGTH = 1024
 #: Sequences of a record batch.
 BATCH_SEQUENCES = 256
-MEMO = 600_000
+#: Bytes of a generation of a worker's memo of words; a bound on memory only.
+MEMO_BYTES = 40 << 20
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -49,7 +49,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo = Memo(MEMO)
+        self.memo = Memo(MEMO_BYTES)
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -154,27 +154,18 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
-@lru_cache(1)
-def worker_encoder(path: str) -> LibraryEncoder:
-    """One a Python worker, kept from task to task."""
-    return LibraryEncoder(path)
-
-
 def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Write all texts of (doc_id, text) below ``folder``; returns the manifest (file, part, n_docs, n_tokens), itself materialised."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
 
     def run(batches):
         writer = encoder = uri = None
         part = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        path = tokenizer_path or default_tokenizer_path()
+        for batch in (part_of for whole in batches for part_of in slices(whole)):
             if writer is None:
-                encoder = worker_encoder(tokenizer_path or default_tokenizer_path())
+                encoder = worker_state(("token files", path), lambda: LibraryEncoder(path))
                 uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
                 writer = TokenFileWriter(uri, length, max(encoder.n_ids, end_id + 1) > 1 << 16, batch.schema.field(0).type)
             end = np.int32(end_id).tobytes()

@@ -21,16 +21,29 @@ def cut(text: str) -> list[str] | None:
     return units if "" not in units else [u for u in units if u]
 
 
+#: Bytes that a key, its value and their place in a table take besides their own.
+_ENTRY = 190
+
+
 class Memo:
-    """Results by string in two generations: when the younger is full, the older goes. ``size`` bounds memory, not results."""
+    """Packed results by string in two generations of ``limit`` bytes each: when the younger is full, the older goes.
+
+    The limit bounds memory, not results; strings of more than ``longest`` characters are not kept.
+    """
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.limit, self.longest = limit, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def __init__(self, size: int, longest: int = 64):
-        self.size, self.longest = size, longest
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+    def _keep(self, key: str, value: bytes) -> None:
+        if len(key) <= self.longest:
+            self.young[key] = value
+            self.held += _ENTRY + len(key) + len(value)
 
-    def many(self, keys: list[str], make: Callable[[list[str]], Iterable[object]]) -> list[object]:
-        """The value of each key; ``make`` gives those of unknown keys. Values must not be None."""
+    def many(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The value of each key; ``make`` gives those of unknown keys."""
         get = self.young.get
         found = [get(k) for k in keys]
         if None in found:
@@ -40,13 +53,14 @@ class Memo:
                 found[i] = value = old(keys[i])
                 if value is None:
                     missing[keys[i]] = None
-                else:
-                    self.young[keys[i]] = value
+                elif keys[i] not in self.young:
+                    self._keep(keys[i], value)
             if missing:
                 names = list(missing)
                 missing = dict(zip(names, make(names), strict=True))
-                self.young.update((k, v) for k, v in missing.items() if len(k) <= self.longest)
+                for k, v in missing.items():
+                    self._keep(k, v)
                 found = [missing[k] if v is None else v for k, v in zip(keys, found, strict=True)]
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
+            if self.held >= self.limit:
+                self.old, self.young, self.held = self.young, {}, 0
         return found
