@@ -1,4 +1,9 @@
-"""Corpus pipeline: documents to tokens, each stage one operator over all its predecessor kept."""
+"""Corpus pipeline: documents to tokens, each stage one operator over all its predecessor kept.
+
+Defined cases, for every stage: a null text is an empty one (the quality stage rejects both); very long texts are read whole; equal
+rows and ties are treated alike, and where one of several must be taken the choice follows all their columns; an empty table gives an
+empty table; further columns are kept, whatever their names, by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text, a row a copy."""
-    return bpe.digest(bpe.decode(bpe.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))))
+    return bpe.digest(bpe.round_trip(docs.select("doc_id", text_or_empty().alias("text"))))
 
 
 STAGES = [
