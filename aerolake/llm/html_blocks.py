@@ -1,7 +1,11 @@
 """Leaf blocks of a page, with the features that the block labeller reads.
 
-A block is the text between two block-level tags. Markup, comments, scripts, styles and the head never become text. Character
-references are decoded once, white space within a block becomes one space.
+A block is the text between two block-level tags. Markup, comments, scripts, styles, the head, drawings and the contents of form
+fields never become text. Character references are decoded once, white space within a block becomes one space.
+
+Any page is read in time linear in its length: no pattern goes back over what it has read, a tag, comment or quoted value that
+never ends reaches to the end of the page as in browsers, and a block's path is kept as a set of hashed slots that grows with the
+tree, not as a list that is copied for each block.
 """
 
 from __future__ import annotations
@@ -9,13 +13,16 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
 #: Elements that do not end a block, that have no content, and whose content is not text of the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title svg iframe object canvas select textarea".split())
+HIDDEN = frozenset("head script style template title svg select textarea".split())
 RAW = frozenset("script style textarea title".split())
 #: A start tag of these ends an open element of the same group.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -23,7 +30,13 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPE = frozenset("table td th ul ol dl div section article aside nav main header footer form body".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"  # comment
+    r"|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)"  # declarations and other marks
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|))*+)(?:>|\Z)"  # tag: name, attributes
+    r"|([^<]++|<)",  # text
+    re.S,
+)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.I) for name in RAW}
 NAME_PART = re.compile(r"[a-z]+")
@@ -33,16 +46,30 @@ DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 
 
 class Block:
+    """``path``: the slots of the tag names and of the words of class, id and role above the text, as bits."""
+
     __slots__ = ("path", "links", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int):
+    def __init__(self, path: int, text: str, links: int):
         self.path, self.text, self.links = path, text, links
 
 
+def _slot(text: str, size: int, salt: int) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"), salt) % size
+
+
+@lru_cache(20_000)
+def _bits(part: str) -> tuple[int, int]:
+    """Bits of a part of a path: anywhere in it, and as its last part."""
+    anywhere = 0 if part in ("html", "body") else 1 << _slot(part, PATH_DIM, 1)
+    return anywhere, 1 << _slot(part, PATH_DIM, 2)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Paths hold tag names and the words of class, id and role, outermost first."""
+    """The page's blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int, int]] = []  # name, bits of the path down to here, bit of its last part
+    open_: Counter[str] = Counter()
     hidden = anchors = 0
     parts: list[str] = []
     linked = at = 0
@@ -52,16 +79,30 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(x for name, words in stack if name not in INLINE for x in (name, *words)), text, linked))
+                path, last = stack[-1][1:] if stack else (0, 0)
+                out.append(Block(path | last, text, linked))
             parts, linked = [], 0
 
     def pop(k: int) -> None:
         nonlocal hidden, anchors
-        for name, _ in stack[k:]:
+        for name, *_ in stack[k:]:
+            open_[name] -= 1
             hidden -= name in HIDDEN
             anchors -= name == "a"
         del stack[k:]
 
+    def push(name: str, words: Iterable[str] = ()) -> None:
+        nonlocal hidden, anchors
+        path, last = stack[-1][1:] if stack else (0, 0)
+        if name not in INLINE:
+            for part in (name, *words):
+                anywhere, last = _bits(part)
+                path |= anywhere
+        stack.append((name, path, last))
+        open_[name] += 1
+        hidden += name in HIDDEN
+        anchors += name == "a"
+
     while token := TOKEN.match(page, at):
         at = token.end()
         closing, name, attributes, text = token.groups()
@@ -78,38 +119,35 @@ def blocks(page: str) -> list[Block]:
             if name == "br":
                 parts.append(" ")
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is None:
+            if not open_[name]:
                 if name not in INLINE:
                     flush()
                 continue
-            if name in INLINE:
-                if all(n in INLINE for n, _ in stack[k:]):
-                    pop(k)
-                continue
-            flush()
-            pop(k)
+            k = len(stack) - 1
+            while stack[k][0] != name and (name not in INLINE or stack[k][0] in INLINE):
+                k -= 1
+            if name not in INLINE:
+                flush()
+            if stack[k][0] == name:  # an inline end does not close the blocks inside
+                pop(k)
             continue
         if name in INLINE:
             if name in ("br", "wbr", "img"):
                 parts.append(" " if name == "br" else "")
             else:
-                stack.append((name, ()))
-                anchors += name == "a"
+                push(name)
             continue
         flush()
         ends = CLOSES.get(name, ()) + (("p",) if name in ENDS_P else ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                pop(k)
-                break
-            if stack[k][0] in SCOPE:
-                break
-        if name == "body":
-            for k, (n, _) in enumerate(stack):
-                if n == "head":
+        if any(open_[n] for n in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ends:
                     pop(k)
                     break
+                if stack[k][0] in SCOPE:
+                    break
+        if name == "body" and open_["head"]:
+            pop(next(k for k, (n, *_) in enumerate(stack) if n == "head"))
         if name in VOID:
             continue
         words = tuple(w for a in ATTRIBUTE.finditer(attributes) for w in NAME_PART.findall((a[2] or a[3] or a[4] or "").lower()))
@@ -118,33 +156,18 @@ def blocks(page: str) -> list[Block]:
                 end = RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
                 continue
-            stack.append((name, words))
-            hidden += name in HIDDEN
+            push(name, words)
     flush()
     return out
 
 
-def _slot(text: str, size: int, salt: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace"), salt) % size
+#: Slots of words seen, up to a bound: they save work and change no result.
+_SLOTS: dict[str, int] = {}
 
 
-#: Slots of words and vectors of paths seen, up to a bound: they save work and change no result.
-_SLOTS: dict[str, int] = {}
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    known = _PATHS.get(path)
-    if known is None:
-        known = np.zeros(PATH_DIM, np.float32)
-        for depth, part in enumerate(path):
-            if part not in ("html", "body"):
-                known[_slot(part, PATH_DIM, 1)] = 1
-        if path:
-            known[_slot(path[-1], PATH_DIM, 2)] = 1
-        if len(_PATHS) < 50_000:
-            _PATHS[path] = known
-    return known
+@lru_cache(20_000)
+def _path_vector(path: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(path.to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
 def _word_vector(text: str) -> np.ndarray:

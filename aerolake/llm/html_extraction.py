@@ -8,7 +8,7 @@ footers, sidebars, notices, adverts, forms and reader comments around an article
 bounds that sample whatever the table's size; weights are fitted once a process from a fixed seed and sent to the tasks
 (about 150 KB). Pages are read by tasks, batch by batch.
 
-Defined cases: null and empty pages have empty text; a page without article blocks has empty text; equal rows give equal rows; an
+Defined cases: null and empty pages have empty text; very long pages, ill-formed ones too, are read whole in linear time; a page without article blocks has empty text; equal rows give equal rows; an
 empty table gives an empty table; columns named like an output column are replaced, all others are kept.
 """
 
