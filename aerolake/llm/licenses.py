@@ -2,14 +2,17 @@
 
 All rolling word k-grams of a text are hashed and joined with the positions of the same k-grams in the templates. A hit at text
 word p and template word t votes for the diagonal p - t; hits are counted by diagonal, neighbouring diagonals (words put in or
-left out) are merged into spans, and a span is verified against the template. Templates are short phrases, which must be whole, and
-license notices, of which a span must cover a share. Phrases use pairs of words, notices five words.
+left out) are merged into spans, and a span is verified: its k-grams must equal the template's word by word, and only those count
+that follow each other in the template as they do in the text, so that an opening repeated many times counts once. Templates
+are short phrases, which must be whole, and license notices, of which a span must cover a share. Phrases use pairs of words,
+notices five words.
 
-The table of template positions is fixed and small (one row a template word), so it is broadcast. Hits are checked against the
-words themselves as soon as they are joined, so hash collisions never count.
+The table of template positions is fixed and small (one row a template word), so it is broadcast. Hashes that no template has
+are dropped while a text is read; what is left, a few rows a text, is written with a row number, which joins the labels back.
 
-Defined cases: null text is empty; empty text has no words, labels are the empty string and places null; equal rows give equal
-rows; a null doc_id is a document like any other; an empty table gives an empty table; further columns play no part.
+Defined cases: null text is empty; empty text has no words, labels are the empty string and places null; very long texts are
+read whole; equal rows give equal rows; a null doc_id is a document like any other; an empty table gives an empty table; further
+columns play no part.
 """
 
 from __future__ import annotations
@@ -36,21 +39,41 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Public license notices and their labels.
-NOTICES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "cc-notice": "this work is licensed under a creative commons attribution international license",
-}
+#: Public license notices: (label, text). Several may share a label: long and short forms, and parts that stand alone.
+NOTICES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "Released under the MIT License."),
+    ("mit", "Licensed under the MIT License."),
+    ("as-is", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."),
+    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl-notice", "licensed under the GNU General Public License"),
+    ("lgpl-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl-notice", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-notice", "Licensed under CC BY-NC"),
+    ("cc-by-sa-notice", "Licensed under CC BY-SA"),
+]
 
 
 def templates() -> list[tuple[str, str, bool, list[str], int]]:
     """(template, label, is phrase, words, gram)."""
     find = re.compile(WORD).findall
-    return [(p, x, True, find(p), PHRASE_GRAM) for p, x in PHRASES.items()] + [(x, x, False, find(t), NOTICE_GRAM) for x, t in NOTICES.items()]
+    lower = str.maketrans(_UPPER, _LOWER)
+    phrases = [(p, x, True, find(p), PHRASE_GRAM) for p, x in PHRASES.items()]
+    return phrases + [(f"{x} {i}", x, False, find(t.translate(lower)), NOTICE_GRAM) for i, (x, t) in enumerate(NOTICES)]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
@@ -85,42 +108,58 @@ def rolling_fives(h: Column) -> Column:
     return _joined(four, _from(h, 4), F.greatest(F.size(h) - 4, F.lit(0)))
 
 
-def gram_hits(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, template, label, phrase, n_grams, diagonal, pos): verified hits of the rolling k-grams of the words ``_w`` on template positions.
+def _known(grams: Column, hashes: list[int], k: int) -> Column:
+    """(pos, k, hash) of the k-grams whose hash some template has. The set is no larger than the templates."""
+    every = F.transform(grams, lambda h, i: F.when(h.isin(hashes), F.struct(i.alias("pos"), F.lit(k).alias("k"), h.alias("hash"))))
+    return F.array_compact(every)
+
+
+def gram_hits(docs: DataFrame, positions: DataFrame) -> DataFrame:
+    """doc_id, ``_row``, n_words and ``_hits`` of every row of (doc_id, _w): k-grams, with their words, whose hash some template has."""
+    hashes = {k: [r.hash for r in positions.filter(F.col("k") == k).select("hash").distinct().collect()] for k in (PHRASE_GRAM, NOTICE_GRAM)}  # a number a template word
+    hashed = docs.select("*", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_w")).alias("_h"))
+    found = F.concat(_known(rolling_pairs(F.col("_h")), hashes[PHRASE_GRAM], PHRASE_GRAM), _known(rolling_fives(F.col("_h")), hashes[NOTICE_GRAM], NOTICE_GRAM))
+    # A hash is of words in lower case by any letter; words are compared after lowering A-Z only.
+    words = lambda s: F.transform(F.slice("_w", s["pos"] + 1, s["k"]), lambda w: F.translate(w, _UPPER, _LOWER))
+    return hashed.select("doc_id", "_row", F.size("_w").cast("long").alias("n_words"), F.transform(found, lambda s: F.struct(s["pos"], s["k"], s["hash"], words(s).alias("gram"))).alias("_hits"))
+
+
+def template_hits(found: DataFrame, positions: DataFrame) -> DataFrame:
+    """(_row, template, label, phrase, n_grams, k, at, pos, diagonal): hits joined with template positions, equal word by word."""
+    hits = found.select("_row", F.explode("_hits").alias("h")).select("_row", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"), F.col("h.gram").alias("_gram"))
+    met = hits.join(F.broadcast(positions), "hash")  # one row a template word
+    return met.filter(F.col("_gram") == F.col("gram")).select("_row", "template", "label", "phrase", "n_grams", "k", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
+
 
-    Pairs and fives of a text are one array, so that each text is read and each gram joined once. A hash is of words in lower
-    case by any letter; the check that follows lowers A-Z only.
-    """
-    positions = F.broadcast(template_grams(docs.sparkSession))  # one row a template word
-    hashed = docs.select(*keep, "_w", word_hashes(F.col("_w")).alias("_h"))
-    grams = hashed.select(*keep, "_w", F.posexplode(F.concat(rolling_pairs(F.col("_h")), rolling_fives(F.col("_h")))).alias("_i", "hash"))
-    met = grams.join(positions, "hash").withColumn("pos", F.when(F.col("k") == PHRASE_GRAM, F.col("_i")).otherwise(F.col("_i") - F.size("_w") + 1))
-    same = F.forall(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.translate(F.get("_w", F.col("pos") + i), _UPPER, _LOWER) == F.get("gram", i))
-    return met.filter((F.col("pos") >= 0) & same).select(*keep, "template", "label", "phrase", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "k")
+def _chain(hits: Column, ahead: bool) -> Column:
+    """K-grams of (pos, at), in order of pos, taken one by one if they lie further on in the template than all taken before."""
+    beyond = (lambda at, last: at > last) if ahead else (lambda at, last: at < last)
+    start = F.struct(F.lit(-1 if ahead else 1 << 30).alias("last"), F.lit(0).alias("n"))
+    step = lambda acc, h: F.when(beyond(h["at"], acc["last"]), F.struct(h["at"].alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    return F.aggregate(F.sort_array(hits) if ahead else F.sort_array(hits, False), start, step, lambda acc: acc["n"])
 
 
-def spans(hits: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, template, label, phrase, start, stop, cover): merged and verified diagonals; start and stop are words, stop exclusive."""
-    diagonals = hits.groupBy(*keep, "template", "label", "phrase", "n_grams", "diagonal", "k").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+def spans(hits: DataFrame) -> DataFrame:
+    """(_row, template, label, phrase, start, stop, cover): merged and verified diagonals; start and stop are words, stop exclusive."""
+    diagonals = hits.groupBy("_row", "template", "label", "phrase", "n_grams", "k", "diagonal").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list(F.struct("pos", "at")).alias("_hits"))
     whole = diagonals.filter(F.col("phrase") & (F.col("n") == F.col("n_grams")))
-    out = whole.select(*keep, "template", "label", "phrase", F.col("first").alias("start"), (F.col("last") + F.col("k")).alias("stop"), F.lit(1.0).alias("cover"))
-    by = Window.partitionBy(*keep, "template")
-    order = by.orderBy("first", "diagonal")
+    out = whole.select("_row", "template", "label", "phrase", F.col("first").alias("start"), (F.col("last") + F.col("k")).alias("stop"), F.lit(1.0).alias("cover"))
+    order = Window.partitionBy("_row", "template").orderBy("first", "diagonal")  # a text's own diagonals
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR) | (F.col("first") - F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("k") + NEAR)
     runs = diagonals.filter(~F.col("phrase")).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
-    merged = runs.groupBy(*keep, "template", "label", "phrase", "n_grams", "_run").agg(F.sum("n").alias("n"), F.min("first").alias("start"), F.max(F.col("last") + F.col("k")).alias("stop"))
-    cover = F.least(F.lit(1.0), F.col("n") / F.col("n_grams"))
-    merged = merged.withColumn("cover", cover).filter(F.col("cover") >= COVER)
-    return out.union(merged.select(*keep, "template", "label", "phrase", "start", "stop", "cover"))
+    merged = runs.groupBy("_row", "template", "label", "phrase", "n_grams", "_run").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.min("first").alias("start"), F.max(F.col("last") + F.col("k")).alias("stop"))
+    aligned = F.greatest(_chain(F.col("_hits"), True), _chain(F.col("_hits"), False))
+    merged = merged.withColumn("cover", aligned / F.col("n_grams")).filter(F.col("cover") >= COVER)
+    return out.union(merged.select("_row", "template", "label", "phrase", "start", "stop", "cover"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, base places and labels, all labels, score (the best span's cover) and the spans of every document."""
-    key = F.xxhash64("doc_id", text_or_empty()).alias("_key")
-    rows = docs.select("doc_id", key, F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)).alias("_w"))
-    found = materialise(gram_hits(rows, ["_key"]).distinct(), "license-hits")  # equal rows share a key
+    """doc_id, n_words, base places and labels, all labels and score (the best span's cover) of every document."""
+    positions = template_grams(docs.sparkSession)
+    rows = docs.select("doc_id", F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)).alias("_w"))
+    found = materialise(gram_hits(rows, positions), "license-hits")  # a row a document, without its text
     base = F.col("phrase")
-    per_doc = spans(found, ["_key"]).groupBy("_key").agg(
+    per_doc = spans(template_hits(found, positions)).groupBy("_row").agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
@@ -128,8 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    counted = docs.select("doc_id", key, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("n_words"))
-    out = counted.join(per_doc, "_key", "left")
+    out = found.drop("_hits").join(per_doc, "_row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

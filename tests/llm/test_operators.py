@@ -202,7 +202,7 @@ def test_licenses(spark, folder):
 
 def test_license_notices_by_diagonal(spark):
     """A notice with words put in and left out is one span; scattered words are none."""
-    words = licenses.NOTICES["mit"].split()
+    words = [t for x, t in licenses.NOTICES if x == "mit"][0].split()
     changed = ["intro"] * 9 + words[:20] + ["extra", "words"] + words[20:40] + words[42:] + ["outro"]
     cases = [" ".join(words), " ".join(changed), " ".join(sorted(words)), " ".join(words[:25])]
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
