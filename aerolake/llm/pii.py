@@ -2,33 +2,38 @@
 
 Candidates. Base kinds (email, ip, card, phone) are matched leftmost and without overlap; matches that fail their test are
 dropped, not retried. Further candidates: addresses spelled with (at) and (dot), phone numbers without a plus, social
-security numbers, bank account numbers (IBAN) and names after a title.
+security numbers, bank account numbers (IBAN), names after a title, and access tokens and keys.
 
-Votes. Labelers look at a candidate and its surroundings and vote for (1), against (-1) or abstain (0): the strict form,
-a checksum or range, a gazetteer (top-level domains, card issuers, country codes), context words before it, and its edges.
+Votes. Labelers look at a candidate and its surroundings and vote for (1), against (-1) or abstain (0): the strict form, a
+checksum or range, a gazetteer (top-level domains, card issuers, calling codes, given names), context words in the ``BEFORE``
+code points before it, and its edges. Surroundings are cut from the text by offsets, whatever stands there.
 
-Model. All candidates of all documents are counted by (kind, votes); the counts, at most kinds x 3^5 rows whatever the data,
-go to the driver, where expectation-maximisation estimates each labeler's reliability without gold labels. Its posteriors
-train the final span classifier, a logistic regression over kind, votes and their products, which is applied as a column
-expression. Base spans stay whatever it says; others are added if it accepts them and they overlap no base span.
+Model. All candidates of all documents are counted by (kind, votes, shape); the counts, at most kinds x 3^5 x shapes rows whatever
+the data, go to the driver, where expectation-maximisation estimates each labeler's reliability from the votes without gold
+labels. Its posteriors train the final span classifier, a logistic regression over kind, votes, their products and the shape of
+the span (length, marks, repeated digits), which is applied as a column expression. Base spans stay whatever it says; others
+are added if it accepts them and they overlap no base span.
 
-Patterns are written so that they cannot backtrack over long runs: possessive repeats, and starts only where a run starts.
+Patterns are written so that they cannot backtrack over long runs: possessive repeats, and starts only where a run starts. Places,
+overlaps and surroundings of the spans of a text take time in proportion to text and spans: sums run chunk by chunk.
 
-Defined cases: null text is empty; empty text has no spans; equal rows give equal rows; an empty table gives an empty table;
-columns of the input are kept by ``redact`` and play no part otherwise. Offsets count code points, end exclusive.
+Defined cases: null text is empty; empty text has no spans; very long texts are read whole; equal rows give equal rows; an empty
+table gives an empty table; columns of the input are kept by ``redact`` and play no part otherwise. Offsets count code points, end
+exclusive.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import free_name, materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, identity, materialise, read_table, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("spelled_email", "local_phone", "ssn", "iban", "person")
+ADDED = ("spelled_email", "local_phone", "ssn", "iban", "person", "secret")
 KINDS = BASE + ADDED
 
 _MAIL = "A-Za-z0-9._%+-"
@@ -43,35 +48,73 @@ PATTERNS = {
     "ssn": ("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": ("", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
     "person": (". ", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]++(?: [A-Z][a-z]++)?+"),
+    "secret": ("", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+"),
 }
+#: Code points before and after a candidate that labelers see.
+BEFORE, AFTER = 40, 4
 #: Words that make personal data likely when they stand before it.
-CONTEXT = "mail|contact|write to|reach|call|phone|tel|fax|mobile|whatsapp|dial|card|visa|credit|account|iban|ssn|social security|ip|address|host|server|login|from"
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "us", "co", "me", "app", "dev")
-CARD_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "22", "23", "24", "25", "26", "27")
-COUNTRY_CODES = ("1", "7", "2", "3", "4", "5", "6", "8", "9")
+CONTEXT = "mail|contact|write to|reach|call|phone|tel|fax|mobile|whatsapp|dial|card|visa|credit|account|iban|ssn|social security|ip|address|host|server|login|from|token|secret|key|password|passwd|auth"
+#: Generic and country top-level domains, leading digits of card issuers, country calling codes of one and two digits
+#: and the first two digits of those of three.
+TOP_DOMAINS = "com org net edu gov mil int info biz name pro io app dev ai me tv co eu us uk ca mx br ar cl pe de at ch fr be nl lu it es pt ie dk se no fi is pl cz sk hu ro bg gr tr ru ua rs hr si ee lv lt il sa ae eg ma ng ke za in pk bd lk cn hk tw jp kr sg my th vn id ph au nz".split()
+CARD_ISSUERS = "4 51 52 53 54 55 34 37 36 38 6011 65 35 22 23 24 25 26 27".split()
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+CALLING_AREAS = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
+#: Common given names of four languages, and words after a title that name a brand or a figure.
+GIVEN_NAMES = "Adam Alan Alex Alice Amy Andrea Andrew Angela Ann Anna Anne Anthony Antonio Barbara Ben Bernard Brian Carl Carlos Carmen Carol Catherine Charles Charlotte Chris Christian Christine Claire Claudia Daniel David Diana Donald Edward Elena Elizabeth Emily Emma Eric Eva Florian Francis Francisco Frank George Hannah Hans Helen Henry Ines Isabel Jack Jacques Jakob James Jan Jane Javier Jean Jennifer Jessica Joan John Jorge Jose Joseph Juan Julia Julie Karen Karl Kate Kevin Klaus Laura Lena Linda Lisa Louis Lucas Lucia Luis Manuel Marc Maria Marie Mark Martin Mary Matthew Max Michael Michel Miguel Monica Nancy Nicolas Nina Olivia Oscar Pablo Patricia Paul Pedro Peter Philip Pierre Rachel Richard Robert Rosa Ruth Samuel Sandra Sarah Simon Sofia Sophie Stefan Stephen Steven Susan Thomas Tim Victor Walter William".split()
+NO_NAMES = "Pepper Martens Oetker Who Strange Evil Doom No Bean Clean Fix Right Wrong Wonderful Universe World Olympia President Speaker Chairman Justice".split()
 LABELERS = ("form", "check", "gazetteer", "context", "edges")
-SPAN = "array<struct<kind:string,start:bigint,stop:bigint,match:string,before:string,after:string>>"
+SHAPES = {"size": 4, "marks": 4, "same": 2}  # values of each feature of a span's shape
+SPAN = "array<struct<kind:string,start:bigint,stop:bigint,match:string>>"
 EM_STEPS = 60
+#: Items of an array that one running sum goes over, and code points of a piece of text.
+RUN, PIECE = 128, 512
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
+    """For each item of array<bigint>, what ``join`` makes of all items before it; in runs, so that no long array is copied per item."""
+    nought, none = F.lit(zero).cast("bigint"), F.array().cast("array<bigint>")
+
+    def one(items: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def by_runs(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda i: F.slice(v, i * RUN + 1, RUN))
+        return let(runs, lambda r: F.flatten(F.zip_with(r, one(F.transform(r, lambda x: F.aggregate(x, nought, join)), nought), one)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, by_runs(v)).otherwise(none))
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, stop: Column) -> Column:
+    """Text from start to stop, out of its pieces; reads those it touches only."""
+    first = F.floor(start / PIECE).cast("int")
+    touched = F.slice(parts, first + 1, F.greatest(F.floor((stop - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+    return F.substring(F.array_join(touched, ""), (start - F.lit(PIECE) * first + 1).cast("int"), (stop - start).cast("int"))
 
 
 def found(text: Column, kind: str) -> Column:
     """All matches of a kind with offsets: matches and the gaps between them have the same order, so lengths add up to places."""
     needed, pattern = PATTERNS[kind]
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    after = F.slice(gaps, 2, F.size(matches))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        gap, match = x["p"]["g"], x["p"]["m"]
-        begin = acc["at"] + F.length(gap)
-        span = F.struct(F.lit(kind).alias("kind"), begin.cast("bigint").alias("start"), (begin + F.length(match)).cast("bigint").alias("stop"), match.alias("match"), F.right(gap, F.lit(40)).alias("before"), F.left(x["a"], F.lit(4)).alias("after"))
-        return F.struct((begin + F.length(match)).cast("bigint").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    both = F.zip_with(pairs, after, lambda p, a: F.struct(p.alias("p"), a.alias("a")))
-    spans = F.aggregate(both, start, add, lambda acc: acc["out"])
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+
+    def spans(x: Column) -> Column:
+        lengths = F.zip_with(x["m"], F.slice(x["g"], 1, F.size(x["m"])), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("bigint").alias("gap")))
+        ends = running(F.transform(lengths, lambda y: y["gap"] + F.length(y["m"])), 0, lambda a, b: a + b)
+        return F.zip_with(lengths, ends, lambda y, at: F.struct(F.lit(kind).alias("kind"), (at + y["gap"]).alias("start"), (at + y["gap"] + F.length(y["m"])).alias("stop"), y["m"].alias("match")))
+
     has = F.contains(text, F.lit(needed)) & text.rlike(pattern) if needed else text.rlike(pattern)
-    return F.when(has, spans).otherwise(F.array().cast(SPAN))
+    return F.when(has, let(both, spans)).otherwise(F.array().cast(SPAN))
 
 
 def digits(match: Column) -> Column:
@@ -98,13 +141,19 @@ def valid(kind: Column, match: Column) -> Column:
     )
 
 
+def mod_97(match: Column) -> Column:
+    """Do the check digits of an IBAN fit? Country and check digits go last, letters count from 10."""
+    plain = F.regexp_replace(match, " ", "")
+    codes = F.transform(F.split(F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4))), ""), lambda c: F.when(c.rlike("^[A-Z]"), F.ascii(c) - 55).otherwise(c.cast("int")))
+    return F.aggregate(codes, F.lit(0), lambda a, x: F.when(x.isNull(), a).when(x > 9, (a * 100 + x) % 97).otherwise((a * 10 + x) % 97)) == 1
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def votes(span: Column) -> Column:
+def votes(kind: Column, match: Column, before: Column, after: Column) -> Column:
     """The labelers' votes on a candidate, a struct of -1, 0 and 1."""
-    kind, match, before, after = span["kind"], span["match"], span["before"], span["after"]
     n, d = F.length(digits(match)), digits(match)
     is_ = lambda *kinds: kind.isin(*kinds)
     strict = (
@@ -113,6 +162,7 @@ def votes(span: Column) -> Column:
         .when(is_("card"), match.rlike(r"^([0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3})$"))
         .when(is_("phone"), match.rlike(r"^\+[1-9][0-9]{0,2}[ .-]?(\([0-9]{1,4}\)|[0-9]{1,4})[ .-]?[0-9]{2,4}([ .-]?[0-9]{2,4}){0,3}$"))
         .when(is_("person"), match.rlike(r"^[A-Z][a-z]+\. [A-Z][a-z]+ [A-Z][a-z]+$"))
+        .when(is_("secret"), match.rlike(r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]{20,})$"))
         .otherwise(F.lit(True))
     )
     checked = (
@@ -120,15 +170,19 @@ def votes(span: Column) -> Column:
         .when(is_("phone", "local_phone"), n.between(10, 15))
         .when(is_("ip"), valid(kind, match) & ~match.rlike(r"^(0|10|127|255)\."))
         .when(is_("ssn"), ~match.rlike(r"^(000|666|9)|-00-|-0000$"))
+        .when(is_("iban"), mod_97(match))
+        .when(is_("secret"), F.size(F.array_distinct(F.split(match, ""))) >= 10)
     )
     domain = F.lower(F.regexp_extract(match, r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    name = F.regexp_extract(match, r"\. ([A-Z][a-z]+)", 1)
     listed = (
-        F.when(is_("email", "spelled_email"), domain.isin(*TOP_DOMAINS))
+        F.when(is_("email", "spelled_email"), domain.isin(TOP_DOMAINS))
         .when(is_("card"), F.exists(F.array(*map(F.lit, CARD_ISSUERS)), lambda p: F.startswith(d, p)))
-        .when(is_("phone"), F.left(d, F.lit(1)).isin(*COUNTRY_CODES))
+        .when(is_("phone"), F.left(d, F.lit(1)).isin(CALLING_CODES) | F.left(d, F.lit(2)).isin(CALLING_CODES + CALLING_AREAS))
+        .when(is_("person") & name.isin(GIVEN_NAMES), F.lit(True))
+        .when(is_("person") & name.isin(NO_NAMES), F.lit(False))
     )
-    near = F.lower(before)
-    cue = near.rlike(rf"(?:{CONTEXT})[^a-z0-9]*(?:[a-z]+[^a-z0-9]*){{0,3}}$")
+    cue = F.lower(before).rlike(rf"(?:{CONTEXT})[^a-z0-9]*(?:[a-z0-9]+[^a-z0-9]+){{0,6}}$")
     open_before = ~before.rlike(r"[\p{L}0-9_/=@.-]$")
     open_after = ~after.rlike(r"^[\p{L}0-9_/=@-]")
     return F.struct(
@@ -140,15 +194,33 @@ def votes(span: Column) -> Column:
     )
 
 
+def shape(match: Column) -> Column:
+    """Length, marks and repeated digits of a span, in SHAPES values each."""
+    size = F.when(F.length(match) < 12, 0).when(F.length(match) < 16, 1).when(F.length(match) < 24, 2).otherwise(3)
+    marks = F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(3))
+    return F.struct(size.alias("size"), marks.alias("marks"), match.rlike(r"([0-9])\1{5}").cast("int").alias("same"))
+
+
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``spans``: base matches that pass, and all other candidates, each with votes."""
-    named = docs.withColumn("_t", text_or_empty())
-    spans = F.concat(*(found(F.col("_t"), k) for k in KINDS))
-    passed = named.select(*keep, F.filter(spans, lambda s: valid(s["kind"], s["match"])).alias("spans"))
-    return passed.select(*keep, F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), votes(s).alias("votes"))).alias("spans"))
+    """``keep`` and ``spans``: base matches that pass, and all other candidates, each with votes and shape."""
+    text = text_or_empty()
+
+    def seen(spans: Column) -> Column:
+        def one(parts: Column) -> Column:
+            before = lambda s: between(parts, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+            after = lambda s: between(parts, s["stop"], s["stop"] + AFTER)
+            return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), votes(s["kind"], s["match"], before(s), after(s)).alias("votes"), shape(s["match"]).alias("shape")))
+
+        return let(F.when(F.size(spans) > 0, pieces(text)).otherwise(F.array().cast("array<string>")), one)
+
+    passed = F.filter(F.concat(*(found(text, k) for k in KINDS)), lambda s: valid(s["kind"], s["match"]))
+    return docs.select(*keep, let(passed, seen).alias("spans"))
+
 
+Votes = tuple[int, ...]
 
-def em(counts: list[tuple[str, tuple[int, ...], int]], steps: int = EM_STEPS) -> list[float]:
+
+def em(counts: list[tuple[str, Votes, int]], steps: int = EM_STEPS) -> list[float]:
     """Posterior that a candidate is personal data for each (kind, votes, count); two classes, labelers independent given the class.
 
     Reliabilities are shared by all kinds, the prior is each kind's own; both start from, and are smoothed towards, labelers
@@ -179,21 +251,22 @@ def em(counts: list[tuple[str, tuple[int, ...], int]], steps: int = EM_STEPS) ->
     return post
 
 
-def features(kind: str, vote: tuple[int, ...]) -> list[float]:
-    return [1.0, *(float(kind == k) for k in KINDS), *(float(v) for v in vote), *(float(a * b) for i, a in enumerate(vote) for b in vote[:i])]
+def features(kind: str, vote: Votes, form: Votes) -> list[float]:
+    shapes = [float(v == x) for v, n in zip(form, SHAPES.values(), strict=True) for x in range(1, n)]
+    return [1.0, *(float(kind == k) for k in KINDS), *(float(v) for v in vote), *(float(a * b) for i, a in enumerate(vote) for b in vote[:i]), *shapes]
 
 
-def train(counts: list[tuple[str, tuple[int, ...], int]], post: list[float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[float]:
-    """Weights of the span classifier, by gradient descent on the posteriors over the counted patterns."""
-    rows = [(features(k, v), math.log1p(n), p) for (k, v, n), p in zip(counts, post, strict=True)]
-    w = [0.0] * len(features(KINDS[0], (0,) * len(LABELERS)))
+def train(counts: list[tuple[str, Votes, Votes, int]], post: list[float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[float]:
+    """Weights of the span classifier, by gradient descent on the posteriors over the counted (kind, votes, shape, count)."""
+    rows = [([(i, x) for i, x in enumerate(features(k, v, f)) if x], math.log1p(n), p) for (k, v, f, n), p in zip(counts, post, strict=True)]
+    w = [0.0] * len(features(KINDS[0], (0,) * len(LABELERS), (0,) * len(SHAPES)))
     total = sum(n for _, n, _ in rows) or 1.0
     for _ in range(steps):
         grad = [decay * x for x in w]
         for x, n, p in rows:
-            z = sum(a * b for a, b in zip(w, x, strict=True))
+            z = sum(w[i] * a for i, a in x)
             d = (1 / (1 + math.exp(-max(-500.0, min(500.0, z)))) - p) * n / total
-            for i, a in enumerate(x):
+            for i, a in x:
                 grad[i] += d * a
         w = [a - rate * g for a, g in zip(w, grad, strict=True)]
     return w
@@ -202,32 +275,48 @@ def train(counts: list[tuple[str, tuple[int, ...], int]], post: list[float], ste
 def score(span: Column, w: list[float]) -> Column:
     """The classifier's log-odds of a candidate."""
     v = [span["votes"][name] for name in LABELERS]
-    terms = [F.lit(w[0]), F.coalesce(F.create_map(*(F.lit(x) for k, a in zip(KINDS, w[1:], strict=False) for x in (k, a)))[span["kind"]], F.lit(0.0))]
-    rest = w[1 + len(KINDS) :]
-    terms += [F.lit(a) * x for a, x in zip(rest, v, strict=False)]
-    products = [a * b for i, a in enumerate(v) for b in v[:i]]
-    terms += [F.lit(a) * x for a, x in zip(rest[len(v) :], products, strict=True)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
+    given = [F.lit(1.0), *(F.when(span["kind"] == k, 1.0).otherwise(0.0) for k in KINDS), *v, *(a * b for i, a in enumerate(v) for b in v[:i])]
+    given += [F.when(span["shape"][name] == x, 1.0).otherwise(0.0) for name, n in SHAPES.items() for x in range(1, n)]
+    total = F.lit(0.0)
+    for a, x in zip(w, given, strict=True):
+        total = total + F.lit(a) * x
     return total
 
 
+def model(candidates_: DataFrame) -> list[float]:
+    """Classifier weights from the candidates' votes: EM over counts by (kind, votes), training over counts by shape too."""
+    names = [*(f"votes.{n}" for n in LABELERS), *(f"shape.{n}" for n in SHAPES)]
+    every = candidates_.filter(F.size("spans") > 0).select(F.explode("spans").alias("s")).select("s.kind", *(F.col(f"s.{n}").alias(n.replace(".", "_")) for n in names))
+    m = len(LABELERS)
+    rows = sorted((r[0], tuple(r[1 : 1 + m]), tuple(r[1 + m : -1]), r[-1]) for r in every.groupBy(*every.columns).count().collect())  # kinds x votes x shapes at most
+    if not rows:
+        return [0.0] * len(features(KINDS[0], (0,) * m, (0,) * len(SHAPES)))
+    by_votes: dict[tuple[str, Votes], int] = {}
+    for kind, vote, _, n in rows:
+        by_votes[kind, vote] = by_votes.get((kind, vote), 0) + n
+    post = dict(zip(by_votes, em([(*k, n) for k, n in by_votes.items()]), strict=True))
+    return train(rows, [post[kind, vote] for kind, vote, _, _ in rows])
+
+
 def label(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and ``spans`` array<struct<kind, start, stop, base>>: base spans and accepted further ones, by start, then kind."""
     found_ = materialise(candidates(docs, keep), "pii-candidates")  # spans only: the texts are read once
-    names = [f"votes.{n}" for n in LABELERS]
-    counted = found_.filter(F.size("spans") > 0).select(F.explode("spans").alias("s")).select("s.kind", F.col("s.votes").alias("votes")).groupBy("kind", *(F.col(n).alias(n.split(".")[1]) for n in names)).count()
-    counts = sorted((r[0], tuple(r[1:-1]), r[-1]) for r in counted.collect())  # at most kinds x 3^labelers rows
-    w = train(counts, em(counts)) if counts else [0.0] * len(features(KINDS[0], (0,) * len(LABELERS)))
+    w = model(found_)
     order = F.array(*map(F.lit, KINDS))
+    is_base = lambda s: s["kind"].isin(*BASE)
     plain = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("order"), s["kind"].alias("kind"), s["stop"].alias("stop"))
-    base = F.transform(F.filter("spans", lambda s: s["kind"].isin(*BASE)), plain)
-    more = F.filter("spans", lambda s: ~s["kind"].isin(*BASE) & (score(s, w) > 0))
-    out = found_.withColumn("_base", base).withColumn("_more", F.transform(more, plain))
-    free = F.filter("_more", lambda a: ~F.exists("_base", lambda b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])))
-    every = F.array_sort(F.concat("_base", free))
-    return out.select(*keep, F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].isin(*BASE).alias("base"))).alias("spans"))
+    accepted = F.filter("spans", lambda s: is_base(s) | (score(s, w) > 0))
+    far = 1 << 62
+
+    def free(every: Column) -> Column:
+        """Base spans, and those that no base span before them reaches into or after them begins in."""
+        reach = running(F.transform(every, lambda s: F.when(is_base(s), s["stop"]).otherwise(F.lit(0).cast("bigint"))), 0, lambda a, b: F.greatest(a, b))
+        ahead = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(is_base(s), s["start"]).otherwise(F.lit(far).cast("bigint")))), far, lambda a, b: F.least(a, b)))
+        both = F.zip_with(every, F.zip_with(reach, ahead, lambda a, b: F.struct(a.alias("reach"), b.alias("ahead"))), lambda s, x: F.struct(s.alias("s"), x.alias("x")))
+        kept = F.filter(both, lambda y: is_base(y["s"]) | (y["x"]["reach"] <= y["s"]["start"]) & (y["x"]["ahead"] >= y["s"]["stop"]))
+        return F.transform(kept, lambda y: F.struct(y["s"]["kind"].alias("kind"), y["s"]["start"].alias("start"), y["s"]["stop"].alias("stop"), is_base(y["s"]).alias("base")))
+
+    return found_.select(*keep, let(F.array_sort(F.transform(accepted, plain)), free).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -236,18 +325,19 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; n_chars follows where it exists. Null text stays null."""
-    named, found_in = free_name(docs, "_key"), free_name(docs, "_spans")
-    key = F.xxhash64("doc_id", text_or_empty())
+    named, found_in = free_name(docs, "_key"), free_name(docs, "_found")
+    key = identity("doc_id", "text")
     spans = label(docs.select("text", key.alias(named)), [named]).filter(F.size("spans") > 0).dropDuplicates([named])
     both = docs.withColumn(named, key).join(spans.withColumnRenamed("spans", found_in), named, "left")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        hidden = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).cast("bigint").alias("at"), hidden.alias("out"))
+    def clean(x: Column) -> Column:
+        """``x``: spans by start, and the text's pieces. What stands between spans, each span's kind, and what follows the last."""
+        reach = running(F.transform(x["spans"], lambda s: s["stop"]), 0, lambda a, b: F.greatest(a, b))
+        parts = F.zip_with(x["spans"], reach, lambda s, at: F.when(s["start"] >= at, F.concat(between(x["parts"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        last = F.array_max(F.transform(x["spans"], lambda s: s["stop"]))
+        return F.concat(F.array_join(parts, ""), between(x["parts"], last, F.length("text").cast("bigint")))
 
-    clean = F.aggregate(found_in, start, add, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col(found_in).isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean)
+    text = F.when(F.col(found_in).isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(F.struct(F.col(found_in).alias("spans"), pieces(F.col("text")).alias("parts")), clean))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(found_in).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -258,7 +348,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = label(read_table(spark, sf_dir, "documents"), ["doc_id"])
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["base"])
-    return docs.select("doc_id", *map(of, BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return docs.select("doc_id", *map(of, BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op2_pii": op2_pii}

@@ -109,8 +109,8 @@ def test_pii_em_finds_reliable_labelers():
     counts = [("email", (1, 1, 1, 0, 1), 900), ("email", (-1, 0, -1, 0, -1), 100), ("email", (1, 0, -1, 0, 1), 5)]
     post = pii.em(counts)
     assert post[0] > 0.9 and post[1] < 0.1
-    w = pii.train(counts, post)
-    z = [sum(a * b for a, b in zip(w, pii.features(k, v), strict=True)) for k, v, _ in counts]
+    w = pii.train([(k, v, (0, 0, 0), n) for k, v, n in counts], post)
+    z = [sum(a * b for a, b in zip(w, pii.features(k, v, (0, 0, 0)), strict=True)) for k, v, _ in counts]
     assert z[0] > 0 > z[1]
 
 
