@@ -20,6 +20,7 @@ unknown language uses the script's band.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -84,20 +85,20 @@ class Fertility:
         import tiktoken
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.first = self.model.get_piece_size()  # ids of the second vocabulary come after these: its ranks keep their order
         with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranks = {base64.b64decode(a): int(b) + self.first for a, b in map(bytes.split, f)}
         self.merges = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memo = Memo(MEMO_BYTES)
-        self.first = self.model.get_piece_size()  # ids of the second vocabulary come after these
-        no_text = np.zeros(max(ranks.values()) + 1, bool)
+        self.bytes = np.zeros(max(ranks.values()) + 1, bool)
+        self.bytes[: self.first] = [self.model.is_byte(i) for i in range(self.first)]
         for token, rank in ranks.items():
-            no_text[rank] = "\ufffd" in token.decode("utf-8", "replace")
-        self.bytes = np.concatenate([np.array([self.model.is_byte(i) for i in range(self.first)]), no_text])
+            self.bytes[rank] = "\ufffd" in token.decode("utf-8", "replace")
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        pairs = zip(self.model.encode(texts, num_threads=1), map(self.merges.encode_ordinary, [" " + t for t in texts]), strict=True)
-        return [np.array([*a, *(self.first + i for i in b)], np.int32).tobytes() for a, b in pairs]
+        merged = map(self.merges.encode_ordinary, [" " + t for t in texts])
+        return [array("i", a + b).tobytes() for a, b in zip(self.model.encode(texts, num_threads=1), merged, strict=True)]
 
     def measure(self, words: list[bytes], chars: int) -> list[float]:
         """Tokens, characters per token, share of byte tokens and relative entropy by each vocabulary."""
