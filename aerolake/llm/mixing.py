@@ -6,16 +6,19 @@ stops at ``most`` times its source's words and the excess is shared anew by weig
 Rates. Among document rates between 0 and ``most`` the mix takes those nearest to uniform in (binary) relative entropy that
 meet the token constraint of each source, sum(rate * size) = target. The dual has one multiplier a source; its solution
 tilts rates exponentially with size: rate = most / (1 + (most - 1) exp(-lambda * size / mean size)). Newton steps on the dual, kept
-in a bracket, are aggregates over (source, size, count); all sources step in the same job.
+in a bracket, are aggregates over (source, size, count); all sources step in the same job. Sums are taken in decimals, so they do not
+depend on the order of rows and reruns agree to the last bit; a source whose constraint is not met to ``TOLERANCE`` of its target
+after ``NEWTON_STEPS`` raises an error.
 
 Copies. Rates become whole copies by systematic rounding along size within a source, so their error never adds up: a
 document's copies are the integers its interval of the running rate covers. Of ``phases`` starting points the one with the
 nearest total is taken, again from counts alone. A source with a third of all rows is never one group: documents rank only
 within (source, size, bucket), with buckets of about ``bucket_rows`` rows.
 
-Defined cases: null text has size 0; such documents keep a rate but take no words; a null source is a source; equal rows are
-rounded one by one; sources without words have target 0; an empty table gives an empty table; further columns of
-the input are kept by ``apply_mix`` and play no part.
+Defined cases: null text has size 0; such documents keep a rate but take no words; very long texts are counted whole; a null source
+is a source; rows of one id, source and text are rounded one by one, in the order of a hash of all their columns; sources
+without words have target 0; an empty table gives an empty table; further columns of the input are kept by ``apply_mix`` and play
+no other part.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import free_name, materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, identity, materialise, read_table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -32,8 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 NEWTON_STEPS = 40
 PHASES = 64
 BUCKET_ROWS = 65536
-#: Words by which a source may miss its target before rounding.
-TOLERANCE = 0.01
+#: Share of its target by which a source may miss it before rounding.
+TOLERANCE = 1e-9
 
 
 def n_words(text: Column) -> Column:
@@ -61,6 +64,11 @@ def _rate(lam: Column, x: Column, most: float) -> Column:
     return F.lit(float(most)) / (F.exp(-F.greatest(F.least(lam * x, F.lit(500.0)), F.lit(-500.0))) * (most - 1) + 1)
 
 
+def _sum(x: Column) -> Column:
+    """A sum that is the same whatever the order of rows: of decimals with 12 places, for terms under 10**16."""
+    return F.sum(x.cast("decimal(28,12)")).cast("double")
+
+
 def solve_multipliers(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int = NEWTON_STEPS) -> DataFrame:
     """(source, source_size, target, mean, lam): the dual's solution. ``sizes``: (source, size, n); ``sources``: (source, source_size, n_docs, target).
 
@@ -74,22 +82,24 @@ def solve_multipliers(sizes: DataFrame, sources: DataFrame, most: float = MOST,
         rate = _rate(F.col("lam"), x, most)
         words = F.col("n") * F.col("size")
         open_ = state.filter("lam is not null and not done").select(F.col("source").alias("_s"), "lam", "mean")
-        sums = sizes.join(open_, sizes.source.eqNullSafe(open_._s)).groupBy("_s").agg(F.sum(words * rate).alias("_f"), F.sum(words * x * rate * (1 - rate / most)).alias("_d"))
+        sums = sizes.join(open_, sizes.source.eqNullSafe(open_._s)).groupBy("_s").agg(_sum(words * rate).alias("_f"), _sum(words * x * rate * (1 - rate / most)).alias("_d"))
         gap = F.col("_f") - F.col("target")
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - gap / F.nullif(F.col("_d"), F.lit(0.0))
         step = F.when(newton.isNotNull() & (newton > lo) & (newton < hi), newton).otherwise(F.greatest(F.lit(-1e4), (lo + hi) / 2))
-        near = F.abs(gap) <= TOLERANCE
+        near = F.abs(gap) <= F.col("target") * TOLERANCE + 1e-9  # what decimals of sums can hold
         moved = state.join(sums, state.source.eqNullSafe(sums._s), "left").select("source", "source_size", "target", "mean", F.when(F.col("_f").isNull() | near, F.col("lam")).otherwise(step).alias("lam"), F.when(F.col("_f").isNull(), F.col("lo")).otherwise(lo).alias("lo"), F.when(F.col("_f").isNull(), F.col("hi")).otherwise(hi).alias("hi"), (F.col("_f").isNull() | near).alias("done"))
         state = materialise(moved, "mix-state")
         if state.filter("not done").isEmpty():
             break
+    else:
+        raise ArithmeticError(f"no multiplier meets the constraint after {steps} steps: {state.filter('not done').select('source', 'target').limit(5).collect()}")
     return state.select("source", "source_size", "target", "mean", "lam")
 
 
 def mix(docs: DataFrame, total: float = TOTAL, most: float = MOST, seed: int = 7, phases: int = PHASES, bucket_rows: int = BUCKET_ROWS, key: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of every document; ``_key`` is what ``key`` gives."""
-    base = docs.select((F.lit(None).cast("long") if key is None else key).alias("_key"), "doc_id", "source", F.coalesce(n_words(text_or_empty()), F.lit(0)).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_h"))
+    base = docs.select((F.lit(None).cast("binary") if key is None else key).alias("_key"), "doc_id", "source", F.coalesce(n_words(text_or_empty()), F.lit(0)).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_h"))
     base = materialise(base, "mix-rows")
     sizes = materialise(base.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
@@ -122,22 +132,21 @@ def mix(docs: DataFrame, total: float = TOTAL, most: float = MOST, seed: int = 7
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with its own columns."""
-    key = F.xxhash64("doc_id", "source", text_or_empty())
-    taken = mix(docs.select("doc_id", "source", "text"), key=key, **options).select("_key", "copies", "_h")
+    key = identity("doc_id", "source", "text")
+    taken = mix(docs.select("doc_id", "source", "text"), key=key, **options).select("_key", "copies")
     taken = materialise(taken, "mix-taken")
     repeated = materialise(taken.groupBy("_key").count().filter("count > 1").select("_key"), "mix-repeated")
-    names = {c: free_name(docs, c) for c in ("_key", "_i", "_copies", "_copy")}
-    own, place, times, copy = names.values()
+    own, place, times, copy = (free_name(docs, c) for c in ("_key", "_i", "_copies", "_copy"))
     keyed = docs.withColumn(own, key)
     taken = taken.select(F.col("_key").alias(own), F.col("copies").alias(times))
     once = taken.filter(F.col(times) > 0)
     if repeated.isEmpty():
         out = keyed.join(once, own)
-    else:  # equal rows share a key: pair the i-th row with the i-th number of copies
+    else:  # rows of one id, source and text share a key: the i-th by all columns gets the i-th number of copies
         repeated = repeated.withColumnRenamed("_key", own)
-        order = Window.partitionBy(own).orderBy(own)
-        counts = taken.join(repeated, own, "left_semi").withColumn(place, F.row_number().over(order))
-        same = keyed.join(repeated, own, "left_semi").withColumn(place, F.row_number().over(order)).join(counts, [own, place]).drop(place)
+        by = Window.partitionBy(own)
+        counts = taken.join(repeated, own, "left_semi").withColumn(place, F.row_number().over(by.orderBy(F.desc(times))))
+        same = keyed.join(repeated, own, "left_semi").withColumn(place, F.row_number().over(by.orderBy(F.xxhash64(*docs.columns)))).join(counts, [own, place]).drop(place)
         single = keyed.join(once.join(repeated, own, "left_anti"), own)
         out = single.unionByName(same.filter(F.col(times) > 0))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
