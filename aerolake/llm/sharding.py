@@ -6,12 +6,14 @@ guaranteed and few keys move when a shard is added. Under the ``rows`` law capac
 sum to n: counts end at most one apart. Under the ``key`` law there is no bound: doc_id and the shard count alone decide,
 and one more shard takes rows only into itself.
 
-Only counts by ring cell reach the driver: cells are the ring's arcs cut by a fixed grid, at most 2**grid_bits + shards *
-vnodes of them whatever the data. The driver pours cells into shards; each row then finds its shard and slot from its rank
-inside its cell.
+Only counts by ring cell reach the driver: cells are the ring's arcs cut by a grid that grows with the rows, from 2**12 to 2**18
+arcs, so there are at most 2**18 + shards * vnodes cells. The driver pours cells into shards; each row then finds its shard and
+slot from its rank inside its cell. Equal rows are counted first and ranked as one interval, which is cut where a shard ends
+and dealt out in parts, so that no task holds all rows of a hot key.
 
 Defined cases: null text has size 8 and the checksum of the empty text; a null doc_id takes its place by the text's checksum;
-equal rows are placed one by one; an empty table gives an empty table; further columns play no part.
+very long texts count with all their bytes; equal rows are placed one by one; an empty table gives an empty table; further columns
+play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ from aerolake.llm.common import materialise, read_table, text_or_empty
 
 SHARDS = 24
 VNODES = 64
-GRID_BITS = 12
+#: Least and most bits of the grid, and rows that an arc holds, about, in between.
+GRID_BITS, ARC_ROWS = (12, 18), 1 << 17
+#: Copies of a row that one task makes at a time.
+PART = 65536
 
 Cell = tuple[int, int]  # grid cell, number of ring places below within it
 
@@ -89,33 +94,41 @@ def first_place(places: list[tuple[int, int]], grid_bits: int, cell: Cell) -> in
     return (bisect_left(places, (start, -1)) + cell[1]) % len(places)
 
 
-def ring_shards(rows: DataFrame, law: str = "rows", shards: int = SHARDS, vnodes: int = VNODES, grid_bits: int = GRID_BITS) -> DataFrame:
+def ring_shards(rows: DataFrame, law: str = "rows", shards: int = SHARDS, vnodes: int = VNODES, grid_bits: int | None = None) -> DataFrame:
     """Add ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (``key`` law: the shard with one more shard).
 
-    ``rows`` must hold ``_hash``, a 64-bit hash of the key, and ``_tie``, what orders rows of one hash.
+    ``rows`` must hold ``_hash``, a 64-bit hash of the key; rows of one hash are ordered by their other columns.
     """
     if law not in ("rows", "key"):
         raise ValueError(law)
-    places = ring_places(shards, vnodes)
-    celled = materialise(with_cell(rows, places, grid_bits), "ring-rows")
-    counts = {(r._grid, r._below): r["count"] for r in celled.groupBy("_grid", "_below").count().collect()}  # bounded by the ring, not by the data
-    n = sum(counts.values())
+    places, own = ring_places(shards, vnodes), [c for c in rows.columns if c != "_hash"]
+    distinct = materialise(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "ring-rows")
+    n = distinct.agg(F.sum("_n")).first()[0] or 0
+    if grid_bits is None:
+        grid_bits = min(max(GRID_BITS[0], (n // ARC_ROWS).bit_length()), GRID_BITS[1])
+    celled = with_cell(distinct, places, grid_bits)
+    counts = {(r._grid, r._below): r["_n"] for r in celled.groupBy("_grid", "_below").agg(F.sum("_n").alias("_n")).collect()}  # bounded by the grid
     capacity = [n // shards + (s < n % shards) for s in range(shards)] if law == "rows" else [n] * shards
     runs = pour(counts, places, {c: first_place(places, grid_bits, c) for c in counts}, capacity)
     table = rows.sparkSession.createDataFrame(runs, "_grid long, _below int, _first long, _last long, shard int, _base long")
-    rank = F.row_number().over(Window.partitionBy("_grid", "_below").orderBy("_hash", "_tie")) - 1
-    ranked = celled.withColumn("_rank", rank.cast("long"))
-    met = (ranked._grid == table._grid) & (ranked._below == table._below) & ranked._rank.between(table._first, table._last)
-    out = ranked.join(F.broadcast(table), met).drop(table._grid).drop(table._below)  # a run a cell and shard at most
-    out = out.withColumn("slot", F.col("_rank") + F.col("_base"))
+    before = Window.partitionBy("_grid", "_below").orderBy("_hash", *own).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = celled.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_n") - 1)
+    met = (ranked._grid == table._grid) & (ranked._below == table._below) & (table._first <= ranked._to) & (table._last >= ranked._from)
+    cut = ranked.join(F.broadcast(table), met).drop(table._grid).drop(table._below)  # a run a cell and shard at most
+    cut = cut.select("_hash", *own, "shard", "_base", F.greatest("_from", "_first").alias("_from"), F.least("_to", "_last").alias("_to"))
+    few = F.col("_to") - F.col("_from") < PART
+    parts = cut.filter(~few).withColumn("_from", F.explode(F.sequence("_from", "_to", F.lit(PART).cast("long"))))
+    parts = parts.withColumn("_to", F.least("_to", F.col("_from") + PART - 1)).repartition("_from", "shard")
+    out = cut.filter(few).unionByName(parts).withColumn("_rank", F.explode(F.sequence("_from", "_to")))
+    out = out.select("_hash", *own, "shard", (F.col("_rank") + F.col("_base")).alias("slot"))
     if law == "key":
         more = ring_places(shards + 1, vnodes)
         owners = [(*c, more[first_place(more, grid_bits, c)][1]) for c in all_cells(more, grid_bits)]
         owners = rows.sparkSession.createDataFrame(owners, "_grid long, _below int, grown_shard int")
-        out = with_cell(out.drop("_grid", "_below"), more, grid_bits).join(F.broadcast(owners), ["_grid", "_below"])
+        out = with_cell(out, more, grid_bits).join(F.broadcast(owners), ["_grid", "_below"])
     else:
         out = out.withColumn("grown_shard", F.lit(None).cast("int"))
-    return out.drop("_grid", "_below", "_first", "_last", "_base", "_rank", "_hash", "_tie")
+    return out.select(*own, "shard", "slot", "grown_shard")
 
 
 def all_cells(places: list[tuple[int, int]], grid_bits: int) -> list[Cell]:
@@ -135,7 +148,7 @@ def shard_documents(docs: DataFrame, law: str = "rows", shards: int = SHARDS) ->
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).withColumn("size", F.col("_bytes") + 8)
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id"))
-    rows = rows.select("doc_id", "size", "text_crc32", key.alias("_hash"), F.struct("doc_id", "text_crc32", "size").alias("_tie"))
+    rows = rows.select("doc_id", "size", "text_crc32", key.alias("_hash"))
     out = ring_shards(rows, law, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "grown_shard")
 
