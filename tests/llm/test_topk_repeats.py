@@ -31,7 +31,26 @@ def test_close_large_scores():
     v = 700 + r.integers(0, 3, (400, 16))
     q = 690 + r.integers(0, 3, (30, 16))
     ids, query_ids = np.arange(400), np.arange(1000, 1030)
-    qi, vi, score = topk.search(ids, v, query_ids, q, 5, few=0.5)
+    qi, vi, score, _ = topk.Index(ids, v).search(query_ids, q, 5, few=0.5)
     for i in range(30):
         best = sorted((-int(s), int(j)) for j, s in enumerate(v @ q[i]))[:5]
         assert sorted(zip((-score[qi == i]).tolist(), vi[qi == i].tolist(), strict=True)) == best
+
+
+def test_floors_and_sparse_segments():
+    """A floor from elsewhere loses no vector that reaches it; rare impacts lie in lists; the stop comes before the last segment."""
+    r = np.random.default_rng(2)
+    v = np.floor(64 * (x := r.normal(size=(3000, 64))) / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    q, ids, query_ids = v[:40], np.arange(3000), np.arange(40)
+    product = q @ v.T
+    product[np.arange(40), np.arange(40)] = -(1 << 40)
+    kth = np.sort(product, axis=1)[:, -20]
+    index = topk.Index(ids, v)
+    assert any(lists is not None for lists, _, _ in index.segments)
+    qi, vi, score, read = index.search(query_ids, q, 20, kth)
+    assert read < len(index.segments)
+    for i in range(40):
+        want = sorted(((-product[i, j], j) for j in range(3000)))[:20]
+        assert [(-s, j) for s, j in zip(score[qi == i], vi[qi == i])] == want
+    qi, vi, score, _ = index.search(query_ids, q, 20)
+    assert all((np.sort(score[qi == i]) == np.sort(product[i])[-20:]).all() for i in range(40))
