@@ -6,8 +6,9 @@ Join. Distinct fingerprints are the leaves of a binary trie. Node pairs are trav
 number of bits in which its prefixes differ and is dropped once that exceeds the budget. The traversal runs on ``rotations``
 of the bits: two fingerprints that differ in ``distance`` bits differ in at most distance // rotations bits of one of as many blocks,
 so in the rotation that puts that block first the budget down to its end is only that much, and few pairs live. Spark deals
-out the node pairs at a depth that grows with the number of fingerprints; the tasks go on from there, on sorted arrays, with
-a bounded number of node pairs at a time.
+out the node pairs at a depth that grows with the number of fingerprints; node pairs with far more leaves than others are
+followed ``DEEPER`` bits down at most before they are dealt out. The tasks go on from there, on sorted arrays, with a bounded number
+of node pairs at a time.
 
 A task reports what links its fingerprints as a forest, not as all pairs: node pairs whose fingerprints are in one component
 already are not followed. ``components`` joins the forests.
@@ -36,6 +37,8 @@ DISTANCE = 4
 ROTATIONS = 3
 #: Fingerprints below a node at which Spark deals node pairs out, about.
 LEAVES = 4096
+#: A node pair with so many times LEAVES fingerprints is split before it is dealt out, by so many bits at most.
+HOT, DEEPER = 8, 10
 #: Node pairs a task follows at a time.
 FRONTIER = 1 << 19
 _UPPER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -203,24 +206,50 @@ def links(fps: DataFrame, distance: int = DISTANCE, rotations: int = ROTATIONS,
         rows = fps.select(turned.alias("key"), node.alias("node"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
         rows = rows.select(F.lit(turn).alias("turn"), F.least("node", F.col("node").bitwiseXOR(F.col("mask"))).alias("low"), "mask", "node", "key")
         sides = rows if sides is None else sides.union(rows)
+    pair_of = ["turn", "low", "mask"]
+    hot = materialise(sides.groupBy(*pair_of).agg(F.count("*").alias("n")).filter(F.col("n") > HOT * leaves), "simhash-hot")
+    most = hot.agg(F.max("n")).first()[0]
+    plain = sides.select(*pair_of, F.lit(0).alias("deep"), F.lit(0).cast("long").alias("sub"), F.lit(0).cast("long").alias("sub_mask"), (F.col("node") != F.col("low")).alias("right"), "key")
+    if most:
+        deep = min(DEEPER, math.ceil(math.log2(most / leaves)), 64 - depth)
+        cold = plain.join(hot, pair_of, "left_anti")
+        plain = cold.union(_deeper(sides.join(hot.select(*pair_of), pair_of, "left_semi"), parts, depth, deep, distance, within))
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
-        turn, mask = int(group["turn"].iat[0]), int(group["mask"].iat[0])
-        low = int(group["low"].iat[0])
-        keys, at_low = group["key"].to_numpy().astype(np.int64).view(np.uint64), group["node"].to_numpy() == low
-        left = np.sort(keys[at_low])
-        right = np.sort(keys[~at_low]) if mask else None
-        if not len(left) or right is not None and not len(right):
+        turn, errors = int(group["turn"].iat[0]), int(group["mask"].iat[0]).bit_count() + int(group["sub_mask"].iat[0]).bit_count()
+        keys, right = group["key"].to_numpy().astype(np.int64).view(np.uint64), group["right"].to_numpy().astype(bool)
+        left, other = np.sort(keys[~right]), np.sort(keys[right]) if errors else None
+        if not len(left) or other is not None and not len(other):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         first, size = parts[turn]
-        a, b = trie_pairs(left, right, depth, mask.bit_count(), distance, size, within)
+        a, b = trie_pairs(left, other, depth + int(group["deep"].iat[0]), errors, distance, size, within)
         back = lambda x: rotate(x, 64 - first).view(np.int64)
         return pd.DataFrame({"a": back(a), "b": back(b)})
 
-    found = sides.groupBy("turn", "low", "mask").applyInPandas(pair, "a long, b long")
+    found = plain.groupBy(*pair_of, "deep", "sub", "sub_mask").applyInPandas(pair, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _deeper(rows: DataFrame, parts: list[tuple[int, int]], depth: int, deep: int, distance: int, within: int) -> DataFrame:
+    """Node pairs ``deep`` bits further down: each fingerprint goes to its child's pairs with all children its errors allow."""
+    sub = F.shiftrightunsigned("key", 64 - depth - deep).bitwiseAND(F.lit((1 << deep) - 1).cast("long"))
+    out = None
+    for turn, (_, size) in enumerate(parts):
+        inside = max(0, min(deep, size - depth))  # of these bits, the first lie in the block
+        for errors in range(within + 1):
+            some = [m for m in (sum(1 << b for b in bits) for bits in _subsets(deep, distance - errors)) if errors + (m >> (deep - inside)).bit_count() <= within]
+            of = rows.filter((F.col("turn") == turn) & (F.bit_count("mask") == errors))
+            of = of.select("turn", "low", "mask", "node", "key", sub.alias("s"), F.explode(F.array(*(F.lit(m).cast("long") for m in some))).alias("sub_mask"))
+            other = F.col("s").bitwiseXOR(F.col("sub_mask"))
+            if errors:  # two nodes: children of the lower one are the left side
+                right, name = F.col("node") != F.col("low"), F.when(F.col("node") == F.col("low"), F.col("s")).otherwise(other)
+            else:
+                right, name = F.col("s") > other, F.least("s", other)
+            of = of.select("turn", "low", "mask", F.lit(deep).alias("deep"), name.alias("sub"), "sub_mask", right.alias("right"), "key")
+            out = of if out is None else out.union(of)
+    return out
+
+
 def _subsets(bits: int, most: int) -> list[tuple[int, ...]]:
     from itertools import combinations
 
