@@ -36,7 +36,7 @@ from aerolake.llm.units import Memo
 MODEL_FILE, RANK_FILE = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS = 50
 #: Bytes of a generation of a worker's memo of words; a bound on memory only.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 48 << 20
 
 #: Share of good rows below a floor or above a ceiling, and good rows that a fitted band needs.
 SHARE, LEAST = 0.002, 100
