@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -71,7 +71,7 @@ class BpeTransducer:
         self.state_ids: dict[tuple[int, ...], int] = {(): 0}
         self.states: list[tuple[int, ...]] = [()]
         self.ends: list[tuple[tuple[int, int], ...]] = [()]  # (length, token) of the guesses that may close, longest first
-        self.moves: dict[int, int] = {}  # by state * 256 + byte
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}  # next state and its ends, by state * 256 + byte
 
     def merge(self, data: bytes, stop: int = 1) -> list[int]:
         """Merge result of a token's bytes, straight from the ranks, or its last ``stop`` parts; used to compile the merges."""
@@ -122,28 +122,27 @@ class BpeTransducer:
             else:
                 bound, right = right + 1, b[0]
 
-    def _move(self, state: int, byte: int) -> int:
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         nodes = tuple(child for node in (*self.states[state], 0) if (child := self.child.get(node << 8 | byte)) is not None)
         target = self.state_ids.get(nodes)
         if target is None:
             target = self.state_ids[nodes] = len(self.states)
             self.states.append(nodes)
             self.ends.append(tuple((self.depth[n], self.token_at[n]) for n in nodes if n in self.token_at))
-        self.moves[state << 8 | byte] = target
-        return target
+        move = self.moves[state << 8 | byte] = target, self.ends[target]
+        return move
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one pattern match. ``last[i]`` is the token that ends at byte i of the window, the same for all guesses that pass there."""
-        moves, ends, stable = self.moves, self.ends, self.stable
+        moves, stable = self.moves, self.stable
         if len(stable) > self.max_pairs:
             stable.clear()
         out: list[int] = []
         last, state, at, look = [-1], 0, 0, self.WINDOW
         for byte in data:
-            target = moves.get(state << 8 | byte)
-            state = self._move(state, byte) if target is None else target
+            state, ends = moves.get(state << 8 | byte) or self._move(state, byte)
             at += 1
-            for length, token in ends[state]:
+            for length, token in ends:
                 before = last[at - length]
                 key = before * 1_000_003 + token
                 known = stable.get(key)
@@ -219,10 +218,14 @@ class Utf8Decoder:
 
     TABLE = _utf8_table()
 
+    #: Ids that are tried as one run of moves from the empty state back to it.
+    RUN = 128
+
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
-        self.plain: dict[int, str] = {}  # moves from the empty state back to it: one a token at most
+        # Moves from the empty state back to it, one a token at most.
+        self.plain = {token: text for token, data in bytes_of.items() for text, rest in (self._run(data),) if not rest}
         self.rest = b""
 
     def _run(self, data: bytes) -> tuple[str, bytes]:
@@ -251,18 +254,24 @@ class Utf8Decoder:
             if len(self.moves) >= PAIRS:
                 self.moves.clear()
             known = self.moves[rest, token] = self._run(rest + self.bytes_of[token])
-            if not rest and not known[1]:
-                self.plain[token] = known[0]
         return known
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         out, plain, rest = [], self.plain, self.rest
-        for token in ids:
-            if not rest and (text := plain.get(token)) is not None:
-                out.append(text)
-            else:
-                text, rest = self._move(rest, token)
-                out.append(text)
+        for i in range(0, len(ids), self.RUN):
+            run = ids[i : i + self.RUN]
+            if not rest:
+                try:
+                    out.append("".join(map(plain.__getitem__, run)))
+                    continue
+                except KeyError:  # some token ends within a sequence
+                    pass
+            for token in run:
+                if not rest and (text := plain.get(token)) is not None:
+                    out.append(text)
+                else:
+                    text, rest = self._move(rest, token)
+                    out.append(text)
         self.rest = rest
         return "".join(out)
 
