@@ -24,6 +24,40 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x + F.lit(1e-9), digits)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Round to digits after the point, halves to the even neighbour."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
+def local_midnight(day: Column, zone: str = ZONE) -> Column:
+    """UTC instant of the start of a local day."""
+    return F.to_utc_timestamp(day.cast("timestamp"), zone)
+
+
+def hours_in_local_day(day: Column, zone: str = ZONE) -> Column:
+    """23, 24 or 25."""
+    seconds = lambda d: F.unix_timestamp(local_midnight(d, zone))
+    return ((seconds(F.date_add(day, 1)) - seconds(day)) / 3600).cast("int")
+
+
+def last_sunday(year: Column, month: int) -> Column:
+    end = F.last_day(F.make_date(year, F.lit(month), F.lit(1)))
+    return F.date_sub(end, (F.weekday(end) + 1) % 7)
+
+
+def from_local(day: Column, hour: Column, zone: str = ZONE) -> Column:
+    """UTC instant at which a local wall-clock hour 1 to 24 ends; an hour that the spring switch leaves out gives NULL."""
+    wall = F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + hour * 3600)
+    out = F.to_utc_timestamp(wall, zone)
+    return F.when(F.from_utc_timestamp(out, zone) == wall, out)
+
+
+def utc_month(t: Column) -> Column:
+    """yyyymm of the hour's start in UTC."""
+    start = t.cast("timestamp") - F.expr("INTERVAL 1 HOUR")
+    return F.year(start) * 100 + F.month(start)
+
+
 # Holidays (month, day) of every year; days after Easter Sunday.
 HOLIDAYS = ((1, 1), (1, 6), (5, 1), (5, 30), (6, 22), (8, 5), (8, 15), (11, 1), (11, 18), (12, 25), (12, 26))
 AFTER_EASTER = (1, 60)

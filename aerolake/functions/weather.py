@@ -15,14 +15,14 @@ def wrap360(a: Column) -> Column:
 
 
 def sector(direction: Column) -> Column:
-    """Sector of a bearing; edges go to the next sector."""
+    """Sector of a bearing; edges go to the next sector; a missing bearing counts as north."""
     width = 360.0 / N_SECTORS
-    return F.pmod(F.floor((wrap360(direction) + width / 2) / width), F.lit(N_SECTORS)).cast("int")
+    return F.coalesce(F.pmod(F.floor((wrap360(direction) + width / 2) / width), F.lit(N_SECTORS)).cast("int"), F.lit(0))
 
 
 def rose_sector(direction: Column, speed: Column) -> Column:
-    """Sector, or -1 for calms and hours without direction."""
-    return F.when((speed < CALM) | direction.isNull(), F.lit(-1)).otherwise(sector(direction))
+    """Sector, or -1 for calms and hours without direction; NULL without speed: such hours are in no rose."""
+    return F.when(speed.isNull(), F.lit(None).cast("int")).when((speed < CALM) | direction.isNull(), F.lit(-1)).otherwise(sector(direction))
 
 
 def u_eff(u: Column, u0: Column) -> Column:
@@ -30,17 +30,15 @@ def u_eff(u: Column, u0: Column) -> Column:
 
 
 def direction_weights(direction: Column, u: Column) -> Column:
-    """Weights of the 16 sectors: a Gaussian kernel around the bearing, wider in weak wind, uniform in calms."""
-    sigma = F.least(F.lit(60.0), F.lit(22.5) * F.greatest(F.lit(1.0), F.lit(2.0) / F.greatest(u, F.lit(1e-9))))
-
-    def raw(i: Column) -> Column:
-        apart = F.abs(F.pmod(i * 22.5 - direction + 180.0, F.lit(360.0)) - 180.0)
-        return F.exp(-0.5 * F.pow(apart / sigma, F.lit(2.0)))
+    """Weights of the 16 sectors: a Gaussian kernel around the bearing, wider in weak wind; uniform in calms and where wind is missing.
 
-    kernel = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(u < CALM, F.lit(1.0)).otherwise(raw(i.cast("double"))))
-    # kept in one-element arrays, so that the kernel and its sum are computed once a row and not once a sector
-    summed = F.transform(F.array(kernel), lambda k: F.struct(k.alias("k"), F.aggregate(k, F.lit(0.0), lambda a, x: a + x).alias("s")))
-    return F.transform(summed, lambda h: F.transform(h["k"], lambda w: w / h["s"]))[0]
+    Terms are plain expressions, so that the kernel is generated code; their sum is computed once a row.
+    """
+    sigma = F.least(F.lit(60.0), F.lit(22.5) * F.greatest(F.lit(1.0), F.lit(2.0) / F.greatest(u, F.lit(1e-9))))
+    apart = [F.abs(F.pmod(i * 360.0 / N_SECTORS - direction + 180.0, F.lit(360.0)) - 180.0) for i in range(N_SECTORS)]
+    kernel = F.array(*(F.exp(-(a * a) / (2 * sigma * sigma)) for a in apart))
+    shares = F.get(F.transform(F.array(kernel), lambda k: F.transform(k, lambda w: w / F.aggregate(k, F.lit(0.0), lambda x, y: x + y))), F.lit(0))
+    return F.when((u >= CALM) & direction.isNotNull(), shares).otherwise(F.array(*[F.lit(1.0 / N_SECTORS)] * N_SECTORS))
 
 
 # Classes by irradiance (rows, from strong to weak) and wind (columns); floors of the rows; limits of the columns.
@@ -59,8 +57,13 @@ def choose(key: Column, values: dict) -> Column:
     return F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in values.items()))
 
 
-def stability(u: Column, sun: Column, cloud: Column) -> Column:
-    """Class A to F: by day from irradiance (W/m2) and wind; at night (no irradiance) from cloud (percent, missing: 50) and wind. Missing wind: D."""
+def stability(u: Column, sun: Column, cloud: Column, t: Column | None = None, site: tuple[float, float] | None = None) -> Column:
+    """Class A to F: by day from irradiance (W/m2) and wind; at night (no irradiance) from cloud (percent, missing: 50) and wind. Missing wind: D.
+
+    Where ``t`` and ``site`` are given, missing irradiance is estimated from the sun half an hour before t and cloud; else it counts as night.
+    """
+    if t is not None and site is not None:
+        sun = F.coalesce(sun, irradiance(solar_elevation(t - F.expr("INTERVAL 30 MINUTES"), *site), cloud))
     row = F.when(sun >= DAY_SUN[0], DAY_CLASSES[0]).when(sun >= DAY_SUN[1], DAY_CLASSES[1]).when(sun >= DAY_SUN[2], DAY_CLASSES[2]).otherwise(DAY_CLASSES[3])
     column = F.lit(1)
     for limit in DAY_WIND:
@@ -72,6 +75,15 @@ def stability(u: Column, sun: Column, cloud: Column) -> Column:
     return F.when(u.isNull(), "D").when(F.coalesce(sun, F.lit(0.0)) > 0, F.substr(row, column, F.lit(1))).otherwise(night)
 
 
+#: The class that stands for a group.
+OF_GROUP = {"AC": "B", "D": "D", "EF": "F"}
+
+
+def representative(cls: Column) -> Column:
+    """A class as it is, a group's class for a group, D for anything else."""
+    return F.coalesce(choose(cls, OF_GROUP), F.when(cls.isin("A", "B", "C", "D", "E", "F"), cls), F.lit("D"))
+
+
 def stability_group(cls: Column) -> Column:
     return F.when(cls.isin("A", "B", "C"), "AC").when(cls.isin("E", "F"), "EF").otherwise("D")
 
@@ -82,9 +94,27 @@ def inverse_obukhov(cls: Column, z0: float) -> Column:
     return choose(cls, {c: a + b * rough for c, (a, b) in INVERSE_L.items()})
 
 
-def mixing_height(cls: Column, blh: Column, floor: float) -> Column:
-    """Given height, else the class's median, at least ``floor``."""
-    return F.greatest(F.coalesce(blh, choose(cls, MIXING)), F.lit(floor))
+#: Floors of the mixing height by mode; any other mode: the site's own.
+MIXING_FLOORS = {"nwp": 10.0, "315": 315.0, "100": 100.0}
+
+
+def mixing_height(cls: Column, blh: Column, floor: float = 100.0, mode: str = "auto") -> Column:
+    """Given height, else the class's median, at least the mode's floor (else ``floor``)."""
+    return F.greatest(F.coalesce(blh, choose(cls, MIXING)), F.lit(MIXING_FLOORS.get(mode, floor)))
+
+
+def obukhov(cls: Column, z0: float) -> Column:
+    """Obukhov length in metres; infinite in neutral air."""
+    i = inverse_obukhov(cls, z0)
+    return F.when(F.abs(i) < 1e-12, F.lit(float("inf"))).otherwise(1 / i)
+
+
+def vector_mean(u: Column, direction: Column) -> tuple[Column, Column, Column, Column]:
+    """Aggregates over hours with both: speed and bearing of the mean vector, mean speed, hours."""
+    both = u.isNotNull() & direction.isNotNull()
+    a = F.radians(direction)
+    e, n = F.avg(F.when(both, -u * F.sin(a))), F.avg(F.when(both, -u * F.cos(a)))
+    return F.sqrt(e * e + n * n), wrap360(F.degrees(F.atan2(-e, -n))), F.avg(F.when(both, u)), F.count_if(both)
 
 
 def beaufort(u: Column) -> Column:
@@ -100,13 +130,25 @@ def angle_between(a: Column, b: Column) -> Column:
     return F.when(d > 180, d - 360).otherwise(d)
 
 
+# Series of the equation of time, minutes, and of the declination, radians (Spencer 1971): constant, cosines and sines.
+EQUATION_OF_TIME = (0.000075, (0.001868, -0.014615), (-0.032077, -0.040849))
+DECLINATION = (0.006918, (-0.399912, -0.006758, -0.002697), (0.070257, 0.000907, 0.00148))
+
+
+def _fourier(g: Column, series: tuple) -> Column:
+    constant, cosines, sines = series
+    out = F.lit(constant)
+    for k, (c, s) in enumerate(zip(cosines, sines, strict=True), 1):
+        out = out + c * F.cos(k * g) + s * F.sin(k * g)
+    return out
+
+
 def solar_elevation(t: Column, lat: float, lon: float) -> Column:
     """Degrees above the horizon by the short Fourier series of Spencer (1971), without refraction; t in UTC."""
     hour = F.hour(t) + F.minute(t) / 60 + F.second(t) / 3600
     year = F.dayofyear(F.make_date(F.year(t), F.lit(12), F.lit(31)))
     g = 2 * math.pi / year * (F.dayofyear(t) - 1 + (hour - 12) / 24)
-    minutes = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
-    tilt = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
+    minutes, tilt = 229.18 * _fourier(g, EQUATION_OF_TIME), _fourier(g, DECLINATION)
     angle = F.radians((hour * 60 + minutes + 4 * lon) / 4 - 180)
     up = math.sin(math.radians(lat)) * F.sin(tilt) + math.cos(math.radians(lat)) * F.cos(tilt) * F.cos(angle)
     return 90 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))))

@@ -18,6 +18,27 @@ def is_plausible(key: Column, v: Column) -> Column:
     return ~(F.split_part(key, F.lit("."), F.lit(1)).isin(*STATIONS) & out)
 
 
+def plausible(series: DataFrame) -> DataFrame:
+    """The series without a station's implausible values."""
+    return series.filter(is_plausible(F.col("key"), F.col("v")))
+
+
+def without_sentinels(series: DataFrame, limit: float = -900.0) -> DataFrame:
+    """The series without values at or below ``limit``, which stand for missing ones."""
+    return series.filter(F.col("v").isNotNull() & (F.col("v") > limit))
+
+
+def sentinels(series: DataFrame, limit: float = -900.0) -> DataFrame:
+    """Rows that are sentinels, by key."""
+    return series.groupBy("key").agg(F.count_if(F.col("v") <= limit).alias("sentinels"), F.count("*").alias("n"))
+
+
+def on_the_hour(series: DataFrame) -> DataFrame:
+    """The series; a job that reads a time off the hour fails."""
+    whole = F.date_trunc("HOUR", F.col("t").cast("timestamp")) == F.col("t").cast("timestamp")
+    return series.withColumn("t", F.when(whole, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("off the hour: "), F.col("t").cast("string")))))
+
+
 def dropped(series: DataFrame) -> DataFrame:
     """Rows kept and dropped as implausible, by key."""
     good = is_plausible(F.col("key"), F.col("v"))
@@ -48,12 +69,12 @@ def unit_contract(rows: DataFrame, unit: str, expected: str) -> DataFrame:
 
 
 def packed(series: DataFrame, scale: float, *by: str) -> DataFrame:
-    """Values of each group in time order as base64 of little-endian 16-bit integers. A group holds a period's hours, so it is bounded by the calendar."""
-    code = F.when(F.col("v").isNull() | F.isnan("v"), F.lit(-32768)).otherwise(F.greatest(F.lit(-32767), F.least(F.lit(32767), F.floor(F.col("v") / scale + 0.5))))
-    four = F.lpad(F.hex(F.pmod(code, F.lit(65536)).cast("bigint")), 4, "0")
+    """Values of each group in time order as base64 of little-endian 16-bit integers (halves to even), and how many were clipped. A group holds a period's hours, so it is bounded by the calendar."""
+    code = F.when(F.col("v").isNull() | F.isnan("v"), F.lit(-32768)).otherwise(F.greatest(F.lit(-32767), F.least(F.lit(32767), F.rint(F.col("v") / scale))))
+    four = F.lpad(F.hex(F.pmod(code.cast("bigint"), F.lit(65536))), 4, "0")
     swapped = F.concat(F.substring(four, 3, 2), F.substring(four, 1, 2))
     ordered = F.array_sort(F.collect_list(F.struct("t", swapped.alias("h"))))
-    return series.groupBy(*by).agg(F.count("*").alias("n"), F.base64(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), ""))).alias("data"))
+    return series.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.abs(F.rint(F.col("v") / scale)) > 32767).alias("clipped"), F.base64(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), ""))).alias("data"))
 
 
 def unpacked(rows: DataFrame, scale: float, *by: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Operators on long series (key, t, v), t being the end of the hour in UTC. One pass of partial aggregation each."""
+"""Operators on long series (key, t, v), t being the end of the hour in UTC: v is the mean from an hour before t up to t.
+
+Calendar columns (hour, day type, day, month, year) are those of the hour's start in local time. One pass of partial aggregation each.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.functions.calendar import day_type, hours_in_local_year, local_start
+from aerolake.functions.dimensions import MIN_DAY_HOURS, MIN_YEAR_SHARE
 
 
 def hourly(raw: DataFrame, key: str, t: str, v: str) -> DataFrame:
-    """(key, t, v): mean of each key and hour."""
-    hour = F.date_trunc("HOUR", F.col(t)).cast("timestamp_ntz")
+    """(key, t, v): mean of each key and hour; a reading on the hour opens the next one."""
+    hour = (F.date_trunc("HOUR", F.col(t)) + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz")
     return raw.groupBy(F.col(key).alias("key"), hour.alias("t")).agg(F.avg(v).alias("v"))
 
 
@@ -21,11 +25,11 @@ def paired_increment(series: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def gap_fill(series: DataFrame) -> DataFrame:
-    """Every hour of the common range for every key; missing values are NULL."""
+    """Every hour of the common range for every key; missing values are NULL. Each key makes its own hours."""
     span = series.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    grid = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("t"))
-    keys = series.select("key").distinct()
-    return keys.join(grid, F.lit(True)).join(series, ["key", "t"], "left")  # keys x hours is the result itself
+    keys = series.select("key").distinct().join(F.broadcast(span), F.lit(True))  # one row
+    grid = keys.select("key", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("t"))
+    return grid.join(series, ["key", "t"], "left")
 
 
 def hour_ending_pair(series: DataFrame) -> DataFrame:
@@ -43,10 +47,22 @@ def trailing_mean(series: DataFrame, hours: int, least: int) -> DataFrame:
     return out.select("key", "t", F.avg("v").over(frame).alias("v"), F.count("v").over(frame).alias("n")).filter(F.col("n") >= least)
 
 
+def _step(series: DataFrame) -> Column:
+    seconds = F.unix_timestamp(F.col("t").cast("timestamp"))
+    return (seconds - F.lag(seconds).over(Window.partitionBy("key").orderBy("t"))) / 3600
+
+
 def gap_breaks(series: DataFrame, hours: int) -> DataFrame:
     """Rows after a step longer than ``hours``, with the step."""
-    step = (F.unix_timestamp(F.col("t").cast("timestamp")) - F.lag(F.unix_timestamp(F.col("t").cast("timestamp"))).over(Window.partitionBy("key").orderBy("t"))) / 3600
-    return series.select("key", "t", step.cast("bigint").alias("hours")).filter(F.col("hours") > hours)
+    return series.select("key", "t", _step(series).cast("bigint").alias("hours")).filter(F.col("hours") > hours)
+
+
+def with_breaks(series: DataFrame, hours: int) -> DataFrame:
+    """The series with an empty row half the allowed step after the last value before each longer step, so that lines break there."""
+    stepped = series.withColumn("_step", _step(series))
+    breaks = stepped.filter(F.col("_step") > hours)
+    before = F.timestamp_seconds(F.unix_timestamp(F.col("t").cast("timestamp")) - F.col("_step") * 3600 + hours * 1800).cast("timestamp_ntz")
+    return series.unionByName(breaks.select("key", before.alias("t"), F.lit(None).cast("double").alias("v")))
 
 
 def profile(series: DataFrame, *by: Column) -> DataFrame:
@@ -54,25 +70,50 @@ def profile(series: DataFrame, *by: Column) -> DataFrame:
     return series.groupBy("key", *by).agg(F.avg("v").alias("v"), F.count("v").alias("n"))
 
 
+def local_columns(series: DataFrame, holidays: bool = False) -> DataFrame:
+    """The series with ``year``, ``month``, ``hour``, ``day`` and ``daytype`` (holidays as sundays if asked) of the local start of each hour."""
+    from aerolake.functions.calendar import day_type_with_holidays
+
+    start = local_start(F.col("t"))
+    kind = day_type_with_holidays(F.to_date(start)) if holidays else day_type(start)
+    return series.withColumns({"year": F.year(start), "month": F.month(start), "hour": F.hour(start), "day": F.to_date(start), "daytype": kind})
+
+
 def diurnal(series: DataFrame) -> DataFrame:
-    return profile(series, day_type(F.col("t")).alias("daytype"), F.hour("t").alias("hour"))
+    """Mean by day type and hour of the local start."""
+    return profile(local_columns(series), F.col("daytype"), F.col("hour"))
+
+
+def monthly(series: DataFrame) -> DataFrame:
+    """Mean by month of the local start, years pooled."""
+    return profile(local_columns(series), F.col("month"))
 
 
-def daily_valid(series: DataFrame, least: int) -> DataFrame:
-    """Daily means of days with at least ``least`` hours."""
-    return profile(series, F.to_date("t").alias("day")).filter(F.col("n") >= least)
+def daily_valid(series: DataFrame, least: int = MIN_DAY_HOURS) -> DataFrame:
+    """Means of local days with at least ``least`` hours."""
+    return profile(local_columns(series), F.col("day")).filter(F.col("n") >= least)
+
+
+def paired_daily(series: DataFrame, a: str, b: str, least: int = MIN_DAY_HOURS) -> DataFrame:
+    """(day, n, a, b): local-day means of both series over the hours that both have, for days with ``least`` such hours."""
+    pairs = paired_increment(series, a, b).select("t", F.col("u").alias("a"), (F.col("u") - F.col("inc")).alias("b"))
+    days = local_columns(pairs).groupBy("day").agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+    return days.filter(F.col("n") >= least)
 
 
 def latest(series: DataFrame) -> DataFrame:
     return series.groupBy("key").agg(F.max("t").alias("t"), F.max_by("v", "t").alias("v"))
 
 
-def validated_over_raw(rows: DataFrame, period: str) -> DataFrame:
-    """All rows of the chosen source of each (key, period): validated (1) if it has half of the raw rows at least, else raw (0)."""
-    w = Window.partitionBy("key", period)
-    n1, n0 = F.count(F.when(F.col("validated") == 1, 1)).over(w), F.count(F.when(F.col("validated") == 0, 1)).over(w)
-    chosen = F.when((n1 > 0) & (n1 >= 0.5 * n0), 1).otherwise(0)
-    return rows.withColumn("_chosen", chosen).filter(F.col("validated") == F.col("_chosen")).drop("_chosen")
+def validated_over_raw(rows: DataFrame, *period: str) -> DataFrame:
+    """All rows of the chosen source of each (key, period): validated (1) if it has half of the raw rows at least, else raw (0).
+
+    The choice is made from counts, a row a period, which go back to the rows.
+    """
+    by = ["key", *period]
+    n1, n0 = F.count_if(F.col("validated") == 1), F.count_if(F.col("validated") == 0)
+    chosen = rows.groupBy(*by).agg(F.when((n1 > 0) & (n1 >= 0.5 * n0), 1).otherwise(0).alias("validated"))
+    return rows.join(chosen, [*by, "validated"], "left_semi")
 
 
 def chang_hanna(pairs: DataFrame, floor: float, *by: str) -> DataFrame:
@@ -91,11 +132,11 @@ def chang_hanna(pairs: DataFrame, floor: float, *by: str) -> DataFrame:
     )
 
 
-def annual(series: DataFrame, last_year: int, least: float = 0.75) -> DataFrame:
+def annual(series: DataFrame, last_year: int | Column, least: float = MIN_YEAR_SHARE) -> DataFrame:
     """(key, year, n, coverage, v) by the local year of the hour's start; v only for years up to last_year with coverage ``least``."""
     years = series.groupBy("key", F.year(local_start(F.col("t"))).alias("year")).agg(F.count("v").alias("n"), F.avg("v").alias("m"))
     share = F.col("n") / hours_in_local_year(F.col("year"))
-    return years.select("key", "year", "n", (100 * share).alias("coverage"), F.when((F.col("year") <= last_year) & (share >= least), F.col("m")).alias("v"))
+    return years.select("key", "year", "n", (100 * share).alias("coverage"), F.when((F.col("year") <= F.lit(last_year)) & (share >= least), F.col("m")).alias("v"))
 
 
 def now(series: DataFrame, stale_after: int = 6, hours: int = 24, least: int = 18) -> DataFrame:

@@ -31,14 +31,40 @@ def kfold_scores(pairs: DataFrame, fold: Column, *by: str) -> DataFrame:
     return held.select(*by, "fold", "n", "beta", F.sqrt(F.greatest(mse, F.lit(0.0))).alias("rmse"))
 
 
+#: Bins of a group's range that ``quantiles`` counts first.
+BINS = 1024
+
+
 def quantiles(rows: DataFrame, column: str, shares: list[float], *by: str) -> DataFrame:
-    """Exact quantiles with linear interpolation, as columns q0, q1, ..."""
-    return rows.groupBy(*by).agg(*(F.percentile(column, F.lit(s)).alias(f"q{i}") for i, s in enumerate(shares)))
+    """Exact quantiles with linear interpolation, as columns q0, q1, ..., and ``n``; NULL values take no part.
+
+    Values are counted by distinct value and summed within bins of each group's range, then over the bins, so that no task
+    orders or holds a whole group.
+    """
+    v = F.col("_v")
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranges = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    joined = counted.join(ranges, list(by)) if by else counted.join(F.broadcast(ranges), F.lit(True))
+    place = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BINS)
+    binned = joined.withColumn("_bin", F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"))
+    bins = bins.select(*by, "_bin", before(Window.partitionBy(*by).orderBy("_bin")).alias("_start"), (before(Window.partitionBy(*by).orderBy("_bin")) + F.col("_c")).alias("_stop"))
+    # Only bins that hold a rank asked for are ordered inside.
+    ranks = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    wanted = F.exists(F.array(*(r for x in ranks for r in (F.floor(x), F.ceil(x)))), lambda r: (r >= F.col("_start")) & (r < F.col("_stop")))
+    inside = binned.join(bins, [*by, "_bin"]).filter(wanted)
+    first = F.col("_start") + before(Window.partitionBy(*by, "_bin").orderBy("_v"))
+    at = inside.withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_c") - 1)
+    value = lambda r: F.max(F.when((r >= F.col("_first")) & (r <= F.col("_last")), v))
+    out = at.groupBy(*by, "n").agg(*(x.alias(f"_{k}{i}") for i, r in enumerate(ranks) for k, x in (("a", value(F.floor(r))), ("b", value(F.ceil(r))))))
+    between = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (r - F.floor(r)) for i, r in enumerate(ranks)]
+    return out.select(*by, "n", *(x.alias(f"q{i}") for i, x in enumerate(between)))
 
 
 def monthly_capture(series: DataFrame, least: float) -> DataFrame:
     """Rows of the (key, month) whose hours cover ``least`` of the month."""
-    month = series.withColumn("month", F.trunc(F.to_date("t"), "month"))
+    month = series.withColumn("month", F.trunc(F.to_date(F.col("t") - F.expr("INTERVAL 1 HOUR")), "month"))  # of the hour's start, in UTC
     kept = month.groupBy("key", "month").agg(F.count("v").alias("n")).filter(F.col("n") >= least * 24 * F.dayofmonth(F.last_day("month")))
     return month.join(kept, ["key", "month"], "left_semi")
 
@@ -48,6 +74,13 @@ def bookkeeping(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("t").alias("hours"), F.count_if(F.col("v").isNull()).alias("masked"), F.count_if(F.col("validated") == 1).alias("val_rows"))
 
 
+def sampled(shares: DataFrame, draws: DataFrame, order: str) -> DataFrame:
+    """(draw columns, order): for each draw ``r`` in [0, 1) the first row whose running ``share`` exceeds it. ``shares`` is a small table."""
+    below = Window.orderBy("share")
+    steps = shares.withColumn("_from", F.coalesce(F.lag("share").over(below), F.lit(0.0)))
+    return draws.join(F.broadcast(steps), (F.col("r") >= F.col("_from")) & (F.col("r") < F.col("share"))).select(*draws.columns, order)
+
+
 def cumulative_share(weights: DataFrame, order: str, *by: str) -> DataFrame:
     """Running share of the weight ``w`` along ``order``, for sampling by the inverse distribution."""
     group = Window.partitionBy(*by)
@@ -71,8 +104,8 @@ def hourly_factor(hour: Column, day: Column, profiles: dict[str, list[float]]) -
 
 
 def packed_int16(value: Column, scale: float, missing: int = -32768) -> Column:
-    """A value as a scaled 16-bit integer, clipped; missing and not-a-number become ``missing``."""
-    clipped = F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), F.floor(value / scale + 0.5)))
+    """A value as a scaled 16-bit integer, halves to even, clipped; missing and not-a-number become ``missing``."""
+    clipped = F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), F.rint(value / scale)))
     return F.when(value.isNull() | F.isnan(value), F.lit(missing)).otherwise(clipped.cast("int")).cast("int")
 
 

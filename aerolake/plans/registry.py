@@ -12,6 +12,7 @@ from aerolake.functions.calendar import day_type, rounded
 from aerolake.operators import series
 from aerolake.plans import physics_queries as physics
 from aerolake.plans import queries as own
+from aerolake.plans import statistics_queries as archive
 from aerolake.plans import summary_queries as more
 from aerolake.sources.tables import table
 
@@ -25,8 +26,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return own.QUERIES | more.QUERIES | physics.QUERIES
+    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return own.ORACLES | more.ORACLES | physics.ORACLES
+    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES
