@@ -94,15 +94,6 @@ def lookup(weights: Column, table: list[float]) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
 
 
-def hourly_factor(hour: Column, day: Column, profiles: dict[str, list[float]]) -> Column:
-    """Factor of an hour from 24-hour profiles by day type."""
-    found = None
-    for name, profile in profiles.items():
-        value = F.element_at(F.array(*map(F.lit, profile)), hour + 1)
-        found = F.when(day == name, value) if found is None else found.when(day == name, value)
-    return found
-
-
 def packed_int16(value: Column, scale: float, missing: int = -32768) -> Column:
     """A value as a scaled 16-bit integer, halves to even, clipped; missing and not-a-number become ``missing``."""
     clipped = F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), F.rint(value / scale)))

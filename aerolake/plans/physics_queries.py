@@ -105,14 +105,14 @@ HOURS_IN = "(CAST(epoch(CAST((make_timestamp({y} + 1, 1, 1, 0, 0, 0) AT TIME ZON
 
 
 @query(f"""{H}, y AS (SELECT key, year({LOCAL.format('t')}) AS y, count(v) AS n, avg(v) AS m FROM h GROUP BY 1, 2), c AS (SELECT *, n / {HOURS_IN.format(y='y')} AS share FROM y)
-SELECT key, CAST(y AS INTEGER) AS year, n, round(100 * share + 1e-9, 4) AS coverage, round(CASE WHEN y <= 2025 AND share >= 0.05 THEN m END + 1e-9, 6) AS v FROM c""")
+SELECT key, CAST(y AS INTEGER) AS year, n, round(100 * share + 1e-9, 4) AS coverage, round(CASE WHEN y <= 2025 AND share >= 0.75 THEN m END + 1e-9, 6) AS v FROM c""")
 def annual_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = series.annual(_hours(spark, sf_dir), 2025, 0.05)
+    out = series.annual(_hours(spark, sf_dir), 2025)
     return out.select("key", "year", "n", rounded(F.col("coverage"), 4).alias("coverage"), rounded(F.col("v")).alias("v"))
 
 
 @query(f"""{H}, l AS (SELECT key, max(t) AS last, arg_max(v, t) AS lv FROM h GROUP BY 1), m AS (SELECT h.key, last, lv, avg(v) AS m, count(*) AS n FROM h JOIN l ON h.key = l.key AND t > last - INTERVAL 24 HOUR GROUP BY 1, 2, 3)
-SELECT key, last AS t, round(lv + 1e-9, 6) AS v, round(CASE WHEN n >= 18 THEN m END + 1e-9, 6) AS mean, last < (SELECT max(last) FROM l) - INTERVAL 6 HOUR AS stale, CAST(1 + (lv > 10)::INT + (lv > 25)::INT + (lv > 60)::INT + (lv > 100)::INT AS INTEGER) AS level FROM m""")
+SELECT key, last AS t, round(lv + 1e-9, 6) AS v, round(CASE WHEN n >= 18 THEN m END + 1e-9, 6) AS mean, last < (SELECT max(last) FROM l) - INTERVAL 6 HOUR AS stale, CAST(1 + (lv > 10)::INT + (lv > 25)::INT + (lv > 60)::INT + (lv > 100)::INT + (lv > 150)::INT AS INTEGER) AS level FROM m""")
 def now_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = chemistry.level(F.col("v"), NO2_BREAKS)
     return series.now(_hours(spark, sf_dir)).select("key", "t", rounded(F.col("v")).alias("v"), rounded(F.col("mean")).alias("mean"), "stale", level.alias("level"))
@@ -146,11 +146,11 @@ def every_seventh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.every_kth(_hours(spark, sf_dir), 7).withColumn("v", rounded(F.col("v")))
 
 
-CODE = "CAST(greatest(-32767, least(32767, floor(v / 0.1 + 0.5))) AS INTEGER)"
+CODE = "CAST(greatest(-32767, least(32767, round_even(v / 0.1, 0))) AS INTEGER)"
 
 
 @query(f"""{H}, q AS (SELECT key, CAST(t AS DATE) AS day, t, lpad(format('{{:X}}', ({CODE} + 65536) % 65536), 4, '0') AS x FROM h)
-SELECT key, day, count(*) AS n, to_base64(unhex(string_agg(substr(x, 3, 2) || substr(x, 1, 2), '' ORDER BY t))) AS data FROM q GROUP BY 1, 2""")
+SELECT key, day, count(*) AS n, 0::BIGINT AS clipped, to_base64(unhex(string_agg(substr(x, 3, 2) || substr(x, 1, 2), '' ORDER BY t))) AS data FROM q GROUP BY 1, 2""")
 def packed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.packed(_hours(spark, sf_dir).withColumn("day", F.to_date("t")), 0.1, "key", "day")
 

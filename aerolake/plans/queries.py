@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.functions import chemistry, weather
-from aerolake.functions.calendar import day_type, local_start, rounded
-from aerolake.functions.dimensions import MIN_DAY_HOURS, NO2_BREAKS
-from aerolake.operators import fitting, series, spatial
+from aerolake.functions.calendar import local_start, rounded
+from aerolake.functions.dimensions import INDEX_LIMITS, MIN_DAY_HOURS, PPB
+from aerolake.operators import calibration, fitting, series, spatial, statistics
+from aerolake.plans.ledger import DAYTYPE_H, HOLIDAY_TABLE
 from aerolake.sources.tables import table
 from aerolake.streaming.refresh import hourly_stream
 
@@ -20,7 +21,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Hourly series in SQL.
-H = "WITH h AS (SELECT event_type AS key, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS t, avg(value) AS v FROM events GROUP BY 1, 2)"
+H = "WITH h AS (SELECT event_type AS key, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS t, avg(value) AS v FROM events GROUP BY 1, 2)"
 
 
 def query(sql: str | None):
@@ -61,15 +62,18 @@ def hour_ending_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 DT = "CASE isodow({}) WHEN 7 THEN 'sunday' WHEN 6 THEN 'saturday' ELSE 'weekday' END"
 
 
-@query(f"{H} SELECT key, {DT.format('t')} AS daytype, CAST(hour(t) AS INTEGER) AS hour, round(avg(v) + 1e-9, 6) AS v, count(v) AS n FROM h GROUP BY 1, 2, 3")
+LT = "(t - INTERVAL 1 HOUR) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Zagreb'"
+
+
+@query(f"{H}, l AS (SELECT key, {LT} AS l, v FROM h) SELECT key, {DT.format('l')} AS daytype, CAST(hour(l) AS INTEGER) AS hour, round(avg(v) + 1e-9, 6) AS v, count(v) AS n FROM l GROUP BY 1, 2, 3")
 def diurnal_by_daytype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.diurnal(_hours(spark, sf_dir)).withColumn("v", rounded(F.col("v")))
 
 
-@query("SELECT o_orderstatus AS key, CAST(month(o_orderdate) AS INTEGER) AS month, round(avg(o_totalprice) + 1e-9, 4) AS v, count(*) AS n FROM orders GROUP BY 1, 2")
+@query(f"WITH o AS (SELECT o_orderstatus AS key, CAST(o_orderdate AS TIMESTAMP) AS t, o_totalprice AS v FROM orders) SELECT key, CAST(month({LT}) AS INTEGER) AS month, round(avg(v) + 1e-9, 4) AS v, count(v) AS n FROM o GROUP BY 1, 2")
 def monthly_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_orderdate").alias("t"), F.col("o_totalprice").alias("v"))
-    return series.profile(rows, F.month("t").alias("month")).withColumn("v", rounded(F.col("v"), 4))
+    return series.monthly(rows).withColumn("v", rounded(F.col("v"), 4))
 
 
 @query("""SELECT o_orderstatus AS key, CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT CAST(o_orderdate AS DATE)) AS days,
@@ -83,21 +87,30 @@ def annual_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECTOR = "CAST(CAST(floor((({0} * 7.3) % 360 + 11.25) / 22.5) AS BIGINT) % 16 AS INTEGER)"
 
 
-@query(f"{H} SELECT key, CASE WHEN v / 10 < 0.5 THEN -1 ELSE {SECTOR.format('v')} END AS sector, count(*) AS n, round(avg(v) + 1e-9, 6) AS v FROM h GROUP BY 1, 2")
+@query(f"""{H}, w AS (SELECT t, max(v * 7.3) FILTER (key = 'view') AS direction, max(v / 40) FILTER (key = 'click') AS u FROM h GROUP BY 1)
+SELECT key, CASE WHEN u < 0.5 OR direction IS NULL THEN -1 ELSE CAST(CAST(floor((direction % 360 + 11.25) / 22.5) AS BIGINT) % 16 AS INTEGER) END AS sector, count(v) AS n, round(avg(v) + 1e-9, 6) AS v FROM h JOIN w USING (t) WHERE u IS NOT NULL GROUP BY 1, 2""")
 def rose_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hours(spark, sf_dir).withColumn("sector", weather.rose_sector(F.col("v") * 7.3, F.col("v") / 10))
-    return rows.groupBy("key", "sector").agg(F.count("*").alias("n"), rounded(F.avg("v")).alias("v"))
+    """Hours without speed are in no sector; two series play bearing and speed."""
+    of = lambda k, x: F.max(F.when(F.col("key") == k, x))
+    h = _hours(spark, sf_dir)
+    wind = h.groupBy("t").agg(of("view", F.col("v") * 7.3).alias("direction"), of("click", F.col("v") / 40).alias("u"))
+    return statistics.rose(h, wind).withColumn("v", rounded(F.col("v")))
 
 
-@query(f"{H} SELECT key, CAST(t AS DATE) AS day, round(avg(v) + 1e-9, 6) AS v, count(v) AS n FROM h GROUP BY 1, 2 HAVING count(v) >= 18")
+@query(f"{H} SELECT key, CAST({LT} AS DATE) AS day, round(avg(v) + 1e-9, 6) AS v, count(v) AS n FROM h GROUP BY 1, 2 HAVING count(v) >= 18")
 def daily_valid_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.daily_valid(_hours(spark, sf_dir), MIN_DAY_HOURS).withColumn("v", rounded(F.col("v")))
 
 
-@query(f"{H} SELECT key, l AS lim, CAST(count(*) FILTER (v > l) AS BIGINT) AS n, count(*) AS valid FROM h CROSS JOIN (VALUES (50.0::DOUBLE), (100.0), (200.0)) x(l) GROUP BY 1, 2")
+@query(f"""{H}, l AS (SELECT key, {LT} AS l, v FROM h), d AS (SELECT key, CAST(l AS DATE) AS d, avg(v) AS v FROM l GROUP BY 1, 2 HAVING count(v) >= 18)
+SELECT key || ' 1h ' || CAST(x AS VARCHAR) AS rule, CAST(year(l) AS INTEGER) AS year, CAST(count(*) FILTER (v > x) AS BIGINT) AS n, count(*) AS valid FROM l, (VALUES (50), (100), (200)) y(x) GROUP BY 1, 2
+UNION ALL SELECT key || ' 24h 60', CAST(year(d) AS INTEGER), CAST(count(*) FILTER (v > 60) AS BIGINT), count(*) FROM d GROUP BY 1, 2""")
 def exceedance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hours(spark, sf_dir).withColumn("lim", F.explode(F.array(F.lit(50.0), F.lit(100.0), F.lit(200.0))))
-    return rows.groupBy("key", "lim").agg(F.count_if(F.col("v") > F.col("lim")).alias("n"), F.count("*").alias("valid"))
+    """By local year, hours and valid days; years without any stay."""
+    keys = ("click", "purchase", "view", "add_to_cart", "search", "signup", "error", "scroll")
+    h = _hours(spark, sf_dir)
+    rules = [(f"{k} 1h {x}", k, "1h", float(x)) for k in keys for x in (50, 100, 200)] + [(f"{k} 24h 60", k, "24h", 60.0) for k in keys]
+    return statistics.exceedances(h, rules)
 
 
 @query(f"{H} SELECT key, max(t) AS t, round(arg_max(v, t) + 1e-9, 6) AS v FROM h GROUP BY 1")
@@ -114,14 +127,15 @@ def vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("key", rounded(F.sqrt(F.col("e") * F.col("e") + F.col("n") * F.col("n"))).alias("speed"), rounded(weather.wrap360(F.degrees(F.atan2(-F.col("e"), -F.col("n"))))).alias("direction"), rounded(F.col("s")).alias("scalar"))
 
 
-@query(f"""{H}, p AS (SELECT key, {DT.format('t')} AS daytype, CAST(hour(t) AS INTEGER) AS hour, median(v) AS m FROM h GROUP BY 1, 2, 3),
-r AS (SELECT h.key, {SECTOR.format('h.v')} AS sector, h.v / p.m AS q FROM h JOIN p ON h.key = p.key AND {DT.format('h.t')} = p.daytype AND hour(h.t) = p.hour)
+@query(f"""{H}, {HOLIDAY_TABLE}, x AS (SELECT key, v, (v - 20) * sqrt(v / 40 * (v / 40) + 1.44) AS x, {DAYTYPE_H.format('l')} AS daytype, CAST(hour(l) AS INTEGER) AS hour FROM (SELECT key, v, {LT} AS l FROM h)),
+p AS (SELECT key, daytype, hour, median(x) AS m FROM x GROUP BY 1, 2, 3),
+r AS (SELECT x.key, {SECTOR.format('x.v')} AS sector, x.x / p.m AS q FROM x JOIN p ON x.key = p.key AND x.daytype = p.daytype AND x.hour = p.hour WHERE p.m > 0)
 SELECT key, sector, round(median(q) + 1e-9, 6) AS ratio, count(*) AS n FROM r GROUP BY 1, 2""")
 def median_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hours(spark, sf_dir).withColumns({"daytype": day_type(F.col("t")), "hour": F.hour("t")})
-    p = h.groupBy("key", "daytype", "hour").agg(F.median("v").alias("m"))
-    r = h.join(p, ["key", "daytype", "hour"]).select("key", weather.sector(F.col("v") * 7.3).alias("sector"), (F.col("v") / F.col("m")).alias("q"))
-    return r.groupBy("key", "sector").agg(rounded(F.median("q")).alias("ratio"), F.count("*").alias("n"))
+    """The baseline's two medians: values times effective wind by day type and hour, then by sector against those that are positive."""
+    h = series.local_columns(_hours(spark, sf_dir), holidays=True).withColumns({"obs": F.col("v") - 20, "u": F.col("v") / 40, "direction": F.col("v") * 7.3})
+    _, q = calibration.baseline(h, "key")
+    return q.select("key", "sector", rounded(F.col("q")).alias("ratio"), "n")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,11 +155,15 @@ def chang_hanna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_returnflag", "n", *(rounded(F.col(c)).alias(c) for c in ("fb", "nmse", "rmse", "fac2", "mg", "vg", "nad", "r")))
 
 
-@query(f"""{PAIRS} SELECT l_returnflag, round(sqrt(avg((o - p) * (o - p))) / (2 * sqrt(avg(0.0625 * (0.04 * 400 + 0.96 * o * o)))) + 1e-9, 6) AS mqi FROM x GROUP BY 1""")
+MQI = "round(sqrt(avg((o - p) * (o - p))) / (2 * sqrt(avg({0} * {0} * ((1 - {2} * {2}) * o * o + {2} * {2} * {1} * {1})))) + 1e-9, 6)"
+
+
+@query(f"""{PAIRS} SELECT l_returnflag, {MQI.format('0.24::DOUBLE', '200::DOUBLE', '0.20::DOUBLE')} AS no2, {MQI.format('0.18::DOUBLE', '120::DOUBLE', '0.79::DOUBLE')} AS o3,
+{MQI.format('0.28::DOUBLE', '50::DOUBLE', '0.25::DOUBLE')} AS pm10, {MQI.format('0.36::DOUBLE', '25::DOUBLE', '0.50::DOUBLE')} AS pm25 FROM x GROUP BY 1""")
 def mqi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, p = F.col("o"), F.col("p")
-    score = F.sqrt(F.avg((o - p) * (o - p))) / (2 * F.sqrt(F.avg(0.0625 * (0.04 * 400 + 0.96 * o * o))))
-    return _pairs(spark, sf_dir).groupBy("l_returnflag").agg(rounded(score).alias("mqi"))
+    """Of four pollutants, each with its own uncertainty."""
+    of = lambda k: rounded(chemistry.quality_indicator(F.col("o"), F.col("p"), k)).alias(k)
+    return _pairs(spark, sf_dir).groupBy("l_returnflag").agg(of("no2"), of("o3"), of("pm10"), of("pm25"))
 
 
 @query(f"""{PAIRS} SELECT l_returnflag, l_linestatus, CASE WHEN count(*) >= 30 AND sum(p) > 0 THEN round(sum(o) / sum(p) + 1e-9, 6) END AS ratio, count(*) AS n FROM x
@@ -173,16 +191,16 @@ def coalesce_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("t", rounded(F.coalesce("a", "b", "c", F.lit(40.0))).alias("v"), src.alias("src"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' AND o.o_totalprice > 150000)")
 def anti_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 150000")
     customer = table(spark, sf_dir, "customer")
     return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
 
 
-@query(f"""{H}, d AS (SELECT key, CAST(t AS DATE) AS day FROM h GROUP BY 1, 2 HAVING count(*) >= 18) SELECT h.key, h.t, round(h.v + 1e-9, 6) AS v FROM h SEMI JOIN d ON h.key = d.key AND CAST(h.t AS DATE) = d.day""")
+@query(f"""{H}, d AS (SELECT key, CAST({LT} AS DATE) AS day FROM h GROUP BY 1, 2 HAVING count(*) >= 18) SELECT h.key, h.t, round(h.v + 1e-9, 6) AS v FROM h SEMI JOIN d ON h.key = d.key AND CAST((h.t - INTERVAL 1 HOUR) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Zagreb' AS DATE) = d.day""")
 def semi_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hours(spark, sf_dir).withColumn("day", F.to_date("t"))
+    h = series.local_columns(_hours(spark, sf_dir))
     kept = h.groupBy("key", "day").count().filter(f"count >= {MIN_DAY_HOURS}")
     return h.join(kept, ["key", "day"], "left_semi").select("key", "t", rounded(F.col("v")).alias("v"))
 
@@ -207,26 +225,51 @@ def stability_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", weather.stability(v / 60, v * 3 - 200, v % 100).alias("cls"))
 
 
-@query("SELECT event_id, CAST(1 + (value > 10)::INT + (value > 25)::INT + (value > 60)::INT + (value > 100)::INT AS INTEGER) AS level, CAST(1 + (value >= 10)::INT + (value >= 25)::INT + (value >= 60)::INT + (value >= 100)::INT AS INTEGER) AS band FROM events")
+def _level_sql(scheme: str, op: str) -> str:
+    whens = " ".join(f"WHEN '{p}' THEN 1 + " + " + ".join(f"(v {op} {x})::INT" for x in limits) for p, limits in INDEX_LIMITS[scheme].items())
+    return f"CAST(CASE p {whens} ELSE 0 END AS INTEGER)"
+
+
+@query(f"""WITH x AS (SELECT event_id, ['pm25', 'pm10', 'no2', 'o3', 'so2', 'co'][event_id % 6 + 1] AS p, value * 2 AS v FROM events),
+y AS (SELECT event_id, p, {_level_sql('european', '>')} AS level, {_level_sql('national', '>')} AS national, {_level_sql('european', '>=')} AS band FROM x)
+SELECT *, CASE WHEN level = 0 THEN '#6F6F6F' ELSE ['#50F0E6', '#50CCAA', '#F0E641', '#FF5050', '#960032', '#7D2181'][level] END AS colour FROM y""")
 def eaqi_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", chemistry.level(F.col("value"), NO2_BREAKS).alias("level"), chemistry.band(F.col("value"), NO2_BREAKS).alias("band"))
+    """Levels of five pollutants by two schemes, colours and display bands."""
+    p = F.get(F.array(*map(F.lit, ("pm25", "pm10", "no2", "o3", "so2", "co"))), (F.col("event_id") % 6).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", p.alias("p"), (F.col("value") * 2).alias("v"))
+    band = F.lit(0)
+    for name, limits in INDEX_LIMITS["european"].items():
+        band = F.when(F.col("p") == name, chemistry.band(F.col("v"), limits)).otherwise(band)
+    level = chemistry.index_level(F.col("p"), F.col("v"))
+    return rows.select("event_id", "p", level.alias("level"), chemistry.index_level(F.col("p"), F.col("v"), "national").alias("national"), band.alias("band"), chemistry.index_colour(level).alias("colour"))
 
 
-@query("""WITH k AS (SELECT event_id, i, CASE WHEN value / 100 < 0.5 THEN 1 ELSE exp(-0.5 * power(abs((i * 22.5 - (value * 7.3) % 360 + 180 + 360) % 360 - 180) / least(60, 22.5 * greatest(1, 2 / greatest(value / 100, 1e-9))), 2)) END AS w
+@query("""WITH k AS (SELECT event_id, i, CASE WHEN value / 100 < 0.5 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN 1 ELSE exp(-0.5 * power(abs((i * 22.5 - (value * 7.3) % 360 + 180 + 360) % 360 - 180) / least(60, 22.5 * greatest(1, 2 / greatest(value / 100, 1e-9))), 2)) END AS w
 FROM events CROSS JOIN range(16) r(i)) SELECT event_id, CAST(i AS INTEGER) AS sector, round(w / sum(w) OVER (PARTITION BY event_id) + 1e-9, 6) AS w FROM k""")
 def direction_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = weather.direction_weights(weather.wrap360(F.col("value") * 7.3), F.col("value") / 100)
+    """Also for hours without bearing or speed."""
+    known = lambda m, c: F.when(F.col("event_id") % m != 0, c)
+    w = weather.direction_weights(known(7, weather.wrap360(F.col("value") * 7.3)), known(11, F.col("value") / 100))
     return table(spark, sf_dir, "events").select("event_id", F.posexplode(w).alias("sector", "w")).withColumn("w", rounded(F.col("w")))
 
 
-@query("""WITH x AS (SELECT event_id, value / 4 AS y0, value / 2 AS n, value / 4 + 30 AS x, 60.0::DOUBLE AS tau, 0.005::DOUBLE AS j, 0.0004::DOUBLE AS k FROM events),
-s AS (SELECT *, n + x + j / k AS b FROM x), q AS (SELECT *, sqrt(greatest(0, b * b - 4 * n * x)) AS r FROM s),
-z AS (SELECT *, (b - r) / 2 AS lo, (b + r) / 2 AS hi FROM q), e AS (SELECT *, (y0 - lo) / (y0 - hi) * exp(-least(k * r * tau, 700)) AS c FROM z)
-SELECT event_id, round(greatest(0, least((lo - hi * c) / (1 - c), n, x)) + 1e-9, 6) AS no2 FROM e""")
+def scheme_sql(source: str, keep: str, added: str, no2: str, nox: str, o3: str, tau: str, j: str, k: str) -> str:
+    """CTEs ending in ``sch`` (keep, no2, no, o3, nox, ox): the NO2 scheme over rows of ``source``, f = 0.1."""
+    return f"""sa AS (SELECT {keep}, greatest(0, coalesce({added}, 0)) / {PPB['no2']} AS dn, greatest(0, coalesce({no2}, 0)) / {PPB['no2']} AS xb, greatest(0, coalesce({nox}, 0)) / {PPB['no2']} AS nb, greatest(0, coalesce({o3}, 0)) / {PPB['o3']} AS ob, {tau} AS tau, greatest(0, coalesce({j}, 0)) AS j, {k} AS k FROM {source}),
+sb AS (SELECT *, nb + dn AS n, ob + xb + 0.1::DOUBLE * dn AS x, xb + 0.1::DOUBLE * dn AS y0 FROM sa), sc AS (SELECT *, n + x + j / k AS b FROM sb), sd AS (SELECT *, sqrt(greatest(1e-12, b * b - 4 * n * x)) AS r FROM sc),
+se AS (SELECT *, (b - r) / 2 AS lo, (b + r) / 2 AS hi FROM sd), sf AS (SELECT *, (y0 - lo) / CASE WHEN abs(y0 - hi) >= 1e-12 THEN y0 - hi END * exp(-least(k * r * tau, 700)) AS c FROM se),
+sg AS (SELECT *, greatest(0, least(CASE WHEN tau <= 0 OR k <= 0 THEN y0 ELSE coalesce((lo - hi * c) / nullif(1 - c, 0), lo) END, n, x)) AS y FROM sf),
+sch AS (SELECT {keep}, y * {PPB['no2']} AS no2, (n - y) * {PPB['no']} AS no, (x - y) * {PPB['o3']} AS o3, n * {PPB['no2']} AS nox, x AS ox FROM sg)"""
+
+
+@query(f"""WITH xx AS (SELECT event_id, value / 2 - 5 AS a, value / 4 AS b, value / 3 AS c, CASE WHEN event_id % 9 > 0 THEN 80 - value / 5 END AS d, CAST(event_id % 4 * 30 AS DOUBLE) AS tau FROM events),
+{scheme_sql('xx', 'event_id', 'a', 'b', 'c', 'd', 'tau', '0.005::DOUBLE', '0.0004::DOUBLE')}
+SELECT event_id, round(no2 + 1e-9, 6) AS no2, round(no + 1e-9, 6) AS no, round(o3 + 1e-9, 6) AS o3, round(nox + 1e-9, 6) AS nox, round(ox + 1e-9, 6) AS ox FROM sch""")
 def no2_chemistry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    y = chemistry.no2_after(v / 4, v / 2, v / 4 + 30, F.lit(60.0), F.lit(0.005), F.lit(0.0004))
-    return table(spark, sf_dir, "events").select("event_id", rounded(y).alias("no2"))
+    """The whole scheme, with a missing ozone, negative increments and no time to react among the rows."""
+    v, i = F.col("value"), F.col("event_id")
+    out = chemistry.no2_scheme(v / 2 - 5, v / 4, v / 3, F.when(i % 9 > 0, 80 - v / 5), (i % 4 * 30).cast("double"), F.lit(0.005), F.lit(0.0004))
+    return table(spark, sf_dir, "events").select("event_id", *(rounded(c).alias(k) for k, c in out.items()))
 
 
 @query("""WITH g AS (SELECT l_returnflag, g.u0, ln(l_extendedprice / 1000 + 1) - ln(l_quantity / sqrt(l_tax * 100 * l_tax * 100 + g.u0 * g.u0)) AS x FROM lineitem CROSS JOIN (SELECT (i + 1) * 0.25::DOUBLE AS u0 FROM range(16) r(i)) g WHERE l_quantity > 0),
@@ -263,13 +306,13 @@ def local_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.year(t).alias("year"), F.month(t).alias("month"), F.dayofmonth(t).alias("day"), F.hour(t).alias("hour"), F.weekday(t).alias("dow"))
 
 
-@query(f"{PAIRS} SELECT l_returnflag, l_linestatus, round(abs(o - p) + 1e-9, 6) AS off FROM x ORDER BY abs(o - p) DESC LIMIT 3")
+@query(f"{PAIRS} SELECT l_returnflag, l_linestatus, round(abs(o - p) + 1e-9, 6) AS off FROM x ORDER BY abs(o - p) DESC, l_returnflag, l_linestatus LIMIT 3")
 def topk_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.abs(F.col("o") - F.col("p"))
-    return _pairs(spark, sf_dir).orderBy(off.desc()).limit(3).select("l_returnflag", "l_linestatus", rounded(off).alias("off"))
+    return _pairs(spark, sf_dir).orderBy(off.desc(), "l_returnflag", "l_linestatus").limit(3).select("l_returnflag", "l_linestatus", rounded(off).alias("off"))
 
 
-@query("SELECT event_type AS key, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS t, round(avg(value) + 1e-9, 6) AS v, count(value) AS n FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS key, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS t, round(avg(value) + 1e-9, 6) AS v, count(value) AS n FROM events GROUP BY 1, 2")
 def hourly_stream_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hourly_stream(table(spark, sf_dir, "events"), "event_type", "ts", "value")
     return out.select("key", F.col("t").cast("timestamp_ntz").alias("t"), rounded(F.col("v")).alias("v"), "n")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from aerolake.functions import weather
 from aerolake.functions.calendar import day_type, rounded
 from aerolake.operators import series
+from aerolake.plans import calibration_queries as fitted
+from aerolake.plans import emission_queries as emitted
 from aerolake.plans import physics_queries as physics
 from aerolake.plans import queries as own
 from aerolake.plans import statistics_queries as archive
@@ -26,8 +28,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES
+    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES | emitted.QUERIES | fitted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES
+    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES | emitted.ORACLES | fitted.ORACLES

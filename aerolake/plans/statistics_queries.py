@@ -120,10 +120,11 @@ def paired_daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", "n", rounded(F.col("a")).alias("a"), rounded(F.col("b")).alias("b"))
 
 
-@query(f"""WITH {SERIES} SELECT split_part(key, '.', 1) AS station, quantile_cont(v, 0.05) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.997) AS q2, count(*) AS n FROM s GROUP BY 1""")
+@query(f"""WITH {SERIES} SELECT split_part(key, '.', 1) AS station, round(quantile_cont(v, 0.05) + 1e-9, 6) AS q0, round(quantile_cont(v, 0.5) + 1e-9, 6) AS q1, round(quantile_cont(v, 0.997) + 1e-9, 6) AS q2, count(*) AS n FROM s GROUP BY 1""")
 def archive_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ledger(spark, sf_dir).withColumn("station", F.split_part("key", F.lit("."), F.lit(1)))
-    return summaries.quantiles(s, "v", [0.05, 0.5, 0.997], "station")
+    out = summaries.quantiles(s, "v", [0.05, 0.5, 0.997], "station")
+    return out.select("station", "n", *(rounded(F.col(f"q{i}")).alias(f"q{i}") for i in range(3)))
 
 
 @query(f"""WITH {SERIES}, d AS (SELECT key, t, v, lag(t) OVER (PARTITION BY key ORDER BY t) AS b FROM s)

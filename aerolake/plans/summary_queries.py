@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.functions import weather
-from aerolake.functions.calendar import day_type, rounded
+from aerolake.functions import emissions, weather
+from aerolake.functions.calendar import rounded
 from aerolake.operators import series, summaries
-from aerolake.plans.queries import DT, PAIRS, H, _hours, _pairs
+from aerolake.plans.emission_queries import TRAFFIC
+from aerolake.plans.ledger import HOLIDAY_TABLE, LOCAL
+from aerolake.plans.queries import PAIRS, H, _hours, _pairs
 from aerolake.sources.tables import table
 
 QUERIES: dict = {}
@@ -52,8 +54,8 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", *(rounded(F.col(q)).alias(q) for q in ("q0", "q1", "q2")))
 
 
-@query(f"""{H}, m AS (SELECT key, date_trunc('month', t) AS m FROM h GROUP BY 1, 2 HAVING count(v) >= 0.75 * 24 * day(last_day(min(t))))
-SELECT h.key, h.t, round(h.v + 1e-9, 6) AS v FROM h SEMI JOIN m ON h.key = m.key AND date_trunc('month', h.t) = m.m""")
+@query(f"""{H}, m AS (SELECT key, date_trunc('month', t - INTERVAL 1 HOUR) AS m FROM h GROUP BY 1, 2 HAVING count(v) >= 0.75 * 24 * day(last_day(min(t - INTERVAL 1 HOUR))))
+SELECT h.key, h.t, round(h.v + 1e-9, 6) AS v FROM h SEMI JOIN m ON h.key = m.key AND date_trunc('month', h.t - INTERVAL 1 HOUR) = m.m""")
 def monthly_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.monthly_capture(_hours(spark, sf_dir), 0.75).select("key", "t", rounded(F.col("v")).alias("v"))
 
@@ -82,24 +84,19 @@ def lut_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rounded(summaries.lookup(w, LUT)).alias("gamma"))
 
 
-PROFILES = {"weekday": [0.25 + (h % 12) / 8 for h in range(24)], "saturday": [0.5 + h / 48 for h in range(24)], "sunday": [0.75] * 24}
-
-
-@query(f"""SELECT event_id, CASE {DT.format('ts')} WHEN 'weekday' THEN 0.25 + (hour(ts) % 12) / 8 WHEN 'saturday' THEN 0.5 + hour(ts) / 48 ELSE 0.75::DOUBLE END AS factor FROM events""")
+@query(f"""WITH {HOLIDAY_TABLE}, x AS (SELECT event_id, {LOCAL.format('ts')} AS l FROM events) SELECT event_id, round({TRAFFIC.format(l='l')} + 1e-9, 6) AS factor FROM x""")
 def traffic_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", summaries.hourly_factor(F.hour("ts"), day_type(F.col("ts")), PROFILES).alias("factor"))
+    return table(spark, sf_dir, "events").select("event_id", rounded(emissions.traffic_factor(F.col("ts"))).alias("factor"))
 
 
-@query("SELECT event_id, CAST(greatest(-32767, least(32767, floor((value - 200) / 0.01 + 0.5))) AS INTEGER) AS code, round(greatest(-32767, least(32767, floor((value - 200) / 0.01 + 0.5))) * 0.01 + 1e-9, 4) AS back FROM events")
+@query("SELECT event_id, CAST(greatest(-32767, least(32767, round_even((value - 200) / 0.01, 0))) AS INTEGER) AS code, round(greatest(-32767, least(32767, round_even((value - 200) / 0.01, 0))) * 0.01 + 1e-9, 4) AS back FROM events")
 def int16_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = summaries.packed_int16(F.col("value") - 200, 0.01)
     return table(spark, sf_dir, "events").select("event_id", code.alias("code"), rounded(summaries.unpacked_int16(code, 0.01), 4).alias("back"))
 
 
-@query(f"""{H}, d AS (SELECT key, CAST(t AS DATE) AS day, avg(v) AS v FROM h GROUP BY 1, 2 HAVING count(v) >= 18),
-p AS (SELECT a.day, a.v - b.v AS off FROM d a JOIN d b ON a.day = b.day WHERE a.key = 'purchase' AND b.key = 'view')
-SELECT day, round(off + 1e-9, 6) AS off FROM p""")
+@query(f"""{H}, p AS (SELECT {LOCAL.format('a.t')} AS l, a.v AS a, b.v AS b FROM h a JOIN h b ON a.t = b.t AND a.key = 'purchase' AND b.key = 'view')
+SELECT CAST(l AS DATE) AS day, round(avg(a) - avg(b) + 1e-9, 6) AS off FROM p GROUP BY 1 HAVING count(*) >= 12""")
 def paired_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily increment of days with 18 valid hours of both."""
-    d = series.daily_valid(_hours(spark, sf_dir), 18).select("key", F.col("day").alias("t"), "v")
-    return series.paired_increment(d, "purchase", "view").select(F.col("t").alias("day"), rounded(F.col("inc")).alias("off"))
+    """Daily increment of local days with enough hours that both have."""
+    return series.paired_daily(_hours(spark, sf_dir), "purchase", "view", 12).select("day", rounded(F.col("a") - F.col("b")).alias("off"))

@@ -9,12 +9,12 @@ FINALITY = "60 days"
 
 
 def hourly_stream(rows: DataFrame, key: str, t: str, v: str, finality: str = FINALITY) -> DataFrame:
-    """Hourly means of a stream (or of a table: the same plan)."""
+    """Hourly means of a stream (or of a table: the same plan); t is the end of the hour."""
     timed = rows.withColumn("_t", F.col(t).cast("timestamp"))
     if rows.isStreaming:
         timed = timed.withWatermark("_t", finality)
     out = timed.groupBy(F.window("_t", "1 hour"), F.col(key).alias("key")).agg(F.avg(v).alias("v"), F.count(v).alias("n"))
-    return out.select("key", F.col("window.start").alias("t"), "v", "n")
+    return out.select("key", F.col("window.end").alias("t"), "v", "n")
 
 
 def upsert_partitions(folder: str, partition: str):
