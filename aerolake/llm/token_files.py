@@ -35,7 +35,7 @@ LENGTH = 1024
 #: Sequences of a record batch.
 BATCH_SEQUENCES = 256
 #: Bytes of a generation of a worker's memo of words; a bound on memory only.
-MEMO_BYTES = 80 << 20
+MEMO_BYTES = 128 << 20
 
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
