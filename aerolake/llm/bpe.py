@@ -33,7 +33,7 @@ from aerolake.llm.units import Memo, cut
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Bounds on a worker's memory, not on results: bytes of a generation of the memo, entries of the tables of pairs and moves.
-MEMO_BYTES, PAIRS = 48 << 20, 400_000
+MEMO_BYTES, PAIRS = 72 << 20, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
