@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from aerolake.functions.dimensions import INDEX_COLOURS, INDEX_LIMITS, NO_COLOUR, PPB, UNCERTAINTY
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, so that long formulas stay small as code."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def no2_after(no2: Column, nox: Column, ox: Column, tau: Column, j: Column, k: Column) -> Column:
     """NO2 (ppb) after time tau from the exact solution of d[NO2]/dt = k (N - y)(X - y) - J y, kept within [0, min(N, X)]; infinite tau: its end."""
-    b = nox + ox + F.greatest(j, F.lit(0.0)) / F.nullif(k, F.lit(0.0))
-    root = F.sqrt(F.greatest(F.lit(1e-12), b * b - 4 * nox * ox))
-    low, high = (b - root) / 2, (b + root) / 2
-    decay = F.exp(-F.least(k * root * tau, F.lit(700.0)))
-    apart = no2 - high
-    ratio = (no2 - low) / F.when(F.abs(apart) >= 1e-12, apart) * decay
-    moved = F.coalesce((low - high * ratio) / F.nullif(1 - ratio, F.lit(0.0)), low)
-    y = F.when((tau <= 0) | (k <= 0), no2).when(tau == float("inf"), low).otherwise(moved)
-    return F.greatest(F.lit(0.0), F.least(y, nox, ox))
+    given = F.struct(no2.alias("y"), nox.alias("n"), ox.alias("x"), tau.cast("double").alias("tau"), F.greatest(j, F.lit(0.0)).alias("j"), k.alias("k"))
+
+    def rooted(g: Column) -> Column:
+        b = g["n"] + g["x"] + g["j"] / F.nullif(g["k"], F.lit(0.0))
+        return once(F.struct(g.alias("g"), b.alias("b"), F.sqrt(F.greatest(F.lit(1e-12), b * b - 4 * g["n"] * g["x"])).alias("root")), moved)
+
+    def moved(r: Column) -> Column:
+        g, low, high = r["g"], (r["b"] - r["root"]) / 2, (r["b"] + r["root"]) / 2
+        apart = g["y"] - high
+        ratio = (g["y"] - low) / F.when(F.abs(apart) >= 1e-12, apart) * F.exp(-F.least(g["k"] * r["root"] * g["tau"], F.lit(700.0)))
+        return once(F.struct(g.alias("g"), low.alias("low"), high.alias("high"), ratio.alias("q")), kept)
+
+    def kept(z: Column) -> Column:
+        g = z["g"]
+        end = F.coalesce((z["low"] - z["high"] * z["q"]) / F.nullif(1 - z["q"], F.lit(0.0)), z["low"])
+        y = F.when((g["tau"] <= 0) | (g["k"] <= 0), g["y"]).when(g["tau"] == float("inf"), z["low"]).otherwise(end)
+        return F.greatest(F.lit(0.0), F.least(y, g["n"], g["x"]))
+
+    return once(given, rooted)
 
 
 def no2_scheme(nox_added: Column, no2: Column, nox: Column, o3: Column, tau: Column, j: Column, k: Column, share: float = 0.10) -> dict[str, Column]:
@@ -28,7 +45,8 @@ def no2_scheme(nox_added: Column, no2: Column, nox: Column, o3: Column, tau: Col
     n, x0 = some(nox) / PPB["no2"] + added, first + share * added
     x = ozone + x0
     y = no2_after(x0, n, x, tau, some(j), k)
-    return {"no2": y * PPB["no2"], "no": (n - y) * PPB["no"], "o3": (x - y) * PPB["o3"], "nox": n * PPB["no2"], "ox": x}
+    all_ = once(F.struct(n.alias("n"), x.alias("x"), y.alias("y")), lambda s: F.struct((s["y"] * PPB["no2"]).alias("no2"), ((s["n"] - s["y"]) * PPB["no"]).alias("no"), ((s["x"] - s["y"]) * PPB["o3"]).alias("o3"), (s["n"] * PPB["no2"]).alias("nox"), s["x"].alias("ox")))
+    return {k: all_[k] for k in ("no2", "no", "o3", "nox", "ox")}
 
 
 def index_level(pollutant: Column, value: Column, scheme: str = "european") -> Column:

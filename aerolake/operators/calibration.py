@@ -66,7 +66,7 @@ def fit(hours: DataFrame, *by: str) -> DataFrame:
     """
     spark = hours.sparkSession
     counts = hours.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("obs") <= -OFFSET).alias("n_dropped"))
-    logs = hours.filter(F.col("obs") > -OFFSET).select(*by, "s", "u", F.ln(F.col("obs") + OFFSET).alias("l"))
+    logs = hours.filter(F.col("obs") > -OFFSET).select(*by, "s", "u", F.ln(F.col("obs") + OFFSET).alias("l")).persist()  # every round reads it
     grid = spark.createDataFrame([(x,) for x in U0_GRID], "u0 double")
     brackets = grid.select("u0", F.lit(LN_BETA[0]).alias("lo"), F.lit(LN_BETA[1]).alias("hi"))
     at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / STEPS
@@ -78,11 +78,10 @@ def fit(hours: DataFrame, *by: str) -> DataFrame:
         sums = rows.groupBy(*by, "u0", "lo", "hi").agg(*(F.sum(gap(i) * gap(i)).alias(f"j{i}") for i in range(STEPS + 1)))
         best = F.array_min(F.array(*(F.struct(F.col(f"j{i}").alias("j"), F.lit(i).alias("i")) for i in range(STEPS + 1))))
         sums = sums.select(*by, "u0", "lo", "hi", best.alias("best"))
-        if turn == ZOOMS:
-            break
+        sums = spark.createDataFrame(sums.collect(), sums.schema)  # a row a group and u0: rounds do not pile up
         low, high = F.greatest(F.col("best.i") - 1, F.lit(0)), F.least(F.col("best.i") + 1, F.lit(STEPS))
         brackets = sums.select(*by, "u0", at(low).alias("lo"), at(high).alias("hi"))
-        brackets = spark.createDataFrame(brackets.collect(), brackets.schema)  # a row a group and u0: rounds do not pile up
+    logs.unpersist()
     found = sums.select(*by, F.struct(F.round("best.j", 9).alias("loss"), "u0", F.exp(at(F.col("best.i"))).alias("beta")).alias("f"))
     one = found.groupBy(*by).agg(F.min("f").alias("f")).select(*by, "f.u0", "f.beta", "f.loss")
     out = one.join(counts, list(by)) if by else one.join(F.broadcast(counts), F.lit(True))

@@ -43,7 +43,8 @@ def _measures() -> dict:
 EV = "least(greatest(electric / 100, 0), 1)"
 
 
-def _strength_sql(p: str) -> str:
+def strength_parts(p: str) -> dict[str, str]:
+    """SQL of the strengths of groups A to D, from columns l (local start), f (traffic) and the measures."""
     e = emissions.FACTORS
     exhaust, wear, dust = e.get(f"{p}_exhaust", e.get(p)), e.get(f"{p}_wear", 0.0), e.get(f"{p}_dust", 0.0)
     left = f"(1 - {EV}) * CASE WHEN zone THEN {emissions.ZONE_LEAVES[p]}::DOUBLE ELSE 1 END * CASE WHEN buses THEN {1 - emissions.BUSES[p]!r}::DOUBLE ELSE 1 END"
@@ -52,11 +53,11 @@ def _strength_sql(p: str) -> str:
     of = lambda g, part: f"1e4::DOUBLE * f / 24 * ({exhaust!r}::DOUBLE * {left} * {f'CASE WHEN {rush} THEN {1 + 1.5 * emissions.QUEUE_SHARE[g]!r}::DOUBLE ELSE 1 END' if g != 'C' else '1'} + {wear!r}::DOUBLE * {worn} + CASE WHEN dust THEN {dust!r}::DOUBLE ELSE 0 END) / 3.6e6 * {part}"
     every = "coalesce(greatest(traffic, 0) / 100, 1)"
     heat = f"CASE WHEN month(l) IN (10, 11, 12, 1, 2, 3) THEN {emissions.HEAT_RATES[p] * 1e-6!r}::DOUBLE * {_list(emissions.HEAT_HOURS)}[hour(l) + 1] ELSE 0 END"
-    return f"round(1e6 * ({of('A', every)}) + 1e-9, 6) AS {p}_a, round(1e6 * ({of('B', f'CASE WHEN free_b THEN 0 ELSE {every} END')}) + 1e-9, 6) AS {p}_b, round(1e6 * ({of('C', every)}) + 1e-9, 6) AS {p}_c, round(1e6 * ({heat}) + 1e-9, 6) AS {p}_d"
+    return {"a": of("A", every), "b": of("B", f"CASE WHEN free_b THEN 0 ELSE {every} END"), "c": of("C", every), "d": heat}
 
 
 @query(f"""WITH {HOLIDAY_TABLE}, x AS (SELECT event_id, {LOCAL.format('ts')} AS l, {MEASURES} FROM events), y AS (SELECT *, {TRAFFIC.format(l='l')} AS f FROM x)
-SELECT event_id, {', '.join(_strength_sql(p) for p in emissions.POLLUTANTS)} FROM y""")
+SELECT event_id, {', '.join(f'round(1e6 * ({x}) + 1e-9, 6) AS {p}_{g}' for p in emissions.POLLUTANTS for g, x in strength_parts(p).items())} FROM y""")
 def group_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strengths of all groups and pollutants under measures that differ from row to row, in millionths."""
     out = []
