@@ -62,7 +62,7 @@ def preset(series: DataFrame, month: int, weekday: int, hour: int) -> DataFrame:
 
 def longest(vertices: DataFrame) -> DataFrame:
     """(name, id, length): the longest polyline of each name, vertices (name, id, n, x, z); ties to the smaller id."""
-    order = Window.partitionBy("name", "id").orderBy("n")
+    order = Window.partitionBy("name", "id").orderBy("n", "x", "z")
     step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(order), F.lit(2.0)) + F.pow(F.col("z") - F.lag("z").over(order), F.lit(2.0)))
     lengths = vertices.withColumn("_d", step).groupBy("name", "id").agg(F.round(F.sum("_d"), 6).alias("length"))
     best = lengths.groupBy("name").agg(F.max(F.struct("length", (-F.col("id")).alias("id"))).alias("b"))

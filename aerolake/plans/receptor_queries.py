@@ -96,7 +96,7 @@ PLUME = f"""so AS (SELECT p_partkey AS id, ((p_partkey * 37) % 1000)::DOUBLE AS
 re AS (SELECT s_suppkey AS id, ((s_suppkey * 53) % 1000)::DOUBLE AS rx, 3.0::DOUBLE AS ry, ((s_suppkey * 29) % 997)::DOUBLE AS rz FROM supplier),
 pa AS (SELECT re.id AS receptor, grp, w, hs, ry, sy0, (rx - x) * ({BX!r}::DOUBLE) + (rz - z) * ({BZ!r}::DOUBLE) AS a, -(rx - x) * ({BZ!r}::DOUBLE) + (rz - z) * ({BX!r}::DOUBLE) AS c FROM so JOIN re ON sqrt((rx - x) * (rx - x) + (rz - z) * (rz - z)) <= 300),
 pb AS (SELECT *, sqrt(sy0 * sy0 + power(0.16::DOUBLE * a / sqrt(1 + 0.0004::DOUBLE * a), 2)) AS sy, sqrt(4 + power(0.14::DOUBLE * a / sqrt(1 + 0.0003::DOUBLE * a), 2)) AS sz FROM pa WHERE a > 0.5 AND abs(c) <= 6 * (sy0 + 0.16::DOUBLE * a)),
-pc AS (SELECT *, list_sum(list_transform(CASE WHEN sz > 25 THEN [-3, -2, -1, 0, 1, 2, 3] ELSE [0] END, n -> CASE WHEN power(ry - hs + 200 * n, 2) / (2 * sz * sz) < 40 THEN exp(-power(ry - hs + 200 * n, 2) / (2 * sz * sz)) ELSE 0 END + CASE WHEN power(ry + hs + 200 * n, 2) / (2 * sz * sz) < 40 THEN exp(-power(ry + hs + 200 * n, 2) / (2 * sz * sz)) ELSE 0 END)) AS v FROM pb WHERE abs(c) <= 6 * sy),
+pc AS (SELECT *, list_sum([CASE WHEN power(ry - hs + 200 * n, 2) / (2 * sz * sz) < 40 THEN exp(-power(ry - hs + 200 * n, 2) / (2 * sz * sz)) ELSE 0 END + CASE WHEN power(ry + hs + 200 * n, 2) / (2 * sz * sz) < 40 THEN exp(-power(ry + hs + 200 * n, 2) / (2 * sz * sz)) ELSE 0 END for n in CASE WHEN sz > 25 THEN [-3, -2, -1, 0, 1, 2, 3] ELSE [0] END]) AS v FROM pb WHERE abs(c) <= 6 * sy),
 pd AS (SELECT *, w / (2 * pi() * sy * sz) * exp(-c * c / (2 * sy * sy)) * v AS g FROM pc)"""
 
 

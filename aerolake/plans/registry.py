@@ -12,8 +12,10 @@ from aerolake.functions.calendar import day_type, rounded
 from aerolake.operators import series
 from aerolake.plans import calibration_queries as fitted
 from aerolake.plans import emission_queries as emitted
+from aerolake.plans import lookup_queries as looked_up
 from aerolake.plans import physics_queries as physics
 from aerolake.plans import queries as own
+from aerolake.plans import receptor_queries as received
 from aerolake.plans import statistics_queries as archive
 from aerolake.plans import summary_queries as more
 from aerolake.sources.tables import table
@@ -28,8 +30,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES | emitted.QUERIES | fitted.QUERIES
+    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES | emitted.QUERIES | fitted.QUERIES | received.QUERIES | looked_up.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES | emitted.ORACLES | fitted.ORACLES
+    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES | emitted.ORACLES | fitted.ORACLES | received.ORACLES | looked_up.ORACLES
