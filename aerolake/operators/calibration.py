@@ -89,17 +89,17 @@ def fit(hours: DataFrame, *by: str) -> DataFrame:
 
 
 def baseline(hours: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
-    """Median of obs * u_eff by day type and hour (p), and, where that is positive, of its ratio to p by sector (q)."""
+    """Median of obs * u_eff by day type and hour (p), and, where that is positive, of its ratio to p by sector (q, n)."""
     lifted = hours.withColumn("_x", F.col("obs") * _u_eff(BASELINE_U0))
     p = quantiles(lifted, "_x", [0.5], *by, "daytype", "hour").select(*by, "daytype", "hour", F.col("q0").alias("p"))
     ratio = lifted.join(F.broadcast(p), [*by, "daytype", "hour"]).filter("p > 0").select(*by, weather.sector(F.col("direction")).alias("sector"), (F.col("_x") / F.col("p")).alias("_r"))
-    q = quantiles(ratio, "_r", [0.5], *by, "sector").select(*by, "sector", F.col("q0").alias("q"))
+    q = quantiles(ratio, "_r", [0.5], *by, "sector").select(*by, "sector", F.col("q0").alias("q"), "n")
     return p, q
 
 
 def baseline_prediction(hours: DataFrame, p: DataFrame, q: DataFrame, *by: str) -> DataFrame:
     """hours with ``base``, p * q / u_eff; NULL where the training hours had none of the kind."""
-    out = hours.withColumn("sector", weather.sector(F.col("direction"))).join(F.broadcast(p), [*by, "daytype", "hour"], "left").join(F.broadcast(q), [*by, "sector"], "left")
+    out = hours.withColumn("sector", weather.sector(F.col("direction"))).join(F.broadcast(p), [*by, "daytype", "hour"], "left").join(F.broadcast(q.drop("n")), [*by, "sector"], "left")
     return out.withColumn("base", F.col("p") * F.col("q") / _u_eff(BASELINE_U0)).drop("p", "q", "sector")
 
 
