@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolake.llm.common import free_name, identity, map_batches, materialise, read_table, text_or_empty
+from aerolake.llm.common import free_name, identity, map_batches, materialise, read_table, text_or_empty, worker_state
 from aerolake.llm.components import components
 
 SHINGLE = 4
@@ -66,6 +66,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = SHING
     """Append ``fp``, the fingerprint as a long; the text is dropped."""
 
     def task():
+        worker_state(("simhash",), object)  # nothing to keep: caches of the operator before are let go
+
         def call(batch: pa.RecordBatch) -> dict:
             column = batch.column(batch.schema.get_field_index(text_col))
             return {"fp": pa.array([fingerprint(t.as_py() or "", width) for t in column], pa.int64())}
