@@ -62,7 +62,8 @@ def fit(hours: DataFrame, *by: str) -> DataFrame:
     """(by, u0, beta, loss, n, n_dropped, at_bound): beta and u0 that minimise the sum of (ln(obs + c) - ln(model + c))^2.
 
     Every u0 of the grid, every group and all STEPS + 1 values of beta are tried in one aggregate a round; each further round
-    divides the interval around a pair's best beta anew. Hours with obs <= -c have no logarithm and are counted.
+    divides the interval around a pair's best beta anew. Hours with obs <= -c have no logarithm and are counted; without hours there
+    is no row.
     """
     spark = hours.sparkSession
     counts = hours.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("obs") <= -OFFSET).alias("n_dropped"))
@@ -83,7 +84,7 @@ def fit(hours: DataFrame, *by: str) -> DataFrame:
         brackets = sums.select(*by, "u0", at(low).alias("lo"), at(high).alias("hi"))
     logs.unpersist()
     found = sums.select(*by, F.struct(F.round("best.j", 9).alias("loss"), "u0", F.exp(at(F.col("best.i"))).alias("beta")).alias("f"))
-    one = found.groupBy(*by).agg(F.min("f").alias("f")).select(*by, "f.u0", "f.beta", "f.loss")
+    one = found.groupBy(*by).agg(F.min("f").alias("f")).filter("f is not null").select(*by, "f.u0", "f.beta", "f.loss")
     out = one.join(counts, list(by)) if by else one.join(F.broadcast(counts), F.lit(True))
     return out.withColumn("at_bound", F.col("u0").isin(U0_GRID[0], U0_GRID[-1]))
 
