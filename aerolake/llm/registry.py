@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolake.llm import bpe, html_extraction, licenses, mixing, pii, quality, sharding, simhash, token_files, topk
+from aerolake.llm import ann, bpe, clustering, html_extraction, licenses, mixing, pii, quality, sharding, simhash, spelling, token_files, topk
 
-MODULES = [bpe, html_extraction, licenses, mixing, pii, quality, sharding, simhash, token_files, topk]
+MODULES = [ann, bpe, clustering, html_extraction, licenses, mixing, pii, quality, sharding, simhash, spelling, token_files, topk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
