@@ -3,7 +3,8 @@
 Letters are hashed to SYMBOLS symbols. Words one edit apart have reduced words at most one edit apart, so the full one-edit neighbourhood
 of every distinct reduced word (itself, deletions, replacements, insertions) is joined with the reduced vocabulary; what it meets is
 joined back to the words, and each pair is verified on the original strings. A neighbourhood has about 2 * length * SYMBOLS members
-whatever the real alphabet, and each ordered pair of words is met once.
+whatever the real alphabet. Of two reduced words that are neighbours, the smaller emits the link and both use it, so each ordered pair of
+words is met once.
 
 A word's form is the commonest of its near words, if at least twice as common as the word. Counts at least double from form to form, so
 roots are found by pointer doubling in a few joins.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from aerolake.llm.common import materialise, read_table, text_or_empty
 
 #: Symbols that letters are hashed to: more mean larger neighbourhoods and fewer pairs to verify.
-SYMBOLS = "abcdefgh"
+SYMBOLS = "abcdef"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 LEAST_LENGTH, LEAST_COUNT, DROP_EVERY, TIMES = 5, 3, 97, 2
 
@@ -67,7 +68,10 @@ def near_words(words: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
     """(word, near, near_n) of all ordered pairs of words (word, n) exactly one edit apart."""
     words = materialise(words.withColumn("s", reduced(F.col("word"), symbols)), "spelling-words")
     classes = materialise(words.select("s").distinct(), "spelling-classes")
-    links = classes.select("s", F.explode(neighbourhood(F.col("s"), symbols)).alias("s2")).join(classes.select(F.col("s").alias("s2")), "s2")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many: their files are too few tasks
+    upward = classes.repartition(parts, "s").select("s", F.explode(F.filter(neighbourhood(F.col("s"), symbols), lambda x: x >= F.col("s"))).alias("s2"))
+    met = materialise(upward.join(classes.select(F.col("s").alias("s2")), "s2").select("s", "s2"), "spelling-links")
+    links = met.union(met.filter("s <> s2").select("s2", "s"))
     other = words.select(F.col("s").alias("s2"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return words.select("s", "word").join(links, "s").join(other, "s2").filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
