@@ -32,12 +32,13 @@ def u_eff(u: Column, u0: Column) -> Column:
 def direction_weights(direction: Column, u: Column) -> Column:
     """Weights of the 16 sectors: a Gaussian kernel around the bearing, wider in weak wind; uniform in calms and where wind is missing.
 
-    Terms are plain expressions, so that the kernel is generated code; their sum is computed once a row.
+    Terms are plain expressions, and their sum, a term of its own, is computed once a row.
     """
     sigma = F.least(F.lit(60.0), F.lit(22.5) * F.greatest(F.lit(1.0), F.lit(2.0) / F.greatest(u, F.lit(1e-9))))
     apart = [F.abs(F.pmod(i * 360.0 / N_SECTORS - direction + 180.0, F.lit(360.0)) - 180.0) for i in range(N_SECTORS)]
     kernel = F.array(*(F.exp(-(a * a) / (2 * sigma * sigma)) for a in apart))
-    shares = F.get(F.transform(F.array(kernel), lambda k: F.transform(k, lambda w: w / F.aggregate(k, F.lit(0.0), lambda x, y: x + y))), F.lit(0))
+    with_sum = F.struct(kernel.alias("k"), F.aggregate(kernel, F.lit(0.0), lambda x, y: x + y).alias("n"))
+    shares = F.get(F.transform(F.array(with_sum), lambda p: F.transform(p["k"], lambda w: w / p["n"])), F.lit(0))
     return F.when((u >= CALM) & direction.isNotNull(), shares).otherwise(F.array(*[F.lit(1.0 / N_SECTORS)] * N_SECTORS))
 
 
@@ -85,13 +86,14 @@ def representative(cls: Column) -> Column:
 
 
 def stability_group(cls: Column) -> Column:
-    return F.when(cls.isin("A", "B", "C"), "AC").when(cls.isin("E", "F"), "EF").otherwise("D")
+    """Group of a class; a group is its own."""
+    return F.when(cls.isin("A", "B", "C", "AC"), "AC").when(cls.isin("E", "F", "EF"), "EF").otherwise("D")
 
 
 def inverse_obukhov(cls: Column, z0: float) -> Column:
-    """1/L: zero in neutral air, so no infinities arise; roughness counts up to 0.5 m."""
+    """1/L of a class or group: zero in neutral air, so no infinities arise; roughness counts up to 0.5 m."""
     rough = math.log10(min(z0, 0.5))
-    return choose(cls, {c: a + b * rough for c, (a, b) in INVERSE_L.items()})
+    return choose(representative(cls), {c: a + b * rough for c, (a, b) in INVERSE_L.items()})
 
 
 #: Floors of the mixing height by mode; any other mode: the site's own.
@@ -99,8 +101,8 @@ MIXING_FLOORS = {"nwp": 10.0, "315": 315.0, "100": 100.0}
 
 
 def mixing_height(cls: Column, blh: Column, floor: float = 100.0, mode: str = "auto") -> Column:
-    """Given height, else the class's median, at least the mode's floor (else ``floor``)."""
-    return F.greatest(F.coalesce(blh, choose(cls, MIXING)), F.lit(MIXING_FLOORS.get(mode, floor)))
+    """Given height, else the median of the class (of a group, its representative's), at least the mode's floor (else ``floor``)."""
+    return F.greatest(F.coalesce(blh, choose(representative(cls), MIXING)), F.lit(MIXING_FLOORS.get(mode, floor)))
 
 
 def obukhov(cls: Column, z0: float) -> Column:

@@ -28,7 +28,7 @@ def climatology(series: DataFrame, holidays: bool = True) -> DataFrame:
 def filled(grid: DataFrame, series: DataFrame, normal: DataFrame) -> DataFrame:
     """(key, t, v, source) for every row of ``grid`` (key, t): the value, else its climatology's, else none."""
     known = grid.join(series, ["key", "t"], "left")
-    rows = local_columns(known, holidays=True).join(F.broadcast(normal.withColumnRenamed("v", "_n")), ["key", "daytype", "hour"], "left")  # 72 rows a key
+    rows = local_columns(known, holidays=True).join(normal.withColumnRenamed("v", "_n"), ["key", "daytype", "hour"], "left")
     source = F.when(F.col("v").isNotNull(), "value").when(F.col("_n").isNotNull(), "climatology").otherwise("none")
     return rows.select("key", "t", F.coalesce("v", "_n").alias("v"), source.alias("source"))
 

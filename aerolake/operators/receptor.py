@@ -88,9 +88,19 @@ def calibration(source: Column, fitted: dict[str, tuple[float, float]], calibrat
     return pick(0, PRIOR_BETA), pick(1, PRIOR_U0), status
 
 
-def concentrations(hours: DataFrame, beta: float, u0: float, measures: dict[str, Column] | None = None, heating: str | bool = "auto", share: float = 0.10) -> DataFrame:
-    """hours (t, u, sw, t2, gamma, age, bg_<pollutant>...) with all pollutants, increments ``inc_*``, parts ``by_*`` by group and ``tau``."""
-    wind = weather.u_eff(F.coalesce(F.col("u"), F.lit(0.0)), F.lit(u0))
+def concentrations(hours: DataFrame, beta: float | Column, u0: float | Column, measures: dict[str, Column] | None = None, heating: str | bool = "auto", share: float = 0.10, site: tuple[float, float] | None = None) -> DataFrame:
+    """hours (t, u, sw, t2, gamma, age, bg_<pollutant>...) with all pollutants, increments ``inc_*``, parts ``by_*`` by group and ``tau``.
+
+    beta and u0 may be columns, as ``calibration`` gives them for each hour's source. Where a ``site`` (latitude, longitude) is given, missing
+    irradiance is estimated from the sun half an hour before t and the cloud ``cc`` (missing: 50 %).
+    """
+    beta, u0 = (v if isinstance(v, Column) else F.lit(v) for v in (beta, u0))
+    sun = F.col("sw")
+    if site is not None:
+        cloud = F.col("cc") if "cc" in hours.columns else F.lit(None).cast("double")
+        sun = F.coalesce(F.when(~F.isnan(sun), sun), weather.irradiance(weather.solar_elevation(F.col("t") - F.expr("INTERVAL 30 MINUTES"), *site), cloud))
+    hours = hours.withColumn("_sun", sun)
+    wind = weather.u_eff(F.coalesce(F.col("u"), F.lit(0.0)), u0)
     given = {k: F.col(f"bg_{k}") if f"bg_{k}" in hours.columns else F.lit(None).cast("double") for k in BACKGROUND}
     out = hours.withColumns({f"_bg_{k}": c for k, c in background(given).items()} | {"_wind": wind})
     for p in emissions.POLLUTANTS:
@@ -102,10 +112,10 @@ def concentrations(hours: DataFrame, beta: float, u0: float, measures: dict[str,
         out = out.withColumn(f"inc_{p}", _sum(F.col(f"by_{p}")))
     weight = lambda c: _sum(F.zip_with("_q_nox", c, lambda a, g: a * F.coalesce(g, F.lit(0.0))))
     out = out.withColumn("tau", F.when(weight("gamma") > 0, weight("age") / (F.col("_wind") * weight("gamma"))).otherwise(60.0))
-    scheme = chemistry.no2_scheme(F.col("inc_nox"), F.col("_bg_no2"), F.col("_bg_nox"), F.col("_bg_o3"), F.col("tau"), chemistry.photolysis(F.col("sw")), chemistry.titration(F.col("t2")), share)
+    scheme = chemistry.no2_scheme(F.col("inc_nox"), F.col("_bg_no2"), F.col("_bg_nox"), F.col("_bg_o3"), F.col("tau"), chemistry.photolysis(F.col("_sun")), chemistry.titration(F.col("t2")), share)
     out = out.withColumns({k: scheme[k] for k in ("nox", "no2", "no", "o3")})
     out = out.withColumns({p: F.col(f"_bg_{p}") + F.col(f"inc_{p}") for p in ("pm10", "pm25", "co", "c6h6")} | {"inc_no2": F.col("no2") - F.col("_bg_no2")})
-    return out.drop("_wind", *(f"_q_{p}" for p in emissions.POLLUTANTS), *(f"_bg_{k}" for k in BACKGROUND))
+    return out.drop("_wind", "_sun", *(f"_q_{p}" for p in emissions.POLLUTANTS), *(f"_bg_{k}" for k in BACKGROUND))
 
 
 def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0) -> DataFrame:

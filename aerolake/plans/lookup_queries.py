@@ -9,6 +9,7 @@ from aerolake.functions import places
 from aerolake.functions.calendar import rounded
 from aerolake.operators import lookups, spatial
 from aerolake.plans.ledger import DAYTYPE_H, HOLIDAY_TABLE, LOCAL, SERIES, WEATHER, ledger, weather
+from aerolake.sources.intermediate import materialise
 from aerolake.sources.tables import table
 
 QUERIES: dict = {}
@@ -33,12 +34,11 @@ def weather_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.cascade(sources, "t").select("t", rounded(F.col("u")).alias("u"), rounded(F.col("t2")).alias("t2"), "source")
 
 
-@query(f"""WITH {SERIES}, {HOLIDAY_TABLE}, a AS (SELECT key, t, v, {LOCAL.format('t')} AS l FROM s WHERE key IN ('park.nox', 'park.o3')), n AS (SELECT key, {DAYTYPE_H.format('l')} AS d, hour(l) AS h, avg(v) AS v FROM a WHERE day(t) <> 15 GROUP BY 1, 2, 3)
-SELECT a.key, a.t, round(coalesce(CASE WHEN day(a.t) <> 15 THEN a.v END, n.v) + 1e-9, 6) AS v, CASE WHEN day(a.t) <> 15 THEN 'value' WHEN n.v IS NOT NULL THEN 'climatology' ELSE 'none' END AS source
-FROM a LEFT JOIN n ON a.key = n.key AND {DAYTYPE_H.format('a.l')} = n.d AND hour(a.l) = n.h""")
+@query(f"""WITH {SERIES}, {HOLIDAY_TABLE}, l AS (SELECT key, t, v, {LOCAL.format('t')} AS l FROM s), a AS MATERIALIZED (SELECT key, t, v, {DAYTYPE_H.format('l')} AS d, hour(l) AS h FROM l), n AS MATERIALIZED (SELECT key, d, h, avg(v) AS n FROM a WHERE day(t) <> 15 GROUP BY 1, 2, 3)
+SELECT key, t, round(coalesce(CASE WHEN day(t) <> 15 THEN v END, n) + 1e-9, 6) AS v, CASE WHEN day(t) <> 15 THEN 'value' WHEN n IS NOT NULL THEN 'climatology' ELSE 'none' END AS source FROM a LEFT JOIN n USING (key, d, h)""")
 def filled_by_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that are missing get the mean of their day type and local hour."""
-    s = ledger(spark, sf_dir).filter(F.col("key").isin("park.nox", "park.o3"))
+    s = materialise(ledger(spark, sf_dir), "ledger")
     known = s.filter(F.dayofmonth("t") != 15)
     return lookups.filled(s.select("key", "t"), known, lookups.climatology(known)).withColumn("v", rounded(F.col("v")))
 

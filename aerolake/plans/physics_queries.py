@@ -44,15 +44,15 @@ def sun_and_irradiance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", rounded(F.col("e")).alias("elevation"), rounded(weather.irradiance(F.col("e"), F.col("cloud")), 5).alias("sun"))
 
 
-@query("""WITH x AS (SELECT event_id, value % 40 AS u, value, substr('ABCDEF', CAST(event_id % 6 AS INTEGER) + 1, 1) AS c FROM events)
+@query("""WITH x AS (SELECT event_id, value % 40 AS u, value, ['A', 'B', 'C', 'D', 'E', 'F', 'AC', 'EF'][event_id % 8 + 1] AS c FROM events)
 SELECT event_id, CAST((u >= 0.3)::INT + (u >= 1.6)::INT + (u >= 3.4)::INT + (u >= 5.5)::INT + (u >= 8.0)::INT + (u >= 10.8)::INT + (u >= 13.9)::INT + (u >= 17.2)::INT + (u >= 20.8)::INT + (u >= 24.5)::INT + (u >= 28.5)::INT + (u >= 32.7)::INT AS INTEGER) AS force,
-CASE WHEN c IN ('A', 'B', 'C') THEN 'AC' WHEN c = 'D' THEN 'D' ELSE 'EF' END AS grp,
-round(CASE c WHEN 'A' THEN -0.096 + 0.029 * log10(0.5) WHEN 'B' THEN -0.037 + 0.029 * log10(0.5) WHEN 'C' THEN -0.002 + 0.018 * log10(0.5) WHEN 'D' THEN 0 WHEN 'E' THEN 0.004 - 0.018 * log10(0.5) ELSE 0.035 - 0.036 * log10(0.5) END + 1e-9, 6) AS inverse_l,
-round(greatest(CASE WHEN value > 100 THEN value * 5 ELSE CASE c WHEN 'A' THEN 1178 WHEN 'B' THEN 520 WHEN 'C' THEN 1060 WHEN 'D' THEN 135 WHEN 'E' THEN 278 ELSE 30 END END, 100) + 1e-9, 4) AS mixing,
+CASE WHEN c IN ('A', 'B', 'C', 'AC') THEN 'AC' WHEN c = 'D' THEN 'D' ELSE 'EF' END AS grp,
+round(CASE c WHEN 'A' THEN -0.096 + 0.029 * log10(0.5) WHEN 'B' THEN -0.037 + 0.029 * log10(0.5) WHEN 'AC' THEN -0.037 + 0.029 * log10(0.5) WHEN 'C' THEN -0.002 + 0.018 * log10(0.5) WHEN 'D' THEN 0 WHEN 'E' THEN 0.004 - 0.018 * log10(0.5) ELSE 0.035 - 0.036 * log10(0.5) END + 1e-9, 6) AS inverse_l,
+round(greatest(CASE WHEN value > 100 THEN value * 5 ELSE CASE c WHEN 'A' THEN 1178 WHEN 'B' THEN 520 WHEN 'AC' THEN 520 WHEN 'C' THEN 1060 WHEN 'D' THEN 135 WHEN 'E' THEN 278 ELSE 30 END END, 100) + 1e-9, 4) AS mixing,
 round(CASE WHEN (value * 7.3 - 90 + 3600) % 360 > 180 THEN (value * 7.3 - 90 + 3600) % 360 - 360 ELSE (value * 7.3 - 90 + 3600) % 360 END + 1e-9, 5) AS apart FROM x""")
 def boundary_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, c = F.col("value"), F.col("c")
-    rows = _events(spark, sf_dir).withColumn("c", F.substr(F.lit("ABCDEF"), (F.col("event_id") % 6 + 1).cast("int"), F.lit(1)))
+    rows = _events(spark, sf_dir).withColumn("c", F.get(F.array(*map(F.lit, (*"ABCDEF", "AC", "EF"))), (F.col("event_id") % 8).cast("int")))
     return rows.select(
         "event_id", weather.beaufort(v % 40).alias("force"), weather.stability_group(c).alias("grp"), rounded(weather.inverse_obukhov(c, 0.8)).alias("inverse_l"),
         rounded(weather.mixing_height(c, F.when(v > 100, v * 5), 100.0), 4).alias("mixing"), rounded(weather.angle_between(v * 7.3, F.lit(90.0)), 5).alias("apart"),
