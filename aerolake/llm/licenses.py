@@ -2,8 +2,8 @@
 
 All rolling word k-grams of a text are hashed and joined with the positions of the same k-grams in the templates. A hit at text
 word p and template word t votes for the diagonal p - t; hits are counted by diagonal, neighbouring diagonals (words put in or
-left out) are merged into spans, and a span is verified: its k-grams must equal the template's word by word, and only those count
-that follow each other in the template as they do in the text, so that an opening repeated many times counts once. Templates
+left out) are merged into spans, and a span is verified: its k-grams must equal the template's word by word, and it counts for the longest
+chain of them that goes on in the template as in the text, so that an opening repeated many times counts once. Templates
 are short phrases, which must be whole, and license notices, of which a span must cover a share. Phrases use pairs of words,
 notices five words.
 
@@ -131,25 +131,30 @@ def template_hits(found: DataFrame, positions: DataFrame) -> DataFrame:
     return met.filter(F.col("_gram") == F.col("gram")).select("_row", "template", "label", "phrase", "n_grams", "k", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
 
 
-def _chain(hits: Column, ahead: bool) -> Column:
-    """K-grams of (pos, at), in order of pos, taken one by one if they lie further on in the template than all taken before."""
-    beyond = (lambda at, last: at > last) if ahead else (lambda at, last: at < last)
-    start = F.struct(F.lit(-1 if ahead else 1 << 30).alias("last"), F.lit(0).alias("n"))
-    step = lambda acc, h: F.when(beyond(h["at"], acc["last"]), F.struct(h["at"].alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-    return F.aggregate(F.sort_array(hits) if ahead else F.sort_array(hits, False), start, step, lambda acc: acc["n"])
+def _chain(hits: Column) -> Column:
+    """Length of the longest chain of hits (pos, at) that go on in the text and in the template, by patience: the least last place of a chain of each length."""
+    ordered = F.transform(F.array_sort(F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), (-h["at"]).alias("back")))), lambda h: -h["back"])  # of one word's hits the later places first, so that a chain holds one
+    fewer = lambda tails, at: F.size(F.filter(tails, lambda x: x < at))
+    put = lambda tails, n, at: F.concat(F.slice(tails, 1, n), F.array(at), F.slice(tails, n + 2, F.greatest(F.size(tails) - n - 1, F.lit(0))))
+    bound = lambda tails, at: F.get(F.transform(F.array(fewer(tails, at)), lambda n: put(tails, n, at)), F.lit(0))
+    return F.aggregate(ordered, F.array().cast("array<int>"), bound, F.size)
 
 
 def spans(hits: DataFrame) -> DataFrame:
-    """(_row, template, label, phrase, start, stop, cover): merged and verified diagonals; start and stop are words, stop exclusive."""
+    """(_row, template, label, phrase, start, stop, cover): merged and verified diagonals; start and stop are words, stop exclusive.
+
+    Diagonals of a notice are taken in their own order, and those at most NEAR apart are one span, whatever lies between them in the text: a
+    stray diagonal of words that the notice repeats does not part a span. A span's cover is that of its longest chain.
+    """
     diagonals = hits.groupBy("_row", "template", "label", "phrase", "n_grams", "k", "diagonal").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list(F.struct("pos", "at")).alias("_hits"))
     whole = diagonals.filter(F.col("phrase") & (F.col("n") == F.col("n_grams")))
     out = whole.select("_row", "template", "label", "phrase", F.col("first").alias("start"), (F.col("last") + F.col("k")).alias("stop"), F.lit(1.0).alias("cover"))
-    order = Window.partitionBy("_row", "template").orderBy("first", "diagonal")  # a text's own diagonals
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR) | (F.col("first") - F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("k") + NEAR)
+    order = Window.partitionBy("_row", "template").orderBy("diagonal")  # a text's own diagonals
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > NEAR
     runs = diagonals.filter(~F.col("phrase")).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
     merged = runs.groupBy("_row", "template", "label", "phrase", "n_grams", "_run").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.min("first").alias("start"), F.max(F.col("last") + F.col("k")).alias("stop"))
-    aligned = F.greatest(_chain(F.col("_hits"), True), _chain(F.col("_hits"), False))
-    merged = merged.withColumn("cover", aligned / F.col("n_grams")).filter(F.col("cover") >= COVER)
+    several = F.size(F.array_distinct(F.transform("_hits", lambda h: h["at"]))) >= COVER * F.col("n_grams")  # no chain is longer than the places hit
+    merged = merged.filter(several).withColumn("cover", _chain(F.col("_hits")) / F.col("n_grams")).filter(F.col("cover") >= COVER)
     return out.union(merged.select("_row", "template", "label", "phrase", "start", "stop", "cover"))
 
 
