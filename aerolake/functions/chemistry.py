@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.functions.dimensions import INDEX_COLOURS, INDEX_LIMITS, NO_COLOUR, PPB, UNCERTAINTY
@@ -49,6 +49,29 @@ def no2_scheme(nox_added: Column, no2: Column, nox: Column, o3: Column, tau: Col
     return {k: all_[k] for k in ("no2", "no", "o3", "nox", "ox")}
 
 
+def with_no2(rows: DataFrame, name: str, nox_added: Column, no2: Column, nox: Column, o3: Column, tau: Column, j: Column, k: Column, share: float = 0.10) -> DataFrame:
+    """rows with ``name``, a struct of what ``no2_scheme`` gives: each step is a column that is computed once, in generated code, for any number of results."""
+    some = lambda c: F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))
+    c = lambda x: F.col(f"_{name}_{x}")
+
+    def step(df: DataFrame, **new: Column) -> DataFrame:
+        return df.withColumns({f"_{name}_{x}": e for x, e in new.items()})
+
+    out = step(rows, a=some(nox_added) / PPB["no2"], f=some(no2) / PPB["no2"], o=some(o3) / PPB["o3"], m=some(nox) / PPB["no2"], j=some(j), k=k, t=tau.cast("double"))
+    out = step(out, n=c("m") + c("a"), y=c("f") + share * c("a"))
+    out = step(out, x=c("o") + c("y"))
+    out = step(out, b=c("n") + c("x") + c("j") / F.nullif(c("k"), F.lit(0.0)))
+    out = step(out, r=F.sqrt(F.greatest(F.lit(1e-12), c("b") * c("b") - 4 * c("n") * c("x"))))
+    out = step(out, l=(c("b") - c("r")) / 2, h=(c("b") + c("r")) / 2)
+    out = step(out, p=c("y") - c("h"))
+    out = step(out, q=(c("y") - c("l")) / F.when(F.abs(c("p")) >= 1e-12, c("p")) * F.exp(-F.least(c("k") * c("r") * c("t"), F.lit(700.0))))
+    end = F.coalesce((c("l") - c("h") * c("q")) / F.nullif(1 - c("q"), F.lit(0.0)), c("l"))
+    y = F.when((c("t") <= 0) | (c("k") <= 0), c("y")).when(c("t") == float("inf"), c("l")).otherwise(end)
+    out = step(out, z=F.greatest(F.lit(0.0), F.least(y, c("n"), c("x"))))
+    got = F.struct((c("z") * PPB["no2"]).alias("no2"), ((c("n") - c("z")) * PPB["no"]).alias("no"), ((c("x") - c("z")) * PPB["o3"]).alias("o3"), (c("n") * PPB["no2"]).alias("nox"), c("x").alias("ox"))
+    return out.select(*rows.columns, got.alias(name))
+
+
 def index_level(pollutant: Column, value: Column, scheme: str = "european") -> Column:
     """Level 1 to 6 of one of five pollutants; a value on a limit belongs to the lower level; 0 if missing or another pollutant."""
     of = F.lit(0)

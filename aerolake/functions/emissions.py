@@ -55,9 +55,9 @@ def local_calendar(t: Column) -> dict[str, Column]:
     return {"hour": F.hour(start), "month": F.month(start), "dow": F.weekday(start), "daytype": day_type_with_holidays(F.to_date(start))}
 
 
-def traffic_factor(t: Column, by_month: bool = True) -> Column:
-    """Traffic of an hour against the mean hour of the year."""
-    c = local_calendar(t)
+def traffic_factor(t: Column, by_month: bool = True, calendar: dict[str, Column] | None = None) -> Column:
+    """Traffic of an hour against the mean hour of the year. ``calendar``: what ``local_calendar`` gives, where rows have it already."""
+    c = calendar or local_calendar(t)
     shares = F.when(c["daytype"] == "sunday", _pick(HOUR_SHARES["sunday"], c["hour"])).when(c["daytype"] == "saturday", _pick(HOUR_SHARES["saturday"], c["hour"])).otherwise(_pick(HOUR_SHARES["weekday"], c["hour"]))
     day = F.when(c["daytype"] == "sunday", F.lit(DAY_FACTORS[6])).otherwise(_pick(DAY_FACTORS, c["dow"]))
     return 24 * shares * day * (_pick(MONTH_FACTORS, c["month"] - 1) if by_month else F.lit(1.0))
@@ -88,16 +88,19 @@ def measure_factors(pollutant: str, measures: dict[str, Column] | None = None) -
     return {"exhaust": exhaust, "wear": wear, "A": every * _share(m["traffic_a"]), "B": F.when(m["car_free_b"], 0.0).otherwise(every * _share(m["traffic_b"])), "C": every, "queues": m["queues"], "dust": m["dust"]}
 
 
-def group_strengths(pollutant: str, t: Column, measures: dict[str, Column] | None = None, heating: Column | bool | str = False, factors: dict[str, float] | None = None, heating_scale: float = 1.0, queue_share: dict[str, float] | None = None) -> dict[str, Column]:
-    """Strengths of the groups A to C, g per m and s for UNIT_TRAFFIC vehicles a day, and D, g per m2 and s. Pollutants without factors: 0."""
+def group_strengths(pollutant: str, t: Column, measures: dict[str, Column] | None = None, heating: Column | bool | str = False, factors: dict[str, float] | None = None, heating_scale: float = 1.0, queue_share: dict[str, float | Column] | None = None, calendar: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Strengths of the groups A to C, g per m and s for UNIT_TRAFFIC vehicles a day, and D, g per m2 and s. Pollutants without factors: 0.
+
+    ``calendar``: what ``local_calendar`` gives, and ``traffic``, what ``traffic_factor`` does, as columns that rows have already.
+    """
     p = "nox" if pollutant in ("no2", "no") else pollutant
     if p not in POLLUTANTS:
         return dict.fromkeys("ABCD", F.lit(0.0))
-    e, m, c = FACTORS | (factors or {}), measure_factors(p, measures), local_calendar(t)
+    e, m, c = FACTORS | (factors or {}), measure_factors(p, measures), calendar or local_calendar(t)
     exhaust, wear = e.get(f"{p}_exhaust", e[p] if p in e else 0.0), e.get(f"{p}_wear", 0.0)
     dust = F.when(m["dust"], e.get(f"{p}_dust", 0.0)).otherwise(0.0)
     rush = m["queues"] & (c["daytype"] == "weekday") & c["hour"].isin(*QUEUE_HOURS)
-    vehicles = UNIT_TRAFFIC * traffic_factor(t) / 24
+    vehicles = UNIT_TRAFFIC * c.get("traffic", traffic_factor(t, calendar=c)) / 24
     share = queue_share or QUEUE_SHARE
     out = {}
     for g in "ABC":

@@ -190,8 +190,8 @@ def totals(predicted: DataFrame, way: Column, share: Column, keys: dict[str, str
     rows = predicted.dropna(subset=["mod", *needed])
     tau = F.when(share > 0, way / (_u_eff(F.col("u0")) * share)).otherwise(60.0)
     of = {k: F.col(v) for k, v in keys.items()}
-    made = chemistry.no2_scheme(F.col("mod"), of["bg_no2"], of["bg_nox"], of["bg_o3"], tau, chemistry.photolysis(F.col("sw")), chemistry.titration(F.col("t2")))
-    pairs = F.array(*(F.struct(F.lit(k).alias("pollutant"), of[k].alias("o"), made[k].alias("p")) for k in ("no2", "nox")))
+    rows = chemistry.with_no2(rows, "_made", F.col("mod"), of["bg_no2"], of["bg_nox"], of["bg_o3"], tau, chemistry.photolysis(F.col("sw")), chemistry.titration(F.col("t2")))
+    pairs = F.array(*(F.struct(F.lit(k).alias("pollutant"), of[k].alias("o"), F.col(f"_made.{k}").alias("p")) for k in ("no2", "nox")))
     rows = rows.select(F.inline(pairs)).dropna(subset=["o", "p"])
     quality = rows.filter("pollutant = 'no2'").groupBy("pollutant").agg(chemistry.quality_indicator(F.col("o"), F.col("p"), "no2").alias("mqi"))
     return chang_hanna(rows, 1.0, "pollutant").join(quality, "pollutant", "left")

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 def grid_fit(rows: DataFrame, u0s: list[float], c0: float = 1.0, *by: str) -> DataFrame:
     """(by, u0, beta, loss): least mean square of ln(o + c0) - ln(p + c0) with c0 = 0 in p; for each u0 the best beta is closed-form.
 
-    ``rows``: (o, s, u). The grid is an array of a few dozen values, so rows are never replicated through a shuffle: partial
-    aggregates hold one row a grid point.
+    ``rows``: (o, s, u). All points of the grid are sums of one aggregate, so a row is read once and never multiplied.
     """
     good = rows.filter((F.col("o") > -c0) & (F.col("s") > 0))
-    grid = good.select(*by, F.ln(F.col("o") + c0).alias("lo"), "s", "u", F.explode(F.array(*map(F.lit, u0s))).alias("u0"))
-    gap = F.col("lo") - F.ln(F.col("s") / F.sqrt(F.col("u") * F.col("u") + F.col("u0") * F.col("u0")))
-    sums = grid.groupBy(*by, "u0").agg(F.avg(gap).alias("m"), F.var_pop(gap).alias("loss"))
-    best = sums.groupBy(*by).agg(F.min(F.struct(F.round(F.col("loss") + 1e-9, 9).alias("loss"), "u0", "m")).alias("b"))
+    logs = good.select(*by, (F.ln(F.col("o") + c0) - F.ln("s")).alias("d"), (F.col("u") * F.col("u")).alias("u2"))
+    gaps = logs.select(*by, *((F.col("d") + F.ln(F.col("u2") + u0 * u0) / 2).alias(f"g{i}") for i, u0 in enumerate(u0s)))
+    sums = gaps.groupBy(*by).agg(*(F.struct(F.round(F.var_pop(f"g{i}") + 1e-9, 9).alias("loss"), F.lit(float(u0)).alias("u0"), F.avg(f"g{i}").alias("m")).alias(f"b{i}") for i, u0 in enumerate(u0s)))
+    best = sums.select(*by, F.array_min(F.array(*(F.col(f"b{i}") for i in range(len(u0s))))).alias("b"))
     return best.select(*by, F.col("b.u0").alias("u0"), F.exp("b.m").alias("beta"), F.col("b.loss").alias("loss"))

@@ -99,12 +99,16 @@ def concentrations(hours: DataFrame, beta: float | Column, u0: float | Column, m
     if site is not None:
         cloud = F.col("cc") if "cc" in hours.columns else F.lit(None).cast("double")
         sun = F.coalesce(F.when(~F.isnan(sun), sun), weather.irradiance(weather.solar_elevation(F.col("t") - F.expr("INTERVAL 30 MINUTES"), *site), cloud))
-    hours = hours.withColumn("_sun", sun)
+    calendar = emissions.local_calendar(F.col("t"))
+    hours = hours.withColumns({"_sun": sun} | {f"_{k}": c for k, c in calendar.items()})
+    calendar = {k: F.col(f"_{k}") for k in calendar}
+    hours = hours.withColumn("_traffic", emissions.traffic_factor(F.col("t"), calendar=calendar))
+    calendar["traffic"] = F.col("_traffic")
     wind = weather.u_eff(F.coalesce(F.col("u"), F.lit(0.0)), u0)
     given = {k: F.col(f"bg_{k}") if f"bg_{k}" in hours.columns else F.lit(None).cast("double") for k in BACKGROUND}
     out = hours.withColumns({f"_bg_{k}": c for k, c in background(given).items()} | {"_wind": wind})
     for p in emissions.POLLUTANTS:
-        q = emissions.group_strengths(p, F.col("t"), measures, heating)
+        q = emissions.group_strengths(p, F.col("t"), measures, heating, calendar=calendar)
         out = out.withColumn(f"_q_{p}", F.array(*(q[g] for g in "ABCD")))
     for p in emissions.POLLUTANTS:
         scale = 1e3 if p == "co" else 1e6  # carbon monoxide in mg/m3
@@ -112,10 +116,10 @@ def concentrations(hours: DataFrame, beta: float | Column, u0: float | Column, m
         out = out.withColumn(f"inc_{p}", _sum(F.col(f"by_{p}")))
     weight = lambda c: _sum(F.zip_with("_q_nox", c, lambda a, g: a * F.coalesce(g, F.lit(0.0))))
     out = out.withColumn("tau", F.when(weight("gamma") > 0, weight("age") / (F.col("_wind") * weight("gamma"))).otherwise(60.0))
-    scheme = chemistry.no2_scheme(F.col("inc_nox"), F.col("_bg_no2"), F.col("_bg_nox"), F.col("_bg_o3"), F.col("tau"), chemistry.photolysis(F.col("_sun")), chemistry.titration(F.col("t2")), share)
-    out = out.withColumns({k: scheme[k] for k in ("nox", "no2", "no", "o3")})
+    out = chemistry.with_no2(out, "_scheme", F.col("inc_nox"), F.col("_bg_no2"), F.col("_bg_nox"), F.col("_bg_o3"), F.col("tau"), chemistry.photolysis(F.col("_sun")), chemistry.titration(F.col("t2")), share)
+    out = out.withColumns({k: F.col(f"_scheme.{k}") for k in ("nox", "no2", "no", "o3")})
     out = out.withColumns({p: F.col(f"_bg_{p}") + F.col(f"inc_{p}") for p in ("pm10", "pm25", "co", "c6h6")} | {"inc_no2": F.col("no2") - F.col("_bg_no2")})
-    return out.drop("_wind", "_sun", *(f"_q_{p}" for p in emissions.POLLUTANTS), *(f"_bg_{k}" for k in BACKGROUND))
+    return out.drop("_wind", "_sun", "_scheme", *(f"_{k}" for k in calendar), *(f"_q_{p}" for p in emissions.POLLUTANTS), *(f"_bg_{k}" for k in BACKGROUND))
 
 
 def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0) -> DataFrame:

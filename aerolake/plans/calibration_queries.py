@@ -164,8 +164,8 @@ round(sqrt(avg((o - no2) * (o - no2))) / (2 * sqrt(avg(0.0576::DOUBLE * (0.96::D
 def chemistry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NO2 from measured NOx by the scheme alone, against measured NO2."""
     h = _hours(spark, sf_dir).dropna(subset=["road_no2", "park_no2", "park_o3", "sw", "t2"])
-    p = chemistry.no2_scheme(F.col("obs"), F.col("park_no2"), F.col("park_nox"), F.col("park_o3"), F.lit(60.0), chemistry.photolysis(F.col("sw")), chemistry.titration(F.col("t2")))["no2"]
-    rows = h.select(F.col("road_no2").alias("o"), p.alias("p"))
+    made = chemistry.with_no2(h, "made", F.col("obs"), F.col("park_no2"), F.col("park_nox"), F.col("park_o3"), F.lit(60.0), chemistry.photolysis(F.col("sw")), chemistry.titration(F.col("t2")))
+    rows = made.select(F.col("road_no2").alias("o"), F.col("made.no2").alias("p"))
     mqi = rows.agg(chemistry.quality_indicator(F.col("o"), F.col("p"), "no2").alias("mqi"), F.avg("o").alias("mo"), F.avg("p").alias("mp"))
     out = chang_hanna(rows, 1.0).join(F.broadcast(mqi), F.lit(True))  # one row each
     return out.select("n", rounded(F.col("mo"), 5).alias("mean_obs"), rounded(F.col("mp"), 5).alias("mean_mod"), rounded(F.col("rmse"), 5).alias("rmse"), rounded(F.col("r"), 5).alias("r"), rounded(F.col("mqi"), 5).alias("mqi"))

@@ -268,8 +268,8 @@ SELECT event_id, round(no2 + 1e-9, 6) AS no2, round(no + 1e-9, 6) AS no, round(o
 def no2_chemistry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scheme, with a missing ozone, negative increments and no time to react among the rows."""
     v, i = F.col("value"), F.col("event_id")
-    out = chemistry.no2_scheme(v / 2 - 5, v / 4, v / 3, F.when(i % 9 > 0, 80 - v / 5), (i % 4 * 30).cast("double"), F.lit(0.005), F.lit(0.0004))
-    return table(spark, sf_dir, "events").select("event_id", *(rounded(c).alias(k) for k, c in out.items()))
+    out = chemistry.with_no2(table(spark, sf_dir, "events"), "made", v / 2 - 5, v / 4, v / 3, F.when(i % 9 > 0, 80 - v / 5), (i % 4 * 30).cast("double"), F.lit(0.005), F.lit(0.0004))
+    return out.select("event_id", *(rounded(F.col(f"made.{k}")).alias(k) for k in ("no2", "no", "o3", "nox", "ox")))
 
 
 @query("""WITH g AS (SELECT l_returnflag, g.u0, ln(l_extendedprice / 1000 + 1) - ln(l_quantity / sqrt(l_tax * 100 * l_tax * 100 + g.u0 * g.u0)) AS x FROM lineitem CROSS JOIN (SELECT (i + 1) * 0.25::DOUBLE AS u0 FROM range(16) r(i)) g WHERE l_quantity > 0),

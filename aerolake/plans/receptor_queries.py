@@ -80,9 +80,9 @@ def scenario_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = _ready(spark, sf_dir)
     measures = {"zone": F.lit(True), "electric": F.lit(20.0), "electric_buses": F.lit(True), "car_free_b": F.lit(True), "traffic": F.lit(90.0), "dust": F.lit(True)}
     some = ("nox", "no2", "pm10", "co")
-    now = receptor.concentrations(ready, BETA, U0).select("t", "daytype", *(F.col(p).alias(f"{p}_a") for p in some))
-    then = receptor.concentrations(ready, BETA, U0, measures).select("t", *(F.col(p).alias(f"{p}_b") for p in some))
-    both = now.join(then, "t").groupBy("daytype")
+    kept = ready.columns
+    now = receptor.concentrations(ready, BETA, U0).select(*kept, *(F.col(p).alias(f"{p}_a") for p in some))
+    both = receptor.concentrations(now, BETA, U0, measures).withColumnsRenamed({p: f"{p}_b" for p in some}).groupBy("daytype")
     out = []
     for p in some:
         a, b = F.avg(f"{p}_a"), F.avg(f"{p}_b")
