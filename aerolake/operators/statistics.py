@@ -14,6 +14,7 @@ from aerolake.functions import weather
 from aerolake.functions.calendar import local_midnight, local_start
 from aerolake.functions.dimensions import EXCEEDANCES
 from aerolake.operators import series as ops
+from aerolake.sources.intermediate import materialise
 
 Rule = tuple[str, str, str, float]
 
@@ -96,10 +97,12 @@ def latest_increment(yearly: DataFrame, leading: str) -> DataFrame:
 
 
 def document(series: DataFrame, wind: DataFrame, period_start: str, first: str, second: str, parameters: Iterable[str]) -> DataFrame:
-    """All statistics of an archive as (section, key, part, n, v)."""
-    own = series.unionByName(increments(series, first, second, parameters))
+    """All statistics of an archive as (section, key, part, n, v). The archive is read once; its hourly table, increments added, serves all sections."""
+    series = materialise(series, "series")
+    own = materialise(series.unionByName(increments(series, first, second, parameters)), "archive")
+    wind = materialise(wind, "wind")
     station = series.filter(F.col("key").startswith(f"{first}.")).select(F.split_part(F.col("key"), F.lit("."), F.lit(2)).alias("key"), "t", "v")
-    yearly = annual(own)
+    yearly, to_date = materialise(annual(own), "yearly"), materialise(year_to_date(own), "to-date")
     part = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") if isinstance(x, str) else x for x in c))
     row = lambda df, section, p, n="n", v="v": df.select(F.lit(section).alias("section"), F.col("key"), p.alias("part"), F.col(n).cast("bigint").alias("n"), F.col(v).cast("double").alias("v"))
     over = exceedances(station).withColumnRenamed("rule", "key")
@@ -111,8 +114,8 @@ def document(series: DataFrame, wind: DataFrame, period_start: str, first: str,
         row(rose(own, wind), "rose", part("sector")),
         row(over.withColumn("v", F.col("n").cast("double")), "exceedances", part("year"), n="valid"),
         row(coverage(own, period_start), "coverage", F.lit("period"), v="percent"),
-        row(year_to_date(own), "year to date", part("year")),
-        row(year_to_date(own), "coverage to date", part("year"), v="percent"),
+        row(to_date, "year to date", part("year")),
+        row(to_date, "coverage to date", part("year"), v="percent"),
         row(latest_increment(yearly, "inc.nox").withColumn("n", F.lit(1)), "increment", part("year")),
         row(ops.latest(own).withColumn("n", F.lit(1)), "latest", F.date_format("t", "yyyy-MM-dd HH:mm")),
     ]
