@@ -4,9 +4,10 @@ A bidirectional LSTM in numpy reads a page's blocks as a sequence (hashed tag pa
 every block as article or not with the whole page as context; article blocks, joined by newlines, are the text.
 
 Training. No page has labels, so the labeller is trained on pages it makes itself from a grammar of layouts: menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments around an article, with the names sites give them. ``TRAIN_PAGES``
-bounds that sample whatever the table's size; weights are fitted once a process from a fixed seed and sent to the tasks
-(about 150 KB). Pages are read by tasks, batch by batch.
+footers, sidebars, notices, adverts, forms and reader comments around an article, with the names sites give them. A second labeller is
+trained on pages most of which have names that tell nothing, or none, and plain elements in place of landmarks. Where a page names its main
+part both vote, elsewhere the second decides. ``TRAIN_PAGES`` and ``BARE_PAGES`` bound the samples whatever the table's size; weights are
+fitted once a process from fixed seeds and sent to the tasks (about 300 KB). Pages are read by tasks, batch by batch.
 
 Defined cases: null and empty pages have empty text; very long pages, ill-formed ones too, are read whole in linear time; a page without article blocks has empty text; equal rows give equal rows; an
 empty table gives an empty table; columns named like an output column are replaced, all others are kept.
@@ -14,6 +15,7 @@ empty table gives an empty table; columns named like an output column are replac
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import types as T
 from aerolake.llm.common import map_batches, read_table
 from aerolake.llm.html_blocks import DIM, Block, blocks, vectors
 
-TRAIN_PAGES = 1000
+TRAIN_PAGES, BARE_PAGES = 1000, 2500
+#: Share of the second labeller's pages whose names tell nothing, so that shape, links, words and place must carry its labels; weight of the first.
+DISGUISED, NAMED_SHARE = 0.7, 0.7
 HIDDEN = 24
 EPOCHS = 5
 #: Blocks whose features a recurrent pass holds at once; longer pages are read chunk by chunk, states carried on.
@@ -141,17 +145,21 @@ class Labeller:
                 both[a : a + chunk, part] = out[::turn, 0]
         return both @ self.w["out"][:-1] + self.w["out"][-1]
 
-    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Is each block of each page article? Every label sees the whole page, however long."""
+    def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Log-odds of each block of each page. Every one sees the whole page, however long."""
         short = [p for p, found in enumerate(pages) if len(found) <= CHUNK]
-        out = [np.zeros(0, bool) for _ in pages]
+        out = [np.zeros(0, np.float32) for _ in pages]
         for p, z in zip(short, self.logits([vectors(pages[p]) for p in short]), strict=True):
-            out[p] = z > 0
+            out[p] = z
         for p, found in enumerate(pages):
             if len(found) > CHUNK:
-                out[p] = self.long_logits(found) > 0
+                out[p] = self.long_logits(found)
         return out
 
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Is each block of each page article?"""
+        return [z > 0 for z in self.scores(pages)]
+
     def fit(self, seqs: list[np.ndarray], labels: list[np.ndarray], epochs: int, seed: int, rate: float = 0.01) -> None:
         """Adam on the mean log loss of blocks."""
         rng = np.random.default_rng(seed)
@@ -284,9 +292,27 @@ class PageGrammar:
         out += some("ad", "comments", "side", "form", "notice", "nav", "footer")
         return [*out, ("</div>" if wrap else "", False), ("</body></html>", False)]
 
-    def sample(self) -> tuple[list[Block], np.ndarray]:
-        """Blocks of a page and their labels, found by marks in the text."""
+    def disguised(self, html: str) -> str:
+        """A page under other names: every class, id and role gets a name that tells nothing, or none; on some pages landmark elements become plain ones."""
+        r, names = self.rng, {}
+        bare, plain = r.random() < 0.3, r.random() < 0.6
+
+        def other(m: re.Match) -> str:
+            if bare:
+                return ""
+            if m[2] not in names:
+                letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+                names[m[2]] = self.one(self.stems) if r.random() < 0.4 else "css-" + "".join(r.choice(letters, r.integers(2, 7)))
+            return f' class="{names[m[2]]}"'
+
+        html = re.sub(r' (class|id|role)="([^"]*)"', other, html)
+        return re.sub(r"(</?)(?:nav|header|footer|aside|article|main|section)\b", r"\1div", html) if plain else html
+
+    def sample(self, disguise: float = 0.0) -> tuple[list[Block], np.ndarray]:
+        """Blocks of a page and their labels, found by marks in the text; a share of pages is disguised."""
         marked = "".join(c.replace(">", ">\x01").replace("\x01<", "<") if article else c for c, article in self.page())
+        if self.rng.random() < disguise:
+            marked = self.disguised(marked)
         found = blocks(marked)
         labels = np.array(["\x01" in b.text for b in found], bool)
         for b in found:
@@ -296,30 +322,53 @@ class PageGrammar:
 
 
 @lru_cache(4)
-def trained(pages: int = TRAIN_PAGES, seed: int = 11, epochs: int = EPOCHS) -> Labeller:
-    """The labeller, fitted on ``pages`` made pages."""
+def trained(pages: int = TRAIN_PAGES, seed: int = 11, epochs: int = EPOCHS, disguise: float = 0.0) -> Labeller:
+    """A labeller, fitted on ``pages`` made pages, a share of them disguised."""
     grammar = PageGrammar(seed)
-    rows = [x for x in (grammar.sample() for _ in range(pages)) if len(x[0])]
+    rows = [x for x in (grammar.sample(disguise) for _ in range(pages)) if len(x[0])]
     labeller = Labeller.new(seed)
     labeller.fit([vectors(b) for b, _ in rows], [y for _, y in rows], epochs, seed)
     return labeller
 
 
+class Committee:
+    """Two labellers: one that knows the names sites give their parts, and one that has learnt to do without. The first counts where a page names its main part."""
+
+    LANDMARKS = tuple("<" + m[1:-1] if m.count(" ") == 0 else m[1:-1].split(" ", 1)[1] for m in PageGrammar.MAIN if m)
+
+    def __init__(self, named: Labeller, bare: Labeller):
+        self.named, self.bare = named, bare
+
+    @classmethod
+    def trained(cls) -> Committee:
+        return cls(trained(), trained(BARE_PAGES, 12, EPOCHS, DISGUISED))
+
+    def label(self, html: list[str], pages: list[list[Block]]) -> list[np.ndarray]:
+        """Is each block of each page article? ``html``: the pages' sources."""
+        known = [any(m in h for m in self.LANDMARKS) for h in html]
+        named = iter(self.named.scores([p for p, k in zip(pages, known, strict=True) if k]))
+        out = []
+        for z, k in zip(self.bare.scores(pages), known, strict=True):
+            out.append((NAMED_SHARE * next(named) + (1 - NAMED_SHARE) * z if k else z) > 0)
+        return out
+
+
 def main_text(found: list[Block], article: np.ndarray) -> str:
     return "\n".join(b.text for b, keep in zip(found, article, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html_col: str = "html", labeller: Labeller | None = None) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", committee: Committee | None = None) -> DataFrame:
     """Append ``text`` and ``n_chars``; the html is dropped."""
-    weights = pages.sparkSession.sparkContext.broadcast((labeller or trained()).w)  # a fixed number of weights
+    both = committee or Committee.trained()
+    weights = pages.sparkSession.sparkContext.broadcast((both.named.w, both.bare.w))  # a fixed number of weights
 
     def task():
-        model = Labeller(weights.value)
+        model = Committee(*map(Labeller, weights.value))
 
         def call(batch: pa.RecordBatch) -> dict:
-            column = batch.column(batch.schema.get_field_index(html_col))
-            found = [blocks(h.as_py() or "") for h in column]
-            text = [main_text(b, y) for b, y in zip(found, model.label(found), strict=True)]
+            html = [h.as_py() or "" for h in batch.column(batch.schema.get_field_index(html_col))]
+            found = [blocks(h) for h in html]
+            text = [main_text(b, y) for b, y in zip(found, model.label(html, found), strict=True)]
             return {"text": text, "n_chars": [len(t) for t in text]}
 
         return call

@@ -40,8 +40,8 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
-def test_long_pages_are_read_in_windows():
-    """Windows label a very long page about as one pass does."""
+def test_long_pages():
+    """A very long page is labelled as a short one is."""
     page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article>" + "<p>The river station measured wind and ozone over the old town.</p>" * 2000 + "</article><footer>&copy; us</footer></body></html>"
     found = blocks(page)
     got = trained().label([found])[0]
