@@ -25,7 +25,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -287,10 +287,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, ro
     keys = materialise(first.select(F.col("_first._key").alias("_key")), "simhash-kept")
     named, place = free_name(docs, "_key"), free_name(docs, "_i")
     out = docs.withColumn(named, key).join(keys.withColumnRenamed("_key", named), named, "left_semi")
-    repeated = near.groupBy("doc_id", "_key").count().filter("count > 1").select("_key")
-    if not repeated.isEmpty():  # the same id and text: one of them, the first by all columns
-        out = out.withColumn(place, F.row_number().over(Window.partitionBy(named).orderBy(F.xxhash64(*docs.columns)))).filter(F.col(place) == 1)
-    return out.select(*docs.columns)
+    repeated = materialise(near.groupBy("doc_id", "_key").count().filter("count > 1").select(F.col("_key").alias(named)), "simhash-repeated")
+    if repeated.isEmpty():
+        return out.select(*docs.columns)
+    # The same id and text: one of them, the first by all columns; others take no part in that.
+    many = out.join(repeated, named, "left_semi").groupBy(named).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(place)).select(f"{place}.*")
+    return out.join(repeated, named, "left_anti").select(*docs.columns).union(many)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
