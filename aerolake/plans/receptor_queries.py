@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.functions import emissions
@@ -65,6 +65,11 @@ def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.withColumns({"gamma": gamma, "age": F.transform("gamma", lambda g: g * SCALE * AGE), "bg_no2": F.col("park_no2"), "bg_nox": F.col("park_nox"), "bg_o3": F.col("park_o3")})
 
 
+def measures() -> dict[str, Column]:
+    """What SOME says, as columns."""
+    return {"zone": F.lit(True), "electric": F.lit(20.0), "electric_buses": F.lit(True), "car_free_b": F.lit(True), "traffic": F.lit(90.0), "dust": F.lit(True)}
+
+
 @query(f"WITH {cq.HOURS}, {cq.TABLE_SQL}, {LK}, {TB}, {_concentration_sql(NONE, 'cc')} SELECT t, {ROUNDED} FROM cc")
 def receptor_concentrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pollutants at the receptor, hour by hour."""
@@ -78,11 +83,10 @@ FROM cc JOIN ss USING (t) JOIN hr USING (t) GROUP BY 1""")
 def scenario_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Today against measures, means by day type."""
     ready = _ready(spark, sf_dir)
-    measures = {"zone": F.lit(True), "electric": F.lit(20.0), "electric_buses": F.lit(True), "car_free_b": F.lit(True), "traffic": F.lit(90.0), "dust": F.lit(True)}
     some = ("nox", "no2", "pm10", "co")
     kept = ready.columns
     now = receptor.concentrations(ready, BETA, U0).select(*kept, *(F.col(p).alias(f"{p}_a") for p in some))
-    both = receptor.concentrations(now, BETA, U0, measures).withColumnsRenamed({p: f"{p}_b" for p in some}).groupBy("daytype")
+    both = receptor.concentrations(now, BETA, U0, measures()).withColumnsRenamed({p: f"{p}_b" for p in some}).groupBy("daytype")
     out = []
     for p in some:
         a, b = F.avg(f"{p}_a"), F.avg(f"{p}_b")

@@ -12,6 +12,7 @@ from aerolake.functions.calendar import day_type, rounded
 from aerolake.operators import series
 from aerolake.plans import archive_queries as kept
 from aerolake.plans import calibration_queries as fitted
+from aerolake.plans import comparison_queries as compared
 from aerolake.plans import emission_queries as emitted
 from aerolake.plans import field_queries as gridded
 from aerolake.plans import geometry_queries as shaped
@@ -33,8 +34,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES | emitted.QUERIES | fitted.QUERIES | received.QUERIES | looked_up.QUERIES | shaped.QUERIES | kept.QUERIES | gridded.QUERIES
+    return own.QUERIES | more.QUERIES | physics.QUERIES | archive.QUERIES | emitted.QUERIES | fitted.QUERIES | received.QUERIES | looked_up.QUERIES | shaped.QUERIES | kept.QUERIES | gridded.QUERIES | compared.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES | emitted.ORACLES | fitted.ORACLES | received.ORACLES | looked_up.ORACLES | shaped.ORACLES | kept.ORACLES | gridded.ORACLES
+    return own.ORACLES | more.ORACLES | physics.ORACLES | archive.ORACLES | emitted.ORACLES | fitted.ORACLES | received.ORACLES | looked_up.ORACLES | shaped.ORACLES | kept.ORACLES | gridded.ORACLES | compared.ORACLES

@@ -8,6 +8,8 @@ import pytest
 from aerolake.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Where a query finds nothing in SF: archives of years need more hours.
+LARGER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -15,11 +17,14 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 def duck():
     import duckdb
 
-    con = duckdb.connect()
-    con.sql("SET TimeZone = 'UTC'")
-    for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+    out = {}
+    for folder in (SF, LARGER):
+        con = duckdb.connect()
+        con.sql("SET TimeZone = 'UTC'")
+        for t in TABLES:
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        out[folder] = con
+    return out
 
 
 def rows(df: pd.DataFrame) -> pd.DataFrame:
@@ -29,7 +34,12 @@ def rows(df: pd.DataFrame) -> pd.DataFrame:
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, duck, name):
-    got, want = registry.queries()[name](spark, SF).toPandas(), duck.sql(registry.oracle_sql()[name]).df()
+    sql = registry.oracle_sql()[name]
+    folder, want = SF, duck[SF].sql(sql).df()
+    if not len(want):
+        folder, want = LARGER, duck[LARGER].sql(sql).df()
+    assert len(want)  # nothing compared with nothing tells nothing
+    got = registry.queries()[name](spark, folder).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     for c in got.columns:
