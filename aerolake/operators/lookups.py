@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators.series import local_columns
+from aerolake.sources.intermediate import materialise
 
 
 def cascade(sources: list[tuple[str, DataFrame]], *on: str) -> DataFrame:
@@ -69,11 +70,22 @@ def longest(vertices: DataFrame) -> DataFrame:
     return best.select("name", (-F.col("b.id")).alias("id"), F.col("b.length").alias("length"))
 
 
+def ranked(rows: DataFrame, name: str, order: list[str], *by: str) -> DataFrame:
+    """rows with their place, from 1, within each group: rows are sorted over all tasks, and a task's places start where those of the tasks before end, so that a large group is ordered by many."""
+    spread = materialise(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = spread.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_start", before).drop("_n")  # a row a group and task
+    inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    met = spread.withColumn("_i", inside).join(starts, ["_part", *by])
+    return met.select(*rows.columns, (F.col("_start") + F.col("_i")).cast("int").alias(name))
+
+
 def along_wind(points: DataFrame, direction: float, *by: str) -> DataFrame:
     """Points (id, x, z) with ``along``, the way downwind, and ``place`` in that order within each group."""
     a = math.radians(direction)
     way = F.col("x") * -math.sin(a) + F.col("z") * math.cos(a)
-    return points.withColumn("along", way).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("along", "id")))
+    return ranked(points.withColumn("along", way), "place", ["along", "id"], *by)
 
 
 def dominant(rows: DataFrame, weight: str, name: str, *by: str) -> DataFrame:

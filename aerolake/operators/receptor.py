@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.functions import chemistry, emissions, weather
-from aerolake.operators.spatial import near_pairs
+from aerolake.operators.spatial import cells
 
 # Background where none is given, ug/m3 (carbon monoxide: mg/m3), and NOx where only NO2 is; prior parameters.
 BACKGROUND = {"nox": 24.0, "no2": 16.3, "o3": 54.0, "pm10": 25.6, "pm25": 15.7, "co": 0.19, "c6h6": 0.35}
@@ -122,15 +122,23 @@ def concentrations(hours: DataFrame, beta: float | Column, u0: float | Column, m
     return out.drop("_wind", "_sun", "_scheme", *(f"_{k}" for k in calendar), *(f"_q_{p}" for p in emissions.POLLUTANTS), *(f"_bg_{k}" for k in BACKGROUND))
 
 
-def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0) -> DataFrame:
+def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0, cell: float = 100.0) -> DataFrame:
     """(receptor, grp, gamma, age): Gaussian sums with images over the sources (id, x, z, w, hs, sy0, grp) upwind of each receptor (id, x, z, y) within ``radius``.
 
-    Sources meet receptors by cells, so no side is copied whole. x is the way downwind, age weighs it.
+    A receptor asks the cells around it that can hold a source upwind and near enough; sources meet it there with all their columns, and a
+    dense cell is one key among many. x is the way downwind, age weighs it.
     """
     bx, bz = -math.sin(math.radians(direction)), math.cos(math.radians(direction))
-    met = near_pairs(receptors.select("id", "x", "z"), sources.select("id", "x", "z"), radius).select("a_id", "b_id")
-    met = met.join(receptors.select(F.col("id").alias("a_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz")), "a_id")
-    met = met.join(sources.withColumnRenamed("id", "b_id"), "b_id").withColumns({"_dx": F.col("rx") - F.col("x"), "_dz": F.col("rz") - F.col("z")})
+    reach = range(-math.ceil(radius / cell) - 1, math.ceil(radius / cell) + 2)
+    farthest = lambda p, q: max((-p + e) * cell * bx + (-q + f) * cell * bz for e in (-1, 1) for f in (-1, 1))
+    nearest = lambda p, q: math.hypot(max(0, abs(p) - 1) * cell, max(0, abs(q) - 1) * cell)
+    asked = [(p, q) for p in reach for q in reach if farthest(p, q) > NEAREST and nearest(p, q) <= radius]
+    i, j = cells(F.col("x"), F.col("z"), cell)
+    around = F.expr("array(" + ", ".join(f"struct({p}L AS p, {q}L AS q)" for p, q in asked) + ")")
+    wanted = receptors.select(F.col("id").alias("a_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), i.alias("_i"), j.alias("_j"), F.inline(around))
+    wanted = wanted.select("a_id", "rx", "ry", "rz", (F.col("_i") + F.col("p")).alias("i"), (F.col("_j") + F.col("q")).alias("j"))
+    met = wanted.join(sources.withColumns({"i": i, "j": j}), ["i", "j"]).withColumns({"_dx": F.col("rx") - F.col("x"), "_dz": F.col("rz") - F.col("z")})
+    met = met.filter(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dz") * F.col("_dz")) <= radius)
     met = met.withColumns({"_x": F.col("_dx") * bx + F.col("_dz") * bz, "_y": -F.col("_dx") * bz + F.col("_dz") * bx}).filter(F.col("_x") > NEAREST)
     across, up = chemistry.briggs(F.lit(cls), F.col("_x"))
     met = met.filter(F.abs("_y") <= CUT * (F.col("sy0") + LATERAL[cls] * F.col("_x"))).withColumns({"_sy": F.sqrt(F.col("sy0") * F.col("sy0") + across * across), "_sz": F.sqrt(START_Z * START_Z + up * up)})

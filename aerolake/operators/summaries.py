@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake.sources.intermediate import materialise
+
 
 def bias_ratio(pairs: DataFrame, least: int, default: float, *by: str) -> DataFrame:
     """sum(o) / sum(p) with ``least`` pairs or more and a positive sum of p, else ``default``."""
@@ -31,35 +33,42 @@ def kfold_scores(pairs: DataFrame, fold: Column, *by: str) -> DataFrame:
     return held.select(*by, "fold", "n", "beta", F.sqrt(F.greatest(mse, F.lit(0.0))).alias("rmse"))
 
 
-#: Bins of a group's range that ``quantiles`` counts first.
+#: Bins that a round of ``quantiles`` divides a rank's range into.
 BINS = 1024
 
 
 def quantiles(rows: DataFrame, column: str, shares: list[float], *by: str) -> DataFrame:
     """Exact quantiles with linear interpolation, as columns q0, q1, ..., and ``n``; NULL values take no part.
 
-    Values are counted by distinct value and summed within bins of each group's range, then over the bins, so that no task
-    orders or holds a whole group.
+    Values are counted by distinct value. Each rank asked for has a range that holds it, at first its group's; a round counts the values in
+    the range by bins and goes on with the least and the largest value of the bin that holds the rank, until both are the same. Outliers
+    cost a round, and no task orders or holds a group or a bin.
     """
-    v = F.col("_v")
-    counted = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    ranges = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
-    joined = counted.join(ranges, list(by)) if by else counted.join(F.broadcast(ranges), F.lit(True))
-    place = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BINS)
-    binned = joined.withColumn("_bin", F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0)))
-    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"))
-    bins = bins.select(*by, "_bin", before(Window.partitionBy(*by).orderBy("_bin")).alias("_start"), (before(Window.partitionBy(*by).orderBy("_bin")) + F.col("_c")).alias("_stop"))
-    # Only bins that hold a rank asked for are ordered inside.
-    ranks = [F.lit(s) * (F.col("n") - 1) for s in shares]
-    wanted = F.exists(F.array(*(r for x in ranks for r in (F.floor(x), F.ceil(x)))), lambda r: (r >= F.col("_start")) & (r < F.col("_stop")))
-    inside = binned.join(bins, [*by, "_bin"]).filter(wanted)
-    first = F.col("_start") + before(Window.partitionBy(*by, "_bin").orderBy("_v"))
-    at = inside.withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_c") - 1)
-    value = lambda r: F.max(F.when((r >= F.col("_first")) & (r <= F.col("_last")), v))
-    out = at.groupBy(*by, "n").agg(*(x.alias(f"_{k}{i}") for i, r in enumerate(ranks) for k, x in (("a", value(F.floor(r))), ("b", value(F.ceil(r))))))
-    between = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (r - F.floor(r)) for i, r in enumerate(ranks)]
-    return out.select(*by, "n", *(x.alias(f"q{i}") for i, x in enumerate(between)))
+    group = list(by)
+    counted = materialise(rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "counted")
+    ranges = counted.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter("n > 0")
+    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    ranks = F.array(*(F.struct(F.lit(2 * i + k).alias("_k"), r.cast("long").alias("_r")) for i, x in enumerate(at) for k, r in enumerate((F.floor(x), F.ceil(x)))))
+    asked = materialise(ranges.select(*by, "n", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.inline(ranks)), "ranks")
+    found = None
+    while True:
+        done = asked.filter("_lo = _hi").select(*by, "n", "_k", F.col("_lo").alias("_q"))
+        found = done if found is None else found.union(done)
+        wide = asked.filter("_lo < _hi")
+        if wide.isEmpty():
+            break
+        met = counted.join(wide, group) if by else counted.join(F.broadcast(wide), F.lit(True))  # two ranks a share
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        share = F.coalesce(F.when(~F.isnan(share), share), F.lit(0.0))
+        # The largest value has a bin of its own, so every round parts a range, whatever its size.
+        place = F.when(F.col("_v") == F.col("_hi"), F.lit(BINS - 1).cast("long")).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 2)))
+        bins = met.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*by, "n", "_k", "_r", "_before", place.alias("_bin")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_bin"))
+        held = bins.withColumn("_upto", upto).filter((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
+        asked = materialise(held.select(*by, "n", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_before"), "_k", "_r"), "ranks")
+    got = found.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_k") == k, F.col("_q"))).alias(f"_q{k}") for k in range(2 * len(shares))))
+    between = [F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (x - F.floor(x)) for i, x in enumerate(at)]
+    return got.select(*by, "n", *(x.alias(f"q{i}") for i, x in enumerate(between)))
 
 
 def monthly_capture(series: DataFrame, least: float) -> DataFrame:

@@ -98,7 +98,7 @@ DIRECTION, LID = 230.0, 100.0
 BX, BZ = -math.sin(math.radians(DIRECTION)), math.cos(math.radians(DIRECTION))
 PLUME = f"""so AS (SELECT p_partkey AS id, ((p_partkey * 37) % 1000)::DOUBLE AS x, ((p_partkey * 91) % 997)::DOUBLE AS z, 1 + (p_partkey % 5)::DOUBLE AS w, CASE WHEN p_partkey % 4 = 3 THEN 8.0::DOUBLE ELSE 0.5::DOUBLE END AS hs, 1 + (p_partkey % 3)::DOUBLE AS sy0, ['A', 'B', 'C', 'D'][p_partkey % 4 + 1] AS grp FROM part),
 re AS (SELECT s_suppkey AS id, ((s_suppkey * 53) % 1000)::DOUBLE AS rx, 3.0::DOUBLE AS ry, ((s_suppkey * 29) % 997)::DOUBLE AS rz FROM supplier),
-pa AS (SELECT re.id AS receptor, grp, w, hs, ry, sy0, (rx - x) * ({BX!r}::DOUBLE) + (rz - z) * ({BZ!r}::DOUBLE) AS a, -(rx - x) * ({BZ!r}::DOUBLE) + (rz - z) * ({BX!r}::DOUBLE) AS c FROM so JOIN re ON sqrt((rx - x) * (rx - x) + (rz - z) * (rz - z)) <= 300),
+pa AS (SELECT re.id AS receptor, grp, w, hs, ry, sy0, (rx - x) * ({BX!r}::DOUBLE) + (rz - z) * ({BZ!r}::DOUBLE) AS a, -(rx - x) * ({BZ!r}::DOUBLE) + (rz - z) * ({BX!r}::DOUBLE) AS c FROM so JOIN re ON sqrt((rx - x) * (rx - x) + (rz - z) * (rz - z)) <= 800),
 pb AS (SELECT *, sqrt(sy0 * sy0 + power(0.16::DOUBLE * a / sqrt(1 + 0.0004::DOUBLE * a), 2)) AS sy, sqrt(4 + power(0.14::DOUBLE * a / sqrt(1 + 0.0003::DOUBLE * a), 2)) AS sz FROM pa WHERE a > 0.5 AND abs(c) <= 6 * (sy0 + 0.16::DOUBLE * a)),
 pc AS (SELECT *, list_sum([CASE WHEN power(ry - hs + 200 * n, 2) / (2 * sz * sz) < 40 THEN exp(-power(ry - hs + 200 * n, 2) / (2 * sz * sz)) ELSE 0 END + CASE WHEN power(ry + hs + 200 * n, 2) / (2 * sz * sz) < 40 THEN exp(-power(ry + hs + 200 * n, 2) / (2 * sz * sz)) ELSE 0 END for n in CASE WHEN sz > 25 THEN [-3, -2, -1, 0, 1, 2, 3] ELSE [0] END]) AS v FROM pb WHERE abs(c) <= 6 * sy),
 pd AS (SELECT *, w / (2 * pi() * sy * sz) * exp(-c * c / (2 * sy * sy)) * v AS g FROM pc)"""
@@ -112,5 +112,5 @@ def plume_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "part").select(k.alias("id"), ((k * 37) % 1000).cast("double").alias("x"), ((k * 91) % 997).cast("double").alias("z"), (1 + k % 5).cast("double").alias("w"), F.when(k % 4 == 3, 8.0).otherwise(0.5).alias("hs"), (1 + k % 3).cast("double").alias("sy0"), group.alias("grp"))
     s = F.col("s_suppkey")
     receptors = table(spark, sf_dir, "supplier").select(s.alias("id"), ((s * 53) % 1000).cast("double").alias("x"), F.lit(3.0).alias("y"), ((s * 29) % 997).cast("double").alias("z"))
-    out = receptor.plume(sources, receptors, DIRECTION, "D", LID, 300.0)
+    out = receptor.plume(sources, receptors, DIRECTION, "D", LID)
     return out.select("receptor", "grp", rounded(1e3 * F.col("gamma"), 5).alias("gamma"), rounded(F.col("age"), 5).alias("age"))

@@ -122,3 +122,38 @@ def test_formulas(spark):
     assert (got.l, got.a, got.b, got.c) == (3.0, 0.0, 0.5, 1.0) and got.d == pytest.approx(0.15625)
     months = spark.range(1, 13).select(F.col("id").cast("int").alias("m")).select("m", places.month_temperature(F.col("m")).alias("t"), places.heating_month(F.col("m")).alias("h"), places.leaf_month(F.col("m")).alias("f")).collect()
     assert max(months, key=lambda r: r.t).m == 7 and months[0].t == pytest.approx(-0.3) and [r.m for r in months if not r.h] == list(range(4, 10)) and [r.m for r in months if r.f] == list(range(5, 11))
+
+
+@pytest.mark.parametrize("by", [True, False])
+def test_quantiles_with_outliers_and_ties(spark, by):
+    """Heavy bins are divided again: outliers of any size, equal values, one value, a lone group."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    groups = {"a": [*r.normal(size=500), 1e12, -1e300, 5e-324], "b": [2.0] * 40, "c": [1.0, 2.0], "d": [*([0.0] * 90), *r.uniform(0, 1e-9, 30), 1e9], "e": [None], "f": [7.0], "h": [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-323]}
+    rows = spark.createDataFrame([(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(7)
+    shares = [0.0, 0.25, 0.5, 0.997, 1.0]
+    got = summaries.quantiles(rows, "v", shares, *(["g"] if by else [])).collect()
+    want = groups if by else {None: [v for vs in groups.values() for v in vs]}
+    assert len(got) == len([g for g, vs in want.items() if any(v is not None for v in vs)])
+    for q in got:
+        values = sorted(v for v in want[q.g if by else None] if v is not None)
+        assert q.n == len(values)
+        for i, s in enumerate(shares):
+            at = s * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            if high - low < math.inf:
+                assert q[f"q{i}"] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12, abs=1e-300)
+    assert summaries.quantiles(rows.filter("false"), "v", shares, "g").count() == 0
+
+
+def test_ranked_over_many_tasks(spark):
+    r = random.Random(4)
+    rows = [("hot" if r.random() < 0.7 else r.choice("abc"), r.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x int, id int").repartition(5)
+    got = {(p.g, p.id): p.place for p in lookups.ranked(df, "place", ["x", "id"], "g").collect()}
+    want: dict = {}
+    for g, x, i in sorted(rows):
+        want.setdefault(g, []).append(i)
+    assert got == {(g, i): n for g, ids in want.items() for n, i in enumerate(ids, 1)}
+    assert lookups.ranked(df.filter("false"), "place", ["x", "id"], "g").count() == 0
