@@ -92,6 +92,11 @@ class Lstm:
         return grad
 
 
+def short_features(pages: list[list[Block]]) -> list[np.ndarray | None]:
+    """Features of the pages that one pass reads; longer ones make theirs chunk by chunk."""
+    return [vectors(found) if len(found) <= CHUNK else None for found in pages]
+
+
 class Labeller:
     """Bidirectional LSTM and a logistic output a block."""
 
@@ -145,14 +150,15 @@ class Labeller:
                 both[a : a + chunk, part] = out[::turn, 0]
         return both @ self.w["out"][:-1] + self.w["out"][-1]
 
-    def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Log-odds of each block of each page. Every one sees the whole page, however long."""
-        short = [p for p, found in enumerate(pages) if len(found) <= CHUNK]
+    def scores(self, pages: list[list[Block]], features: list[np.ndarray | None] | None = None) -> list[np.ndarray]:
+        """Log-odds of each block of each page. Every one sees the whole page, however long. ``features``: what ``short_features`` gave, if known."""
+        features = short_features(pages) if features is None else features
+        short = [p for p, x in enumerate(features) if x is not None]
         out = [np.zeros(0, np.float32) for _ in pages]
-        for p, z in zip(short, self.logits([vectors(pages[p]) for p in short]), strict=True):
+        for p, z in zip(short, self.logits([features[p] for p in short]), strict=True):
             out[p] = z
         for p, found in enumerate(pages):
-            if len(found) > CHUNK:
+            if features[p] is None:
                 out[p] = self.long_logits(found)
         return out
 
@@ -345,10 +351,10 @@ class Committee:
 
     def label(self, html: list[str], pages: list[list[Block]]) -> list[np.ndarray]:
         """Is each block of each page article? ``html``: the pages' sources."""
-        known = [any(m in h for m in self.LANDMARKS) for h in html]
-        named = iter(self.named.scores([p for p, k in zip(pages, known, strict=True) if k]))
+        known, features = [any(m in h for m in self.LANDMARKS) for h in html], short_features(pages)
+        named = iter(self.named.scores([p for p, k in zip(pages, known, strict=True) if k], [x for x, k in zip(features, known, strict=True) if k]))
         out = []
-        for z, k in zip(self.bare.scores(pages), known, strict=True):
+        for z, k in zip(self.bare.scores(pages, features), known, strict=True):
             out.append((NAMED_SHARE * next(named) + (1 - NAMED_SHARE) * z if k else z) > 0)
         return out
 
