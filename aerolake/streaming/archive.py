@@ -169,3 +169,37 @@ class Archive:
     def stream(self, readings: DataFrame, checkpoint: str, **trigger):  # noqa: ANN201
         """Merge a stream of readings batch by batch; a batch that is run again changes nothing."""
         return readings.writeStream.foreachBatch(lambda batch, _: self.merge(batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def series_plan(stations: DataFrame, parameters: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(station, param, code, station_place, param_place): which series a run fetches, every station with the parameters that name its prefix, in configured order.
+
+    stations: (station, prefix, place); parameters: (param, code, place, prefixes array). ``wanted`` restricts the parameters.
+    """
+    some = parameters if wanted is None else parameters.filter(F.col("param").isin(*wanted))
+    each = some.select("param", "code", F.col("place").alias("param_place"), F.explode("prefixes").alias("prefix"))
+    return stations.withColumnRenamed("place", "station_place").join(each, "prefix").select("station", "param", "code", "station_place", "param_place")
+
+
+def offered(series: DataFrame, capabilities: DataFrame | None) -> DataFrame:
+    """The rows of (station, code, type, ...) that a station offers by ``capabilities`` (station, code, type); all of them where those are unknown."""
+    return series if capabilities is None else series.join(capabilities.select("station", "code", "type").distinct(), ["station", "code", "type"], "left_semi")
+
+
+def daily_rows(readings: DataFrame) -> DataFrame:
+    """(day, station, param, v, validated): daily readings under the local date of their stamp, which is the start of the day; sentinels left out; of a day read twice the last fetched."""
+    rows = readings.filter(F.col("v").isNotNull() & (F.col("v") > SENTINEL)).withColumn("day", _local_day(F.col("t")))
+    return rows.groupBy("day", "station", "param", "validated").agg(F.max_by("v", "fetched").alias("v")).select("day", "station", "param", "v", "validated")
+
+
+def daily_reference(previous: DataFrame, fetched: DataFrame, today: Column, complete: float) -> DataFrame:
+    """(day, station, param, v, validated): for each series and year what was held before, if the year has ended and ``complete`` of its days were validated then;
+    else the validated days fetched, or where there are none, the raw ones. Series and years that nothing was fetched of keep what they had."""
+    by = ["station", "param", "year"]
+    old = previous.withColumn("year", F.year("day"))
+    days = F.dayofyear(F.make_date(F.col("year"), F.lit(12), F.lit(31)))
+    final_years = old.groupBy(*by).agg(F.sum("validated").alias("n")).filter((F.col("year") < F.year(today)) & (F.col("n") >= complete * days)).select(*by)
+    new = fetched.withColumn("year", F.year("day")).join(final_years, by, "left_anti")
+    kind = new.groupBy(*by).agg(F.max("validated").alias("validated"))
+    kept = old.join(kind.select(*by), by, "left_anti")
+    return kept.unionByName(new.join(kind, [*by, "validated"], "left_semi")).select("day", "station", "param", "v", "validated")

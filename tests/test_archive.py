@@ -171,3 +171,29 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(late, ar.READING).write.mode("append").parquet(f"{tmp_path}/in")
     a.stream(source, f"{tmp_path}/c").awaitTermination(120)
     assert held(a) == rebuilt(rows + late)
+
+
+def test_series_plan_and_offers(spark):
+    stations = spark.createDataFrame([(155, "z1", 0), (303, "z4", 1)], "station int, prefix string, place int")
+    parameters = spark.createDataFrame([("no2", 1, 0, ["z1", "z4"]), ("pm10", 5, 1, ["z1"]), ("o3", 9, 2, ["z4"]), ("co", 4, 3, [])], "param string, code int, place int, prefixes array<string>")
+    order = lambda df: [(r.station, r.param) for r in df.orderBy("station_place", "param_place").collect()]
+    plan = ar.series_plan(stations, parameters)
+    assert order(plan) == [(155, "no2"), (155, "pm10"), (303, "no2"), (303, "o3")]
+    assert order(ar.series_plan(stations, parameters, ["o3", "pm10"])) == [(155, "pm10"), (303, "o3")]
+    typed = plan.crossJoin(spark.createDataFrame([(0,), (17,)], "type int"))
+    capabilities = spark.createDataFrame([(155, 1, 0), (155, 1, 0), (155, 1, 17), (303, 9, 17), (999, 1, 0)], "station int, code int, type int")
+    assert sorted((r.station, r.param, r.type) for r in ar.offered(typed, capabilities).collect()) == [(155, "no2", 0), (155, "no2", 17), (303, "o3", 17)]
+    assert ar.offered(typed, None).count() == 8
+
+
+def test_daily_reference(spark):
+    schema = "day date, station int, param string, v double, validated int"
+    days = lambda y, n, v, f: [(D(y, 1, 1) + dt.timedelta(days=i), 155, "pm10", v, f) for i in range(n)]
+    previous = spark.createDataFrame(days(2021, 360, 1.0, 1) + days(2022, 100, 1.0, 1) + days(2023, 365, 1.0, 0) + days(2024, 30, 1.0, 1), schema)
+    fetched = spark.createDataFrame(days(2021, 365, 2.0, 1) + days(2022, 200, 2.0, 1) + days(2022, 300, 3.0, 0) + days(2024, 40, 2.0, 0), schema)
+    out = ar.daily_reference(previous, fetched, F.lit("2024-05-01").cast("date"), 0.9)
+    got = {(r.y, r.v, r.validated): r.n for r in out.groupBy(F.year("day").alias("y"), "v", "validated").agg(F.count("*").alias("n")).collect()}
+    assert got == {(2021, 1.0, 1): 360, (2022, 2.0, 1): 200, (2023, 1.0, 0): 365, (2024, 2.0, 0): 40}
+    stamps = [(T(2024, 6, 1, 22), 155, "pm10", 9.0, 1, T(2025, 1, 1)), (T(2024, 6, 1, 22), 155, "pm10", 8.0, 1, T(2025, 1, 2)), (T(2024, 12, 1, 23), 155, "pm10", 7.0, 1, T(2025, 1, 1)), (T(2024, 6, 5, 22), 155, "pm10", -999.0, 1, T(2025, 1, 1))]
+    rows = ar.daily_rows(spark.createDataFrame(stamps, "t timestamp_ntz, station int, param string, v double, validated int, fetched timestamp_ntz"))
+    assert sorted((r.day, r.v) for r in rows.collect()) == [(D(2024, 6, 2), 8.0), (D(2024, 12, 2), 7.0)]
