@@ -57,7 +57,7 @@ def model_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.bias_ratios(observed, model, _latest(observed)).withColumn("ratio", rounded(F.col("ratio")))
 
 
-@query(f"""WITH {cq.HOURS}, e AS (SELECT max(t) AS e FROM hr), g AS (SELECT e - to_hours(CAST(i AS BIGINT)) AS t FROM e, range(72) r(i))
+@query(f"""WITH {cq.HOURS}, e AS (SELECT max(t) AS e FROM hr), g AS (SELECT e - to_hours(CAST(i AS BIGINT)) AS t FROM e, range(72) r(i) WHERE e IS NOT NULL)
 SELECT g.t, round(CASE WHEN day(g.t) % 2 = 0 THEN s.v END + 1e-9, 6) AS raw, round(CASE WHEN day(g.t) % 2 = 1 THEN s.v END + 1e-9, 6) AS validated, round(park_nox + x + 1e-9, 6) AS model, round(park_nox + 1e-9, 6) AS background, round((park_nox + x) / 2 + 1e-9, 6) AS low, round((park_nox + x) * 2 + 1e-9, 6) AS high
 FROM g LEFT JOIN s ON s.t = g.t AND key = 'road.nox' LEFT JOIN (SELECT t, park_nox, 1e6::DOUBLE * {BETA}::DOUBLE * s / sqrt(u * u + {U0 * U0!r}::DOUBLE) AS x FROM hr) m ON m.t = g.t""")
 def hindcast(spark: SparkSession, sf_dir: str) -> DataFrame:
