@@ -7,7 +7,10 @@ stability groups, so they are broadcast; hours are never shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ PRIOR_BETA, PRIOR_U0 = 1.0, 1.4
 DELTA_SHARE = 0.05
 # The plume's start: vertical spread, nearest distance, crosswind cut in spreads, images, largest exponent; lateral growth.
 START_Z, NEAREST, CUT, IMAGES, FAR = 2.0, 0.5, 6.0, 3, 40.0
+#: Vertical growth c * x * (1 + d * x) ** power, as ``chemistry.briggs`` has it.
+VERTICAL = {"A": (0.24, 0.001, 0.5), "B": (0.24, 0.001, 0.5), "C": (0.2, 0.0, 0.0), "D": (0.14, 0.0003, -0.5), "E": (0.08, 0.0015, -0.5), "F": (0.08, 0.0015, -0.5)}
+#: Parts that a cell's sources, and its asking receptors, are dealt to; receptors taken at a time in a part.
+PARTS, STRIP = 3, 64
 LATERAL = {"A": 0.32, "B": 0.32, "C": 0.22, "D": 0.16, "E": 0.11, "F": 0.11}
 
 
@@ -122,11 +129,53 @@ def concentrations(hours: DataFrame, beta: float | Column, u0: float | Column, m
     return out.drop("_wind", "_sun", "_scheme", *(f"_{k}" for k in calendar), *(f"_q_{p}" for p in emissions.POLLUTANTS), *(f"_bg_{k}" for k in BACKGROUND))
 
 
+def _images(sz: np.ndarray, ry: np.ndarray, hs: np.ndarray, lid: float, numbers: Iterable[int]) -> np.ndarray:
+    out = np.zeros_like(sz)
+    for n in numbers:
+        for h in (ry - hs, ry + hs):
+            e = (h + 2 * n * lid) ** 2 / (2 * sz * sz)
+            out += np.where(e < FAR, np.exp(-e), 0.0)
+    return out
+
+
+def _plume_sums(receptors: pd.DataFrame, sources: pd.DataFrame, direction: float, cls: str, lid: float, radius: float) -> pd.DataFrame:
+    """Partial sums of one cell's sources at the receptors that ask for it, a few receptors at a time so that memory does not grow with either."""
+    bx, bz = -math.sin(math.radians(direction)), math.cos(math.radians(direction))
+    lateral, (c, d, power) = LATERAL[cls], VERTICAL[cls]
+    of, names = pd.factorize(sources["grp"], use_na_sentinel=False)
+    x, z, w, hs, sy0 = (sources[k].to_numpy(dtype=float) for k in ("x", "z", "w", "hs", "sy0"))
+    ids, rx, ry, rz = receptors["a_id"].to_numpy(), *(receptors[k].to_numpy(dtype=float) for k in ("rx", "ry", "rz"))
+    n = len(names)
+    gamma, age, met = (np.zeros((len(ids), n)) for _ in range(3))
+    for k in range(0, len(ids) if n else 0, STRIP):
+        for m in range(0, len(x), STRIP * 64):
+            rows, to = slice(k, k + STRIP), slice(m, m + STRIP * 64)
+            dx, dz = rx[rows, None] - x[to], rz[rows, None] - z[to]
+            along, aside = dx * bx + dz * bz, dz * bx - dx * bz
+            r, q = np.nonzero((np.sqrt(dx * dx + dz * dz) <= radius) & (along > NEAREST) & (np.abs(aside) <= CUT * (sy0[to] + lateral * along)))
+            a, y, q = along[r, q], aside[r, q], q + m
+            across, up = lateral * a / np.sqrt(1 + 0.0004 * a), c * a * (1 + d * a) ** power
+            sy = np.sqrt(sy0[q] * sy0[q] + across * across)
+            near = np.abs(y) <= CUT * sy
+            a, y, sy, r, q = a[near], y[near], sy[near], r[near], q[near]
+            sz = np.sqrt(START_Z * START_Z + up[near] * up[near])
+            vertical = _images(sz, ry[r + k], hs[q], lid, (0,))
+            high = sz > lid / 4
+            vertical[high] += _images(sz[high], ry[r[high] + k], hs[q[high]], lid, (i for i in range(-IMAGES, IMAGES + 1) if i))
+            g = w[q] / (2 * math.pi * sy * sz) * np.exp(-y * y / (2 * sy * sy)) * vertical
+            at = r * n + of[q]
+            for total, v in ((gamma, g), (age, g * a), (met, None)):
+                total[rows] += np.bincount(at, v, len(dx) * n).reshape(-1, n)
+    at, grp = np.nonzero(met)
+    return pd.DataFrame({"receptor": ids[at], "grp": names[grp], "gamma": gamma[at, grp], "age": age[at, grp]})
+
+
 def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0, cell: float = 100.0) -> DataFrame:
     """(receptor, grp, gamma, age): Gaussian sums with images over the sources (id, x, z, w, hs, sy0, grp) upwind of each receptor (id, x, z, y) within ``radius``.
 
-    A receptor asks the cells around it that can hold a source upwind and near enough; sources meet it there with all their columns, and a
-    dense cell is one key among many. x is the way downwind, age weighs it.
+    A receptor asks the cells around it that can hold a source upwind and near enough. Sources and asking receptors of a cell are dealt to
+    PARTS by PARTS groups and meet there in arrays; sums leave the groups, no pair does. x is the way downwind, age weighs it. Sources
+    without a weight take no part.
     """
     bx, bz = -math.sin(math.radians(direction)), math.cos(math.radians(direction))
     reach = range(-math.ceil(radius / cell) - 1, math.ceil(radius / cell) + 2)
@@ -135,23 +184,15 @@ def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str,
     asked = [(p, q) for p in reach for q in reach if farthest(p, q) > NEAREST and nearest(p, q) <= radius]
     i, j = cells(F.col("x"), F.col("z"), cell)
     around = F.expr("array(" + ", ".join(f"struct({p}L AS p, {q}L AS q)" for p, q in asked) + ")")
-    wanted = receptors.select(F.col("id").alias("a_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), i.alias("_i"), j.alias("_j"), F.inline(around))
-    wanted = wanted.select("a_id", "rx", "ry", "rz", (F.col("_i") + F.col("p")).alias("i"), (F.col("_j") + F.col("q")).alias("j"))
-    met = wanted.join(sources.withColumns({"i": i, "j": j}), ["i", "j"]).withColumns({"_dx": F.col("rx") - F.col("x"), "_dz": F.col("rz") - F.col("z")})
-    met = met.filter(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dz") * F.col("_dz")) <= radius)
-    met = met.withColumns({"_x": F.col("_dx") * bx + F.col("_dz") * bz, "_y": -F.col("_dx") * bz + F.col("_dz") * bx}).filter(F.col("_x") > NEAREST)
-    across, up = chemistry.briggs(F.lit(cls), F.col("_x"))
-    met = met.filter(F.abs("_y") <= CUT * (F.col("sy0") + LATERAL[cls] * F.col("_x"))).withColumns({"_sy": F.sqrt(F.col("sy0") * F.col("sy0") + across * across), "_sz": F.sqrt(START_Z * START_Z + up * up)})
-    met = met.filter(F.abs("_y") <= CUT * F.col("_sy"))
-
-    def image(n: int) -> Column:
-        out = F.lit(0.0)
-        for h in (F.col("ry") - F.col("hs"), F.col("ry") + F.col("hs")):
-            e = (h + 2 * n * lid) * (h + 2 * n * lid) / (2 * F.col("_sz") * F.col("_sz"))
-            out = out + F.when(e < FAR, F.exp(-e)).otherwise(0.0)
-        return out
-
-    others = sum((image(n) for n in range(-IMAGES, IMAGES + 1) if n), F.lit(0.0))
-    vertical = image(0) + F.when(F.col("_sz") > lid / 4, others).otherwise(0.0)
-    g = F.col("w") / (2 * math.pi * F.col("_sy") * F.col("_sz")) * F.exp(-F.col("_y") * F.col("_y") / (2 * F.col("_sy") * F.col("_sy"))) * vertical
-    return met.select(F.col("a_id").alias("receptor"), "grp", g.alias("g"), "_x").groupBy("receptor", "grp").agg(F.sum("g").alias("gamma"), F.sum(F.col("g") * F.col("_x")).alias("age"))
+    part, every = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"), F.sequence(F.lit(0), F.lit(PARTS - 1))
+    wanted = receptors.dropna(subset=["x", "z"]).select(F.col("id").alias("a_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), i.alias("_i"), j.alias("_j"), part.alias("a"), F.inline(around))
+    wanted = wanted.select("a_id", "rx", "ry", "rz", (F.col("_i") + F.col("p")).alias("i"), (F.col("_j") + F.col("q")).alias("j"), "a", F.explode(every).alias("b"))
+    given = sources.dropna(subset=["x", "z", "w", "sy0"]).select("x", "z", "w", "hs", "sy0", "grp", i.alias("i"), j.alias("j"), part.alias("b"), F.explode(every).alias("a"))
+    keys = ["i", "j", "a", "b"]
+    kind = receptors.schema["id"].dataType.simpleString()
+    wanted = wanted.join(given.select(*keys).distinct(), keys, "left_semi")  # cells without sources make no group
+    # Few bytes are much work here, so the groups are dealt to a given number of tasks, which adaptive execution does not merge.
+    tasks = int(receptors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted, given = wanted.repartition(tasks, *keys), given.repartition(tasks, *keys)
+    sums = wanted.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(lambda r, s: _plume_sums(r, s, direction, cls, lid, radius), f"receptor {kind}, grp string, gamma double, age double")
+    return sums.groupBy("receptor", "grp").agg(F.sum("gamma").alias("gamma"), F.sum("age").alias("age"))
