@@ -120,7 +120,7 @@ def trees_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees near new buildings go, or are pruned."""
     trees, s = _points(spark, sf_dir), F.col("s_suppkey")
     new = table(spark, sf_dir, "supplier").select(s.alias("id"), ((s * 53) % 1000).cast("double").alias("x"), ((s * 29) % 997).cast("double").alias("z"))
-    return lookups.by_distance(trees, spatial.near_pairs(trees, new, 30.0), 10.0, 25.0).withColumn("d", rounded(F.col("d")))
+    return lookups.by_distance(trees, spatial.nearest(trees, new, 30.0), 10.0, 25.0).withColumn("d", rounded(F.col("d")))
 
 
 @query("""WITH x AS (SELECT p_partkey AS id, [NULL, '12', '12,5 m', '9;14', 'tall', '7.5m', ' 3 '][p_partkey % 7 + 1] AS text FROM part)

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from aerolake.operators import receptor
+from aerolake.operators import receptor, segments, spatial
 
 
 def test_plume_sums_leave_no_pairs(spark):
@@ -33,3 +33,23 @@ def test_plume_sums_leave_no_pairs(spark):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=1e-12)
+
+
+def test_nearest_takes_the_finest_cells(spark):
+    """2,000 places and their copies ask cells of a few neighbours, ties going to the smaller id at exactly the border's distance."""
+    a = spark.range(4000).selectExpr("id", "CAST(id % 100 AS DOUBLE) AS x", "CAST(id DIV 100 % 20 AS DOUBLE) AS z")
+    b = spark.range(900).selectExpr("id", "CAST(id * 7 % 100 AS DOUBLE) + 0.5D AS x", "CAST(id * 3 % 19 AS DOUBLE) AS z")
+    got = {r.a_id: (r.d, r.b_id) for r in spatial.nearest(a, b, 100.0).collect()}
+    places = [(r.x, r.z, r.id) for r in b.collect()]
+    want = {r.id: min((math.sqrt((r.x - x) ** 2 + (r.z - z) ** 2), i) for x, z, i in places) for r in a.collect()}
+    assert got == want
+    assert segments.fine_step(900, 0.0, 100.0 * 18, 100.0) < 5
+
+
+def test_close_pairs_meet_once_without_broadcast(spark):
+    p = spark.range(300).selectExpr("id", "CAST(id * 37 % 50 AS DOUBLE) AS x", "CAST(id * 91 % 47 AS DOUBLE) AS z")
+    out = spatial.close_pairs(p, 5.0)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = p.collect()
+    want = sorted((a.id, b.id) for a in rows for b in rows if a.id < b.id and math.hypot(a.x - b.x, a.z - b.z) <= 5)
+    assert sorted((r.a_id, r.b_id) for r in out.collect()) == want
