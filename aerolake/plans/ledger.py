@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.functions.calendar import HOLIDAYS
@@ -42,17 +42,31 @@ DAYTYPE_H = "CASE WHEN isodow({0}) = 7 OR CAST({0} AS DATE) IN (SELECT d FROM ho
 SECTOR = "CAST(coalesce(CAST(floor((({0}) % 360 + 11.25) / 22.5) AS BIGINT) % 16, 0) AS INTEGER)"
 
 
-def _hours(day: str, order: str, spread: int) -> str:
-    return f"explode(transform(sequence(1, {spread}), i -> CAST({day} AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST({order} % 24 + i AS INT))))"
+def _spread(first: Column, hours: int) -> Column:
+    """The ends of the ``hours`` hours after ``first``."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.lit(hours)), lambda i: first + F.make_dt_interval(F.lit(0), i)))
+
+
+def _base(day: str, order: str) -> Column:
+    return F.expr(f"CAST({day} AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST({order} % 24 AS INT))")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.expr(_hours("o_orderdate", "o_orderkey", SPREAD)).alias("t"), F.col("o_totalprice").cast("double").alias("p"), F.col("o_custkey").cast("long").alias("c"))
-    values = F.array_compact(F.array(*(F.when(F.expr(w), F.struct(F.lit(k).alias("key"), F.expr(v).cast("double").alias("v"))) for k, (v, w) in PARTS.items())))
-    return rows.select("t", F.explode(values).alias("x")).groupBy("x.key", "t").agg(F.avg("x.v").alias("v"))
+    """Orders are summed by the hour that they start at before they are spread over the hours that follow, so an order is one row and the spread ones are hours."""
+    rows = table(spark, sf_dir, "orders").select(_base("o_orderdate", "o_orderkey").alias("b"), F.col("o_totalprice").cast("double").alias("p"), F.col("o_custkey").cast("long").alias("c"))
+    value = {k: F.when(F.expr(w), F.expr(v).cast("double")) for k, (v, w) in PARTS.items()}
+    counts = {k: F.count_if(F.expr(w)) for k, (_, w) in PARTS.items()}
+    sums = rows.groupBy("b").agg(*(f.alias(f"{k}|{n}") for k in PARTS for n, f in (("s", F.sum(value[k])), ("n", F.count(value[k])), ("w", counts[k]))))
+    each = F.array(*(F.struct(F.lit(k).alias("key"), *(F.col(f"`{k}|{n}`").alias(n) for n in "snw")) for k in PARTS))
+    spread = sums.select(_spread(F.col("b"), SPREAD).alias("t"), F.explode(each).alias("x")).filter("x.w > 0")
+    return spread.groupBy("x.key", "t").agg((F.sum("x.s") / F.nullif(F.sum("x.n"), F.lit(0))).alias("v"))
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda c: F.col(c).cast("double")
-    rows = table(spark, sf_dir, "lineitem").select(F.expr(_hours("l_shipdate", "l_orderkey", WEATHER_SPREAD)).alias("t"), of("l_quantity").alias("q"), ((F.col("l_partkey") * 37) % 360).cast("double").alias("d"), of("l_discount").alias("x"), of("l_tax").alias("y"), (F.col("l_suppkey") % 30).cast("double").alias("k"))
-    return rows.groupBy("t").agg((F.avg("q") / 10).alias("u"), F.avg("d").alias("direction"), (F.avg("x") * 8000).alias("sw"), (F.avg("y") * 1200).alias("cc"), F.avg("k").alias("t2"))
+    """Line items are summed by hour before they are spread, as the ledger's orders are."""
+    of = {"q": F.col("l_quantity"), "d": (F.col("l_partkey") * 37) % 360, "x": F.col("l_discount"), "y": F.col("l_tax"), "k": F.col("l_suppkey") % 30}
+    rows = table(spark, sf_dir, "lineitem").select(_base("l_shipdate", "l_orderkey").alias("b"), *(c.cast("double").alias(n) for n, c in of.items()))
+    sums = rows.groupBy("b").agg(*(f(n).alias(f"{n}_{p}") for n in of for p, f in (("s", F.sum), ("n", F.count))))
+    spread = sums.select(_spread(F.col("b"), WEATHER_SPREAD).alias("t"), *(f"{n}_{p}" for n in of for p in "sn")).groupBy("t")
+    mean = {n: F.sum(f"{n}_s") / F.nullif(F.sum(f"{n}_n"), F.lit(0)) for n in of}
+    return spread.agg((mean["q"] / 10).alias("u"), mean["d"].alias("direction"), (mean["x"] * 8000).alias("sw"), (mean["y"] * 1200).alias("cc"), mean["k"].alias("t2"))

@@ -5,6 +5,7 @@ import math
 import pytest
 
 from aerolake.operators import receptor, segments, spatial
+from aerolake.plans import ledger
 
 
 def test_plume_sums_leave_no_pairs(spark):
@@ -53,3 +54,9 @@ def test_close_pairs_meet_once_without_broadcast(spark):
     rows = p.collect()
     want = sorted((a.id, b.id) for a in rows for b in rows if a.id < b.id and math.hypot(a.x - b.x, a.z - b.z) <= 5)
     assert sorted((r.a_id, r.b_id) for r in out.collect()) == want
+
+
+def test_archive_sums_orders_before_it_spreads_them(spark):
+    """An order is one row until hours are made of sums: the aggregate stands below the explode."""
+    plan = ledger.ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Generate")
