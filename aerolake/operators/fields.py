@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators.polylines import legs
+from aerolake.sources.intermediate import in_parts
 
 #: Cells of a triangle's box from which its rows are dealt to other tasks before their cells are made.
 LARGE = 4096
+#: Cells of a mask up to which every task holds it whole.
+BROADCAST = 1 << 18
 #: Share of a sample's weight that must be known for it to be scaled up; reach of a band, cells.
 LEAST_WEIGHT, REACH = 1e-4, 1.5
 _HAIR = 1e-9
@@ -38,14 +41,20 @@ def painted(triangles: DataFrame, cell: float, origin: float = 0.0) -> DataFrame
 
 
 def over_mask(vertices: DataFrame, mask: DataFrame, cell: float, origin: float = 0.0) -> DataFrame:
-    """(id, length, inside): metres of each polyline (id, n, x, z), sampled about every metre, and how many of them over cells (i, j) of a mask."""
+    """(id, length, inside): metres of each polyline (id, n, x, z), sampled about every metre, and how many of them over cells (i, j) of a mask.
+
+    Marks meet a mask of up to BROADCAST cells where the line lies, and no mark is shuffled; with a larger mask a row a line and cell is."""
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("z2") - F.col("z1"), F.lit(2.0)))
-    parts = legs(vertices).withColumn("length", length).withColumn("parts", F.greatest(F.lit(1), F.floor("length")))
+    parts = legs(in_parts(vertices, "id")).withColumn("length", length).withColumn("parts", F.greatest(F.lit(1), F.floor("length")))
     marks = parts.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("s", (F.col("s") + 0.5) / F.col("parts"))
     place = lambda p, q: F.floor((F.col(p) + F.col("s") * (F.col(q) - F.col(p)) - origin) / cell)
     w = F.col("length") / F.col("parts")
-    counted = marks.select("id", place("x1", "x2").alias("i"), place("z1", "z2").alias("j"), w.alias("w")).groupBy("id", "i", "j").agg(F.sum("w").alias("w"))  # a row a cell that a line passes
-    met = counted.join(mask.select("i", "j", F.lit(True).alias("on")).distinct(), ["i", "j"], "left")
+    cells = mask.select("i", "j", F.lit(True).alias("on")).distinct()
+    few = cells.limit(BROADCAST + 1).count() <= BROADCAST
+    met = marks.select("id", place("x1", "x2").alias("i"), place("z1", "z2").alias("j"), w.alias("w"))
+    if not few:
+        met = met.groupBy("id", "i", "j").agg(F.sum("w").alias("w"))  # a row a cell that a line passes
+    met = met.join(F.broadcast(cells) if few else cells, ["i", "j"], "left")
     return met.groupBy("id").agg(F.sum("w").alias("length"), F.coalesce(F.sum(F.when(F.col("on"), F.col("w"))), F.lit(0.0)).alias("inside"))
 
 

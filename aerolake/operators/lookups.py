@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators.series import local_columns
-from aerolake.sources.intermediate import materialise
+from aerolake.sources.intermediate import in_parts, materialise
 
 
 def cascade(sources: list[tuple[str, DataFrame]], *on: str) -> DataFrame:
@@ -65,7 +65,7 @@ def longest(vertices: DataFrame) -> DataFrame:
     """(name, id, length): the longest polyline of each name, vertices (name, id, n, x, z); ties to the smaller id."""
     order = Window.partitionBy("name", "id").orderBy("n", "x", "z")
     step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(order), F.lit(2.0)) + F.pow(F.col("z") - F.lag("z").over(order), F.lit(2.0)))
-    lengths = vertices.withColumn("_d", step).groupBy("name", "id").agg(F.round(F.sum("_d"), 6).alias("length"))
+    lengths = in_parts(vertices, "name", "id").withColumn("_d", step).groupBy("name", "id").agg(F.round(F.sum("_d"), 6).alias("length"))
     best = lengths.groupBy("name").agg(F.max(F.struct("length", (-F.col("id")).alias("id"))).alias("b"))
     return best.select("name", (-F.col("b.id")).alias("id"), F.col("b.length").alias("length"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from aerolake.operators import polygons
 from aerolake.operators.spatial import near_pairs
-from aerolake.sources.intermediate import discard, materialise
+from aerolake.sources.intermediate import discard, in_parts, materialise
 
 # Spacing of road sources, cell of area sources, release heights of both, m; lane width, m; queue distances, m; vehicles of a traffic unit.
 ROAD_SPACING, AREA_CELL, ROAD_HEIGHT, AREA_HEIGHT = 4.0, 10.0, 0.5, 8.0
@@ -50,10 +50,11 @@ def clipped_ring(ring: Column, box: tuple[float, float, float, float]) -> Column
     return ring
 
 
-def legs(vertices: DataFrame) -> DataFrame:
-    """(id, n, x1, z1, x2, z2): the segments of polylines, n being that of their first vertex."""
-    order = Window.partitionBy("id").orderBy("n")
-    out = vertices.select("id", "n", F.col("x").alias("x1"), F.col("z").alias("z1"), F.lead("x").over(order).alias("x2"), F.lead("z").over(order).alias("z2"))
+def legs(vertices: DataFrame, *by: str) -> DataFrame:
+    """(id, n, x1, z1, x2, z2): the segments of polylines, n being that of their first vertex. ``by``: columns that name a line, where it is not id alone."""
+    by = by or ("id",)
+    order = Window.partitionBy(*by).orderBy("n")
+    out = vertices.select(*by, "n", F.col("x").alias("x1"), F.col("z").alias("z1"), F.lead("x").over(order).alias("x2"), F.lead("z").over(order).alias("z2"))
     return out.dropna(subset=["x2", "z2"])
 
 
@@ -72,7 +73,7 @@ def clipped_polylines(vertices: DataFrame, box: tuple[float, float, float, float
     cut = lambda p, q: F.when(F.abs(p) > 1e-12, q / F.nullif(p, F.lit(0.0)))
     places = F.array(F.lit(0.0), cut(-dx, F.col("x1") - x0), cut(dx, x1 - F.col("x1")), cut(-dz, F.col("z1") - z0), cut(dz, z1 - F.col("z1")), F.lit(1.0))
     inner = F.array_sort(F.array_distinct(F.filter(places, lambda t: t.between(0, 1))))
-    parts = legs(vertices).select("id", "n", "x1", "z1", dx.alias("dx"), dz.alias("dz"), inner.alias("t")).select("*", F.posexplode(F.slice("t", 1, F.size("t") - 1)).alias("k", "ta"))
+    parts = legs(in_parts(vertices, "id")).select("id", "n", "x1", "z1", dx.alias("dx"), dz.alias("dz"), inner.alias("t")).select("*", F.posexplode(F.slice("t", 1, F.size("t") - 1)).alias("k", "ta"))
     parts = parts.withColumn("tb", F.element_at("t", F.col("k") + 2))
     at = lambda t, p, d: F.col(p) + F.col(d) * F.col(t)
     parts = parts.select("id", "n", "k", at("ta", "x1", "dx").alias("ax"), at("ta", "z1", "dz").alias("az"), at("tb", "x1", "dx").alias("bx"), at("tb", "z1", "dz").alias("bz"))

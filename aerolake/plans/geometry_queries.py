@@ -137,10 +137,10 @@ l AS (SELECT id, run, sum((b - a) * sqrt(dx * dx + dz * dz)) AS length FROM m WH
 SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY run) - 1 AS INTEGER) AS piece, round(length + 1e-9, 4) AS length FROM l""")
 def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of each order's polyline within a box, with their lengths."""
-    pieces = polylines.clipped_polylines(_lines(spark, sf_dir), LINE_BOX).withColumn("line", F.struct("id", "piece"))
-    run = polylines.legs(pieces.select(F.col("line").alias("id"), "n", "x", "z"))
+    pieces = polylines.clipped_polylines(_lines(spark, sf_dir), LINE_BOX)
+    run = polylines.legs(pieces, "id", "piece")  # dealt by id as the pieces are
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("z2") - F.col("z1"), F.lit(2.0)))
-    return run.groupBy("id.id", "id.piece").agg(rounded(F.sum(length), 4).alias("length"))
+    return run.groupBy("id", "piece").agg(rounded(F.sum(length), 4).alias("length"))
 
 
 @query(f"""WITH RECURSIVE {LINES}, st(id, a, b) AS (SELECT id, min(n), max(n) FROM v GROUP BY id UNION ALL

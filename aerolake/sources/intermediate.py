@@ -38,3 +38,13 @@ def discard(df: DataFrame) -> None:
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys to as many tasks as the session's shuffles have; adaptive execution neither merges them nor takes df for small. For tables whose few bytes make many rows."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).hint("merge")
+
+
+#: Rows that a task of a sort by group holds.
+ROWS = 1 << 20
+
+
+def in_parts(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its rows need, so that a task's windows and groups stay small however large the table is."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS)), *keys)

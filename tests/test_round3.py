@@ -4,8 +4,9 @@ import math
 
 import pytest
 
-from aerolake.operators import receptor, segments, spatial
+from aerolake.operators import fields, lookups, polylines, receptor, segments, spatial
 from aerolake.plans import ledger
+from aerolake.sources import intermediate
 
 
 def test_plume_sums_leave_no_pairs(spark):
@@ -60,3 +61,26 @@ def test_archive_sums_orders_before_it_spreads_them(spark):
     """An order is one row until hours are made of sums: the aggregate stands below the explode."""
     plan = ledger.ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate") > plan.rindex("Generate")
+
+
+def test_mask_marks_are_not_shuffled(spark):
+    """Only the vertices and the mask's own cells are exchanged; the marks meet the mask where the line lies. A large mask gives the same."""
+    lines = spark.range(40).selectExpr("id DIV 4 AS id", "id % 4 AS n", "CAST(id * 7 % 50 AS DOUBLE) AS x", "CAST(id * 3 % 40 AS DOUBLE) AS z")
+    mask = spark.range(200).selectExpr("id % 20 AS i", "id * 3 % 17 AS j")
+    out = fields.over_mask(lines, mask, 2.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("hashpartitioning(id") == 1
+    small, fields.BROADCAST = fields.BROADCAST, 0
+    try:
+        large = fields.over_mask(lines, mask, 2.0)
+        assert sorted((r.id, round(r.length, 9), round(r.inside, 9)) for r in large.collect()) == sorted((r.id, round(r.length, 9), round(r.inside, 9)) for r in out.collect())
+    finally:
+        fields.BROADCAST = small
+
+
+def test_windows_have_as_many_tasks_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(intermediate, "ROWS", 10)
+    lines = spark.range(400).selectExpr("id % 5 AS name", "id DIV 4 AS id", "id % 4 AS n", "CAST(id AS DOUBLE) AS x", "0.0D AS z")
+    assert intermediate.in_parts(lines, "id").rdd.getNumPartitions() == 40
+    for out in (lookups.longest(lines), polylines.clipped_polylines(lines, (0.0, 1.0, 0.0, 1.0))):
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
