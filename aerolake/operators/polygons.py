@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake.sources.intermediate import dealt
+
 #: Parts that the points of one run are dealt to, so that no run is one task.
 SALTS = 16
 
@@ -69,11 +71,11 @@ def contained(points: DataFrame, rings: DataFrame, size: float, salts: int = SAL
     inner = each.filter(F.col("odd") & F.col("gap").isNotNull() & (F.col("gap") > F.col("i1"))).select("id", "j", F.explode(F.sequence(F.col("i1") + 1, "gap")).alias("i"), F.lit(None).cast("long").alias("r"), F.lit(True).alias("odd"))
     outer = each.select("id", "j", F.explode(F.sequence("i0", "i1")).alias("i"), "r", "odd")
     placed = points.dropna(subset=["x", "z"]).select(F.col("id").alias("point"), F.col("x").alias("px"), F.col("z").alias("pz"), F.floor(F.col("x") / size).alias("i"), F.floor(F.col("z") / size).alias("j"))
-    met = placed.join(inner.union(outer), ["i", "j"])
+    met = dealt(placed, "i", "j").join(dealt(inner.union(outer), "i", "j"), ["i", "j"])  # rows of cells come of few runs, so neither side is small for looking it
     near = met.filter("r IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(salts)).cast("int"))
     sides = lying.select("id", "j", "r", "x1", "z1", "x2", "z2").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = F.count_if(spans(F.col("pz")) & (F.col("px") < crossing(F.col("pz"))))
-    tested = near.join(sides, ["id", "j", "r", "salt"]).groupBy("id", "j", "r", "salt", "point", "odd").agg(hits.alias("n"))
+    tested = dealt(near, "id", "j", "r", "salt").join(dealt(sides, "id", "j", "r", "salt"), ["id", "j", "r", "salt"]).groupBy("id", "j", "r", "salt", "point", "odd").agg(hits.alias("n"))
     inside = tested.filter((F.col("n") % 2 == 1) != F.col("odd")).select("point", "id")
     return met.filter("r IS NULL").select("point", "id").union(inside)
 

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from aerolake.operators import fields, lookups, polylines, receptor, segments, spatial
+from aerolake.operators import fields, lookups, polygons, polylines, receptor, segments, spatial
 from aerolake.plans import ledger
 from aerolake.sources import intermediate
 
@@ -84,3 +84,12 @@ def test_windows_have_as_many_tasks_as_rows_need(spark, monkeypatch):
     assert intermediate.in_parts(lines, "id").rdd.getNumPartitions() == 40
     for out in (lookups.longest(lines), polylines.clipped_polylines(lines, (0.0, 1.0, 0.0, 1.0))):
         assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_polygon_joins_are_never_broadcast(spark):
+    """Rows of cells come of few runs, which the planner takes for small."""
+    points = spark.range(100).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS x", "CAST(id DIV 10 AS DOUBLE) AS z")
+    rings = spark.range(4).selectExpr("1L AS id", "0 AS ring", "id AS n", "IF(id IN (1, 2), 8.5D, 0.5D) AS x", "IF(id > 1, 8.5D, 0.5D) AS z")
+    out = polygons.contained(points, rings, 3.0)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 64
