@@ -10,15 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.operators import polygons
-from aerolake.operators.spatial import near_pairs
-from aerolake.sources.intermediate import discard, in_parts, materialise
+from aerolake.operators import polygons, spatial
+from aerolake.operators.spatial import close_pairs
+from aerolake.sources.intermediate import dealt, discard, in_parts, materialise
 
 # Spacing of road sources, cell of area sources, release heights of both, m; lane width, m; queue distances, m; vehicles of a traffic unit.
 ROAD_SPACING, AREA_CELL, ROAD_HEIGHT, AREA_HEIGHT = 4.0, 10.0, 0.5, 8.0
 LANE, QUEUE, TRAFFIC_UNIT = 3.25, (15.0, 75.0), 1000.0
 #: Shortest piece that a clipped polyline may leave, m.
 LEAST_PIECE = 0.5
+#: Points of a cell that a turn of thinning looks at.
+HEADS = 16
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -171,20 +173,39 @@ def area_sources(rings: DataFrame, weights: DataFrame, cell: float = AREA_CELL)
 def thinned(points: DataFrame, distance: float) -> DataFrame:
     """(id, x, z): what remains when points (id, x, z) are taken in order of id and each is dropped that lies nearer than ``distance`` to one taken before.
 
-    Rounds: a point with no earlier neighbour left is taken, its later neighbours are dropped, and links of both kinds go; a round settles
-    every such point at once.
+    A turn looks at the HEADS first points of each cell. One whose id comes before the first point that a cell around leaves out has all its earlier
+    neighbours among them, so rounds over the heads' links settle it: a point with no earlier neighbour left is taken, its later
+    neighbours are dropped. Then all points near those taken leave, and the next turn looks again; the least id is always settled. Points
+    without coordinates stay.
     """
-    links = near_pairs(points, points, distance).filter((F.col("a_id") < F.col("b_id")) & (F.col("d") < distance)).select("a_id", "b_id")
-    links = materialise(links, "links")
-    dropped = points.select("id").filter(F.lit(False))
-    while links.limit(1).count():
-        later = links.select(F.col("b_id").alias("a_id")).distinct()
-        taken = links.select("a_id").distinct().join(later, "a_id", "left_anti")
-        gone = materialise(links.join(taken, "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct(), "gone")
-        dropped = dropped.union(gone)
-        named = gone.select(F.col("id").alias("a_id"))
-        left = links.join(taken, "a_id", "left_anti").join(named, "a_id", "left_anti").join(gone.select(F.col("id").alias("b_id")), "b_id", "left_anti").select("a_id", "b_id")
-        further = materialise(left, "links")
-        discard(links)
-        links = further
-    return points.join(dropped, "id", "left_anti").select("id", "x", "z")
+    finite = spatial.finite("x", "z")
+    i, j = spatial.cells(F.col("x"), F.col("z"), distance)
+    active = materialise(points.filter(finite).select("id", "x", "z", i.alias("i"), j.alias("j")), "active")
+    kept = points.filter(~F.coalesce(finite, F.lit(False))).select("id", "x", "z")
+    around = F.array(*(F.struct((F.col("i") + p).alias("i"), (F.col("j") + q).alias("j")) for p in (-1, 0, 1) for q in (-1, 0, 1)))
+    while active.limit(1).count():
+        rank = F.row_number().over(Window.partitionBy("i", "j").orderBy("id"))
+        first = materialise(active.withColumn("rank", rank).filter(F.col("rank") <= HEADS + 1), "first")
+        bound = first.filter(F.col("rank") == HEADS + 1).select(F.col("id").alias("bound"), F.inline(around)).groupBy("i", "j").agg(F.min("bound").alias("bound"))
+        sure = F.coalesce(F.col("id") < F.col("bound"), F.lit(True))
+        heads = materialise(first.filter(F.col("rank") <= HEADS).join(bound, ["i", "j"], "left").select("id", "x", "z", sure.alias("sure")), "heads")
+        links = materialise(close_pairs(heads, distance).filter(F.col("d") < distance).select("a_id", "b_id"), "links")
+        taken, open_heads = None, heads.filter("sure").select("id")
+        while True:
+            now = materialise(open_heads.join(links.select(F.col("b_id").alias("id")), "id", "left_anti"), "taken")
+            if not now.limit(1).count():
+                break
+            taken = now if taken is None else taken.union(now)
+            gone = materialise(links.join(now.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct(), "gone")
+            settled = now.union(gone)
+            open_heads = materialise(open_heads.join(settled, "id", "left_anti"), "open")
+            links = materialise(links.join(settled.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(gone.withColumnRenamed("id", "b_id"), "b_id", "left_anti"), "links")
+        chosen = materialise(heads.join(taken, "id", "left_semi").select("id", "x", "z"), "chosen")
+        kept = kept.union(chosen)
+        near = chosen.select(F.col("x").alias("tx"), F.col("z").alias("tz"), *(c.alias(n) for n, c in zip("ij", spatial.cells(F.col("x"), F.col("z"), distance), strict=True))).select("tx", "tz", F.inline(around))
+        apart = F.sqrt(F.pow(F.col("x") - F.col("tx"), F.lit(2.0)) + F.pow(F.col("z") - F.col("tz"), F.lit(2.0)))
+        left, right = dealt(active, "i", "j").alias("p"), dealt(near, "i", "j").alias("t")
+        further = materialise(left.join(right, (F.col("p.i") == F.col("t.i")) & (F.col("p.j") == F.col("t.j")) & (apart < distance), "left_anti"), "active")
+        discard(active)
+        active = further
+    return kept

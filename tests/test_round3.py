@@ -93,3 +93,18 @@ def test_polygon_joins_are_never_broadcast(spark):
     out = polygons.contained(points, rings, 3.0)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 64
+
+
+def test_thinning_makes_no_link_of_all_pairs(spark, monkeypatch):
+    """3,000 points in four cells: links are made of few heads at a time, and the result is that of the loop."""
+    seen = []
+    pairs = polylines.close_pairs
+    monkeypatch.setattr(polylines, "close_pairs", lambda p, d: seen.append(p.count()) or pairs(p, d))
+    points = spark.range(3000).selectExpr("id", "CAST(id * 37 % 60 AS DOUBLE) AS x", "CAST(id * 91 % 59 AS DOUBLE) AS z")
+    got = sorted(r.id for r in polylines.thinned(points, 30.0).collect())
+    want: list = []
+    for r in points.collect():
+        if all(math.hypot(r.x - x, r.z - z) >= 30 for _, x, z in want):
+            want.append((r.id, r.x, r.z))
+    assert got == [i for i, *_ in want]
+    assert max(seen) <= 4 * polylines.HEADS
