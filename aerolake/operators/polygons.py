@@ -4,18 +4,28 @@ a polygon by the even-odd rule, so a ring inside another is a hole.
 Space is cut into square cells. A polygon's edges are dealt to the bands (rows of cells) that they cross; within a band, cells that edges
 touch form runs, and the gaps between runs lie wholly inside or wholly outside. Points of inside cells need no test; points of a run
 are tested against the edges of that run only, on top of the parity of what lies to its right, which is the same for the whole run.
-Work is keyed by cells and by (polygon, band, run), so a polygon over everything is spread over all of its bands.
+Work is keyed by cells, so a polygon over everything is spread over all of its cells. A cell's points are dealt to a few parts and meet its
+polygons in a stream of rows sorted by cell, so that no pair of a point and a polygon is written before the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.sources.intermediate import dealt
+from aerolake.operators.cellwise import pieces, starts
+from aerolake.sources.intermediate import ROWS, dealt
 
-#: Parts that the points of one run are dealt to, so that no run is one task.
-SALTS = 16
+#: Parts that the places of one cell are dealt to, so that no cell is one task.
+SALTS = 4
+#: Rows of cells that a vertex makes in all parts, roughly.
+SPREAD = 16
+#: Pairs of an edge and a place that are tested at a time; rows of the result that are made at a time.
+BLOCK, OUT = 1 << 17, 1 << 18
 
 
 def edges(rings: DataFrame) -> DataFrame:
@@ -62,22 +72,118 @@ def runs(bands: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     return lying, counted.select("id", "j", "r", "i0", "i1", (beyond % 2 == 1).alias("odd"), (F.lead("i0").over(by_run) - 1).alias("gap"))
 
 
+def _by_cell(points: DataFrame, rings: DataFrame, size: float, salts: int, rows: int, areas: DataFrame | None = None) -> DataFrame:
+    """Points (side 0), then edges of polygons that touch a cell (side 1), sorted by cell, part and polygon, or by cell, part, area and polygon.
+
+    An edge is in all cells of its run up to its own last one, since farther right it hits nothing. A polygon around a whole cell has an edge there
+    that spans nothing. ``odd`` tells what lies right of the run.
+    """
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    lying, each = runs(banded(edges(rings.repartition(tasks, "id", "ring")), size).repartition(tasks, "id", "j"), size)
+    each = each.withColumn("area", F.lit(None).cast("double")) if areas is None else dealt(each, "id").join(dealt(areas, "id"), "id")
+    run = each.select("id", "j", "r", "area", "odd", F.col("i0").alias("from"), F.col("i1").alias("to"))
+    near = dealt(lying, "id", "j", "r").join(dealt(run, "id", "j", "r"), ["id", "j", "r"])
+    ends, zero = ("x1", "z1", "x2", "z2"), F.lit(0.0)
+    outer = near.select("id", "area", "j", F.explode(F.sequence("from", F.least("i1", "to"))).alias("i"), "odd", *ends)
+    inner = each.filter(F.col("odd") & F.col("gap").isNotNull() & (F.col("gap") > F.col("i1"))).select("id", "area", "j", F.explode(F.sequence(F.col("i1") + 1, "gap")).alias("i"), "odd", *(zero.alias(c) for c in ends))
+    key = points.schema["id"].dataType
+    sides = outer.union(inner).select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), F.lit(1).alias("side"), F.lit(None).cast(key).alias("point"), "area", "id", "odd", *ends)
+    x, z, none = F.col("x"), F.col("z"), F.lit(None)
+    part = F.pmod(F.xxhash64("x", "z"), F.lit(salts)).cast("int")
+    placed = points.dropna(subset=["x", "z"]).select(F.floor(x / size).alias("i"), F.floor(z / size).alias("j"), part.alias("part"), F.lit(0).alias("side"), F.col("id").alias("point"), none.cast("double").alias("area"), none.cast(rings.schema["id"].dataType).alias("id"), F.lit(False).alias("odd"), x.alias("x1"), z.alias("z1"), zero.alias("x2"), zero.alias("z2"))
+    return placed.union(sides).repartition(tasks, "i", "j", "part").sortWithinPartitions("i", "j", "part", "side", *([] if areas is None else ["area"]), "id")
+
+
+class _Places:
+    """The places of a cell's points, each once, with the points at them."""
+
+    def __init__(self, points: list[pa.RecordBatch]):
+        rows = pa.concat_batches(points)
+        x, z = rows.column("x1").to_numpy(), rows.column("z1").to_numpy()
+        order = np.lexsort((z, x))
+        x, z = x[order], z[order]
+        new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (z[1:] != z[:-1])]))
+        self.x, self.z, self.points, self.first = x[new], z[new], rows.column("point").take(pa.array(order)), new
+        self.n = np.diff(np.append(new, len(x)))
+        self.open = np.arange(len(new))  # places that still ask
+
+    def rows(self, at: np.ndarray, ids: pa.Array, which: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(point, id) of all points at the places ``at`` with the ids at ``which``."""
+        total = np.cumsum(self.n[at])
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + OUT, "right")))
+            n = self.n[at[a:b]]
+            ends = np.cumsum(n)
+            flat = np.arange(ends[-1]) + np.repeat(self.first[at[a:b]] - (ends - n), n)
+            yield pa.RecordBatch.from_arrays([self.points.take(pa.array(flat)), ids.take(pa.array(np.repeat(which[a:b], n)))], names=["point", "id"])
+            a = b
+
+
+def _tested(places: _Places, sides: pa.RecordBatch, at: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+    """Points of the places in the polygons whose edges begin ``at``; with ``first`` a place takes the first polygon only and asks no more."""
+    x1, z1, x2, z2 = (sides.column(c).to_numpy() for c in ("x1", "z1", "x2", "z2"))
+    odd, ids, ends = sides.column("odd").to_numpy(zero_copy_only=False)[at], sides.column("id"), np.append(at, len(sides))
+    p = 0
+    while p < len(at) and len(places.open):
+        to = max(p + 1, int(np.searchsorted(ends, ends[p] + max(1, BLOCK // len(places.open)), "right")) - 1)
+        e = slice(ends[p], ends[to])
+        ax, az, bx, bz = (c[e, None] for c in (x1, z1, x2, z2))
+        asking, step = places.open, max(1, BLOCK // (e.stop - e.start))
+        met = []
+        for k in range(0, len(asking), step):
+            q = asking[k : k + step]
+            x, z = places.x[q], places.z[q]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):  # a level edge spans nothing
+                hits = ((az > z) != (bz > z)) & (x < (bx - ax) * (z - az) / (bz - az) + ax)
+            inside = np.logical_xor.reduceat(hits, at[p:to] - e.start, axis=0) != odd[p:to, None]
+            if first:
+                some = inside.any(axis=0)
+                yield from places.rows(q[some], ids, at[p:to][inside.argmax(axis=0)[some]])
+                met.append(some)
+            else:
+                which, of = np.nonzero(inside)
+                yield from places.rows(q[of], ids, at[p:to][which])
+        if first:
+            places.open = asking[~np.concatenate(met)]
+        p = to
+
+
+def _held(batches: Iterable[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """(point, id) from rows as ``_by_cell`` sorts them. A cell's points are held; its polygons pass by."""
+    points, places, rest = [], None, None
+    for new, piece in pieces(batches, ("i", "j", "part")):
+        if new:
+            if rest is not None:
+                yield from _tested(places, rest, np.array([0]), first)
+            points, places, rest = [], None, None
+        n = int(np.searchsorted(piece.column("side").to_numpy(), 1))
+        if n:
+            points.append(piece.slice(0, n))
+        if n == len(piece) or not points:
+            continue
+        places = places or _Places(points)
+        sides = piece.slice(n) if rest is None else pa.concat_batches([rest, piece.slice(n)])
+        at = np.flatnonzero(starts(sides, ["id"]))
+        rest = sides.slice(at[-1])  # the last polygon may go on in the next batch
+        if len(at) > 1:
+            yield from _tested(places, sides.slice(0, at[-1]), at[:-1], first)
+    if rest is not None:
+        yield from _tested(places, rest, np.array([0]), first)
+
+
+def _kinds(points: DataFrame, rings: DataFrame) -> str:
+    return f"point {points.schema['id'].dataType.simpleString()}, id {rings.schema['id'].dataType.simpleString()}"
+
+
 def contained(points: DataFrame, rings: DataFrame, size: float, salts: int = SALTS) -> DataFrame:
     """(point, id): every point (id, x, z) and every polygon that holds it, by the even-odd rule of ``spans`` and ``crossing``.
 
-    Points without coordinates are in nothing. Point ids must be distinct; ``size`` should leave few edges of a polygon in a cell.
+    Points without coordinates are in nothing. Point ids must be distinct; ``size`` should leave few edges of a polygon in a cell. What is
+    shuffled and sorted grows as points and cells of edges do; pairs come out of the last step only.
     """
-    lying, each = runs(banded(edges(rings), size), size)
-    inner = each.filter(F.col("odd") & F.col("gap").isNotNull() & (F.col("gap") > F.col("i1"))).select("id", "j", F.explode(F.sequence(F.col("i1") + 1, "gap")).alias("i"), F.lit(None).cast("long").alias("r"), F.lit(True).alias("odd"))
-    outer = each.select("id", "j", F.explode(F.sequence("i0", "i1")).alias("i"), "r", "odd")
-    placed = points.dropna(subset=["x", "z"]).select(F.col("id").alias("point"), F.col("x").alias("px"), F.col("z").alias("pz"), F.floor(F.col("x") / size).alias("i"), F.floor(F.col("z") / size).alias("j"))
-    met = dealt(placed, "i", "j").join(dealt(inner.union(outer), "i", "j"), ["i", "j"])  # rows of cells come of few runs, so neither side is small for looking it
-    near = met.filter("r IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(salts)).cast("int"))
-    sides = lying.select("id", "j", "r", "x1", "z1", "x2", "z2").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = F.count_if(spans(F.col("pz")) & (F.col("px") < crossing(F.col("pz"))))
-    tested = dealt(near, "id", "j", "r", "salt").join(dealt(sides, "id", "j", "r", "salt"), ["id", "j", "r", "salt"]).groupBy("id", "j", "r", "salt", "point", "odd").agg(hits.alias("n"))
-    inside = tested.filter((F.col("n") % 2 == 1) != F.col("odd")).select("point", "id")
-    return met.filter("r IS NULL").select("point", "id").union(inside)
+    met = _by_cell(points, rings, size, salts, points.count() + SPREAD * rings.count())
+    return met.mapInArrow(lambda batches: _held(batches, False), _kinds(points, rings))
 
 
 def measures(rings: DataFrame) -> DataFrame:
