@@ -203,8 +203,10 @@ def holes_assigned(outers: DataFrame, holes: DataFrame, size: float) -> DataFram
     outer, hole = outers.select("id", one, "n", "x", "z"), holes.select("id", one, "n", "x", "z")
     middles = measures(hole).select("id", F.col("cx").alias("x"), F.col("cz").alias("z"))
     areas = measures(outer).select("id", F.abs("area").alias("area"))
-    best = contained(middles, outer, size).join(areas, "id").groupBy("point").agg(F.min(F.struct("area", "id")).alias("m"))
-    return middles.select(F.col("id").alias("hole")).join(best.select(F.col("point").alias("hole"), F.col("m.id").alias("id")), "hole", "left")
+    # Outer rings pass by in the order of their areas, so a centroid asks no more once one holds it.
+    met = _by_cell(middles, outer, size, SALTS, holes.count() + SPREAD * outers.count(), areas)
+    best = met.mapInArrow(lambda batches: _held(batches, True), _kinds(middles, outer)).withColumnRenamed("point", "hole")
+    return dealt(middles.select(F.col("id").alias("hole")), "hole").join(dealt(best, "hole"), "hole", "left")
 
 
 def filled(rings: DataFrame, size: float) -> DataFrame:

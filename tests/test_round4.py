@@ -45,3 +45,20 @@ def test_points_leave_their_cell_in_polygons_only(spark, monkeypatch):
         boxes.setdefault(r.id, []).append((r.x, r.z))
     want = sorted((p.id, i) for p in points.collect() for i, b in boxes.items() if min(b)[0] <= p.x < max(b)[0] and min(z for _, z in b) <= p.z < max(z for _, z in b))
     assert got == want
+
+
+def test_holes_take_the_first_ring_by_area(spark):
+    """Each hole leaves its cell once, with the smallest ring around it, ties to the smaller id; the others have none."""
+    outers = _stars(spark).drop("ring")
+    holes = spark.range(600).selectExpr("id DIV 3 AS id", "id % 3 AS n", "CAST(id DIV 3 * 11 % 120 + IF(id % 3 = 1, 3, 0) AS DOUBLE) AS x", "CAST(id DIV 3 * 5 % 60 + IF(id % 3 = 2, 3, 0) AS DOUBLE) AS z")
+    out = polygons.holes_assigned(outers, holes, 5.0)
+    assert "Aggregate [point" not in out._jdf.queryExecution().optimizedPlan().toString()
+    boxes = {}
+    for r in outers.collect():
+        boxes.setdefault(r.id, []).append((r.x, r.z))
+    want = {}
+    for k in range(200):
+        x, z = k * 11 % 120 + 1, k * 5 % 60 + 1
+        around = [((max(b)[0] - min(b)[0]) ** 2, i) for i, b in boxes.items() if min(b)[0] <= x < max(b)[0] and min(v for _, v in b) <= z < max(v for _, v in b)]
+        want[k] = min(around)[1] if around else None
+    assert dict(map(tuple, out.collect())) == want
