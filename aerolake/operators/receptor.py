@@ -27,8 +27,10 @@ DELTA_SHARE = 0.05
 START_Z, NEAREST, CUT, IMAGES, FAR = 2.0, 0.5, 6.0, 3, 40.0
 #: Vertical growth c * x * (1 + d * x) ** power, as ``chemistry.briggs`` has it.
 VERTICAL = {"A": (0.24, 0.001, 0.5), "B": (0.24, 0.001, 0.5), "C": (0.2, 0.0, 0.0), "D": (0.14, 0.0003, -0.5), "E": (0.08, 0.0015, -0.5), "F": (0.08, 0.0015, -0.5)}
-#: Parts that a cell's sources, and its asking receptors, are dealt to; receptors taken at a time in a part.
-PARTS, STRIP = 3, 64
+#: Parts that a cell's receptors are dealt to by id, and its sources by kind; receptors taken at a time in a part.
+PARTS, KINDS, STRIP = 2, 3, 64
+#: Pairs that cost what a cell of a lattice does; cells of a lattice at most.
+PER_CELL, LATTICE = 40, 1 << 22
 LATERAL = {"A": 0.32, "B": 0.32, "C": 0.22, "D": 0.16, "E": 0.11, "F": 0.11}
 
 
@@ -138,31 +140,121 @@ def _images(sz: np.ndarray, ry: np.ndarray, hs: np.ndarray, lid: float, numbers:
     return out
 
 
-def _plume_sums(receptors: pd.DataFrame, sources: pd.DataFrame, direction: float, cls: str, lid: float, radius: float) -> pd.DataFrame:
-    """Partial sums of one cell's sources at the receptors that ask for it, a few receptors at a time so that memory does not grow with either."""
+def _near(dx: np.ndarray, dz: np.ndarray, sy0: np.ndarray | float, direction: float, cls: str, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ways downwind and aside, and whether a source there may count."""
     bx, bz = -math.sin(math.radians(direction)), math.cos(math.radians(direction))
+    along, aside = dx * bx + dz * bz, dz * bx - dx * bz
+    return along, aside, (np.sqrt(dx * dx + dz * dz) <= radius) & (along > NEAREST) & (np.abs(aside) <= CUT * (sy0 + LATERAL[cls] * along))
+
+
+def _strength(a: np.ndarray, y: np.ndarray, sy0: np.ndarray, hs: np.ndarray, ry: np.ndarray, w: np.ndarray, cls: str, lid: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of those that may count do, and what each of these adds."""
     lateral, (c, d, power) = LATERAL[cls], VERTICAL[cls]
+    across, up = lateral * a / np.sqrt(1 + 0.0004 * a), c * a * (1 + d * a) ** power
+    sy = np.sqrt(sy0 * sy0 + across * across)
+    near = np.abs(y) <= CUT * sy
+    y, sy, ry, hs = y[near], sy[near], ry[near], hs[near]
+    sz = np.sqrt(START_Z * START_Z + up[near] * up[near])
+    vertical = _images(sz, ry, hs, lid, (0,))
+    high = sz > lid / 4
+    vertical[high] += _images(sz[high], ry[high], hs[high], lid, (i for i in range(-IMAGES, IMAGES + 1) if i))
+    return near, w[near] / (2 * math.pi * sy * sz) * np.exp(-y * y / (2 * sy * sy)) * vertical
+
+
+def _steps(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """The step of the lattice that holds all of two arrays, and their places on it, or None; only lattices whose differences are exact."""
+    u = np.unique(np.concatenate([a, b]))
+    step = float(np.diff(u).min()) if len(u) > 1 else 1.0
+    fine = np.array([u[0], u[-1], step]) * 2.0**20
+    if not (np.all(np.abs(fine) < 2.0**50) and np.all(fine == np.rint(fine))):
+        return None
+    p, q = (np.rint((v - u[0]) / step) for v in (a, b))
+    if not (np.all(u[0] + p * step == a) and np.all(u[0] + q * step == b)):
+        return None
+    return step, p.astype(int), q.astype(int)
+
+
+def _alike(rows: pd.DataFrame, by: list[str]) -> list[np.ndarray]:
+    """Places of rows that are alike, group by group in the order of their keys."""
+    codes = rows.groupby(by, dropna=False).ngroup().to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
+
+
+def _smooth(n: int) -> int:
+    """The next number that has no prime factor above 5, for the transform's sake."""
+    while True:
+        m = n
+        for f in (2, 3, 5):
+            while m % f == 0:
+                m //= f
+        if m == 1:
+            return n
+        n += 1
+
+
+def _lattice_sums(receptors: pd.DataFrame, sources: pd.DataFrame, of: np.ndarray, n: int, direction: float, cls: str, lid: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(gamma, age, met) by receptor and group where all places lie on a lattice so dense that sums by convolution cost less than by pairs; else None.
+
+    What a source adds depends on its kind and the way between only, so a kind's sources are one raster, folded with what every way adds.
+    """
+    if len(receptors) * len(sources) <= PER_CELL * min(len(receptors), len(sources)):
+        return None
+    kinds, levels = _alike(sources, ["hs", "sy0", "grp"]), _alike(receptors, ["ry"])
+    x, z, w, hs, sy0 = (sources[k].to_numpy(dtype=float) for k in ("x", "z", "w", "hs", "sy0"))
+    rx, ry, rz = (receptors[k].to_numpy(dtype=float) for k in ("rx", "ry", "rz"))
+    if not np.all(np.isfinite(w)) or (on_x := _steps(x, rx)) is None or (on_z := _steps(z, rz)) is None:
+        return None
+    (step_x, xi, ri), (step_z, zi, rj) = on_x, on_z
+    xi, zi, low_x, low_z, ri, rj = xi - xi.min(), zi - zi.min(), ri.min() - xi.max(), rj.min() - zi.max(), ri - ri.min(), rj - rj.min()
+    sx, sz, px, pz = int(xi.max()) + 1, int(zi.max()) + 1, int(ri.max()) + 1, int(rj.max()) + 1
+    shape = _smooth(sx + px - 1), _smooth(sz + pz - 1)
+    if shape[0] * shape[1] > LATTICE or len(receptors) * len(sources) <= PER_CELL * len(kinds) * len(levels) * shape[0] * shape[1]:
+        return None
+    dx, dz = (low_x + np.arange(sx + px - 1))[:, None] * step_x, (low_z + np.arange(sz + pz - 1)) * step_z
+    gamma, age, met = (np.zeros((len(rx), n)) for _ in range(3))
+    for rows in levels:
+        folded: dict = {}
+        for at in kinds:
+            k, kind = at[0], (hs[at[0]], sy0[at[0]])
+            if kind not in folded:
+                along, aside, may = _near(dx, dz, sy0[k], direction, cls, radius)
+                r, q = np.nonzero(may)
+                a, one = along[r, q], np.ones(len(r))
+                near, g = _strength(a, aside[r, q], one * sy0[k], one * hs[k], one * ry[rows[0]], one, cls, lid)
+                ways = []
+                for v in (g, g * a[near], 1.0):
+                    raster = np.zeros(shape)
+                    raster[r[near], q[near]] = v
+                    ways.append(np.fft.rfft2(raster))
+                folded = {kind: ways}  # of the last kind only, so that memory does not grow with their number
+            weights, counts = (np.zeros(shape) for _ in range(2))
+            np.add.at(weights, (xi[at], zi[at]), w[at])
+            np.add.at(counts, (xi[at], zi[at]), 1.0)
+            weights, counts = np.fft.rfft2(weights), np.fft.rfft2(counts)
+            for total, given, way in zip((gamma, age, met), (weights, weights, counts), folded[kind], strict=True):
+                total[rows, of[k]] += np.fft.irfft2(given * way, shape)[ri[rows] + sx - 1, rj[rows] + sz - 1]
+    met = np.rint(met)
+    return np.where(met > 0, gamma, 0.0), np.where(met > 0, age, 0.0), met
+
+
+def _plume_sums(receptors: pd.DataFrame, sources: pd.DataFrame, direction: float, cls: str, lid: float, radius: float) -> pd.DataFrame:
+    """Partial sums of one cell's sources at the receptors that ask for it: by convolution where that is less work, else a few receptors at a time so that memory does not grow with either."""
     of, names = pd.factorize(sources["grp"], use_na_sentinel=False)
     x, z, w, hs, sy0 = (sources[k].to_numpy(dtype=float) for k in ("x", "z", "w", "hs", "sy0"))
     ids, rx, ry, rz = receptors["a_id"].to_numpy(), *(receptors[k].to_numpy(dtype=float) for k in ("rx", "ry", "rz"))
     n = len(names)
-    gamma, age, met = (np.zeros((len(ids), n)) for _ in range(3))
-    for k in range(0, len(ids) if n else 0, STRIP):
+    sums = _lattice_sums(receptors, sources, of, n, direction, cls, lid, radius) if n and len(ids) else None
+    gamma, age, met = sums or (np.zeros((len(ids), n)) for _ in range(3))
+    for k in range(0, len(ids) if n and not sums else 0, STRIP):
         for m in range(0, len(x), STRIP * 64):
             rows, to = slice(k, k + STRIP), slice(m, m + STRIP * 64)
             dx, dz = rx[rows, None] - x[to], rz[rows, None] - z[to]
-            along, aside = dx * bx + dz * bz, dz * bx - dx * bz
-            r, q = np.nonzero((np.sqrt(dx * dx + dz * dz) <= radius) & (along > NEAREST) & (np.abs(aside) <= CUT * (sy0[to] + lateral * along)))
+            along, aside, may = _near(dx, dz, sy0[to], direction, cls, radius)
+            r, q = np.nonzero(may)
             a, y, q = along[r, q], aside[r, q], q + m
-            across, up = lateral * a / np.sqrt(1 + 0.0004 * a), c * a * (1 + d * a) ** power
-            sy = np.sqrt(sy0[q] * sy0[q] + across * across)
-            near = np.abs(y) <= CUT * sy
-            a, y, sy, r, q = a[near], y[near], sy[near], r[near], q[near]
-            sz = np.sqrt(START_Z * START_Z + up[near] * up[near])
-            vertical = _images(sz, ry[r + k], hs[q], lid, (0,))
-            high = sz > lid / 4
-            vertical[high] += _images(sz[high], ry[r[high] + k], hs[q[high]], lid, (i for i in range(-IMAGES, IMAGES + 1) if i))
-            g = w[q] / (2 * math.pi * sy * sz) * np.exp(-y * y / (2 * sy * sy)) * vertical
+            near, g = _strength(a, y, sy0[q], hs[q], ry[r + k], w[q], cls, lid)
+            a, r, q = a[near], r[near], q[near]
             at = r * n + of[q]
             for total, v in ((gamma, g), (age, g * a), (met, None)):
                 total[rows] += np.bincount(at, v, len(dx) * n).reshape(-1, n)
@@ -170,12 +262,13 @@ def _plume_sums(receptors: pd.DataFrame, sources: pd.DataFrame, direction: float
     return pd.DataFrame({"receptor": ids[at], "grp": names[grp], "gamma": gamma[at, grp], "age": age[at, grp]})
 
 
-def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0, cell: float = 100.0) -> DataFrame:
+def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str, lid: float, radius: float = 800.0, cell: float = 250.0) -> DataFrame:
     """(receptor, grp, gamma, age): Gaussian sums with images over the sources (id, x, z, w, hs, sy0, grp) upwind of each receptor (id, x, z, y) within ``radius``.
 
-    A receptor asks the cells around it that can hold a source upwind and near enough. Sources and asking receptors of a cell are dealt to
-    PARTS by PARTS groups and meet there in arrays; sums leave the groups, no pair does. x is the way downwind, age weighs it. Sources
-    without a weight take no part.
+    A receptor asks the cells around it that can hold a source upwind and near enough. Sources of one kind at one place are one source of their
+    weights together. Receptors of a cell and sources of another meet in arrays, dealt to PARTS by KINDS groups; sums leave the groups, no pair
+    does. Where places lie on a lattice, work grows with its cells and not with pairs; elsewhere every pair is worked out, in bounded memory.
+    x is the way downwind, age weighs it. Sources without a weight take no part.
     """
     bx, bz = -math.sin(math.radians(direction)), math.cos(math.radians(direction))
     reach = range(-math.ceil(radius / cell) - 1, math.ceil(radius / cell) + 2)
@@ -184,13 +277,20 @@ def plume(sources: DataFrame, receptors: DataFrame, direction: float, cls: str,
     asked = [(p, q) for p in reach for q in reach if farthest(p, q) > NEAREST and nearest(p, q) <= radius]
     i, j = cells(F.col("x"), F.col("z"), cell)
     around = F.expr("array(" + ", ".join(f"struct({p}L AS p, {q}L AS q)" for p, q in asked) + ")")
-    part, every = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"), F.sequence(F.lit(0), F.lit(PARTS - 1))
-    wanted = receptors.dropna(subset=["x", "z"]).select(F.col("id").alias("a_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), i.alias("_i"), j.alias("_j"), part.alias("a"), F.inline(around))
-    wanted = wanted.select("a_id", "rx", "ry", "rz", (F.col("_i") + F.col("p")).alias("i"), (F.col("_j") + F.col("q")).alias("j"), "a", F.explode(every).alias("b"))
-    given = sources.dropna(subset=["x", "z", "w", "sy0"]).select("x", "z", "w", "hs", "sy0", "grp", i.alias("i"), j.alias("j"), part.alias("b"), F.explode(every).alias("a"))
-    keys = ["i", "j", "a", "b"]
+    back = F.expr("array(" + ", ".join(f"struct({-p}L AS p, {-q}L AS q)" for p, q in asked) + ")")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = [i.alias("k"), j.alias("l")]
+    wanted = receptors.dropna(subset=["x", "z"]).select(F.col("id").alias("a_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), *tiles, F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("a"), F.inline(around))
+    asking = receptors.dropna(subset=["x", "z"]).select(*tiles).distinct()
+    wanted = wanted.select("a_id", "rx", "ry", "rz", (F.col("k") + F.col("p")).alias("i"), (F.col("l") + F.col("q")).alias("j"), "k", "l", "a", every(KINDS).alias("b"))
+    alike = ["x", "z", "hs", "sy0", "grp"]
+    given = sources.dropna(subset=["x", "z", "w", "sy0"]).groupBy(*alike).agg(F.sum(F.col("w").cast("double")).alias("w"))
+    given = given.select("w", *alike, i.alias("i"), j.alias("j"), F.pmod(F.xxhash64("hs", "sy0", "grp"), F.lit(KINDS)).cast("int").alias("b"))
+    wanted = wanted.join(given.select("i", "j", "b").distinct(), ["i", "j", "b"], "left_semi")  # cells without sources make no group
+    given = given.select("*", F.inline(back)).select("w", *alike, "i", "j", "b", (F.col("i") + F.col("p")).alias("k"), (F.col("j") + F.col("q")).alias("l")).join(asking, ["k", "l"], "left_semi")
+    given = given.select("*", every(PARTS).alias("a"))
+    keys = ["i", "j", "k", "l", "a", "b"]
     kind = receptors.schema["id"].dataType.simpleString()
-    wanted = wanted.join(given.select(*keys).distinct(), keys, "left_semi")  # cells without sources make no group
     # Few bytes are much work here, so the groups are dealt to a given number of tasks, which adaptive execution does not merge.
     tasks = int(receptors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted, given = wanted.repartition(tasks, *keys), given.repartition(tasks, *keys)
